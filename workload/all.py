@@ -1 +1 @@
-from workload import classification  # noqa: F401
+from workload import classification, candidates  # noqa: F401
