@@ -1 +1 @@
-from workload import classification, candidates  # noqa: F401
+from workload import classification, candidates, normalization  # noqa: F401
