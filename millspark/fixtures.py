@@ -158,6 +158,61 @@ FROM fx_products
 """
 
 
+# ---- further inputs derived from the driver tables ----
+VIEWS["fx_header_cells"] = """
+SELECT p_partkey AS cell_id, concat(CASE WHEN p_partkey%7=3 THEN concat(p_brand, ' ') ELSE '' END, CASE p_partkey%31 WHEN 0 THEN 'Coil No.' WHEN 1 THEN 'HEAT NO' WHEN 2 THEN 'Número de Colada' WHEN 3 THEN 'Thickness (mm)'
+ WHEN 4 THEN 'Espesor' WHEN 5 THEN 'Width mm' WHEN 6 THEN 'C x10^4' WHEN 7 THEN 'Mn 10^-3' WHEN 8 THEN 'Si (%)' WHEN 9 THEN 'P ppm' WHEN 10 THEN 'Al 10⁻³' WHEN 11 THEN 'Soluble Al' WHEN 12 THEN 'Yield Strength MPa'
+ WHEN 13 THEN 'Límite Elástico' WHEN 14 THEN 'TENSILE STRENGTH' WHEN 15 THEN 'Elongation %' WHEN 16 THEN 'Net Weight' WHEN 17 THEN 'Peso Bruto' WHEN 18 THEN 'Remarks' WHEN 19 THEN 'Hardness HRB' WHEN 20 THEN 'Length'
+ WHEN 21 THEN 'Cr *1000' WHEN 22 THEN 'Ni x100' WHEN 23 THEN 'B /10000' WHEN 24 THEN 'Qty' WHEN 25 THEN 'Cobre' WHEN 26 THEN 'Placa' WHEN 27 THEN 'Chemical Composition' WHEN 28 THEN 'Customer' WHEN 29 THEN 'ROLLNO' ELSE p_name END,
+ CASE WHEN p_partkey%5=4 THEN ' Nominal' ELSE '' END) AS header
+FROM part
+"""
+VIEWS["fx_value_cells"] = """
+SELECT o_orderkey AS cell_id, CASE o_orderkey%12 WHEN 0 THEN '-4' WHEN 1 THEN '10^-4' WHEN 2 THEN '10(-3)' WHEN 3 THEN '10⁻²' WHEN 4 THEN '10 ^ -4' WHEN 5 THEN 'x10' WHEN 6 THEN '10^(-2)' WHEN 7 THEN '10⁻⁴' WHEN 8 THEN '0' WHEN 9 THEN '10-3' ELSE '1e-4' END AS power_text,
+ CASE o_orderkey%10 WHEN 0 THEN '1.234,56' WHEN 1 THEN '1,234.56' WHEN 2 THEN '0,123' WHEN 3 THEN '12,5' WHEN 4 THEN '1,234,567' WHEN 5 THEN 'n/a' WHEN 6 THEN ' 42 ' WHEN 7 THEN '1.5' ELSE CAST(o_custkey AS VARCHAR(20)) END AS number_text,
+ CASE o_orderkey%13 WHEN 0 THEN '1 1/2 in' WHEN 1 THEN '12,5 mm' WHEN 2 THEN '3/4"' WHEN 3 THEN '2 cm' WHEN 4 THEN '3 furlongs' WHEN 5 THEN '1.2 m' WHEN 6 THEN '6 pies' WHEN 7 THEN '.75' WHEN 8 THEN '25 pulgadas' WHEN 9 THEN 'abc' WHEN 10 THEN '5 ft' ELSE CAST(o_custkey%3000 AS VARCHAR(20)) END AS size_text,
+ CASE o_orderkey%4 WHEN 0 THEN 'Thickness (in)' WHEN 1 THEN 'Width cm' WHEN 2 THEN 'Espesor milímetros' ELSE '' END AS size_header,
+ CASE o_orderkey%8 WHEN 0 THEN '1.2x1200xC' WHEN 1 THEN '2,5X1000' WHEN 2 THEN '3*1500*6' WHEN 3 THEN '1 in x 40 in' WHEN 4 THEN '0.8 × 914 × COIL' WHEN 5 THEN '1200' WHEN 6 THEN '2x1000x2500' ELSE '4 x abc' END AS tuple_text,
+ CASE o_orderkey%9 WHEN 0 THEN '20240131' WHEN 1 THEN '2024-02-30' WHEN 2 THEN '2024/3/5' WHEN 3 THEN 'Mar. 7, 2023' WHEN 4 THEN 'about 2024-01-01' WHEN 5 THEN 'Dec 24 2022' WHEN 6 THEN '31-01-2024' WHEN 7 THEN NULL ELSE '2023-11-09' END AS date_text,
+ CASE o_orderkey%6 WHEN 0 THEN '>=355' WHEN 1 THEN '≤ 400' WHEN 2 THEN '≧275.5' WHEN 3 THEN '310' WHEN 4 THEN 'min 355' ELSE '<  250' END AS bound_text,
+ CASE o_orderkey%5 WHEN 0 THEN 'SAE 1010' WHEN 1 THEN 'sae  1035' WHEN 2 THEN 'ASTM A1008' ELSE NULL END AS standard_text,
+ concat('  Mill   Works ', CAST(o_custkey%50 AS VARCHAR(20)), ' S.A. ') AS maker_text,
+ CASE o_orderkey%4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE o_custkey%60 END AS superior, CASE o_orderkey%3 WHEN 0 THEN NULL ELSE o_custkey%7 END AS inferior,
+ CASE o_orderkey%5 WHEN 0 THEN 'Pickled' WHEN 1 THEN 'UNPICKLED,oiled' WHEN 2 THEN 'oiled' WHEN 3 THEN 'decapado' ELSE NULL END AS condition_text,
+ CASE o_orderkey%4 WHEN 0 THEN 'day' WHEN 1 THEN 'week' WHEN 2 THEN 'month' ELSE 'all' END AS preset, CAST(o_orderdate AS DATE) AS today
+FROM orders
+"""
+VIEWS["fx_boxes"] = """
+SELECT l_orderkey*10+l_linenumber AS box_id, CAST(l_partkey%900 AS DOUBLE) AS x0, CAST(l_partkey%900+l_suppkey%200+1 AS DOUBLE) AS x1, CAST(l_suppkey%700 AS DOUBLE) AS top, CAST(l_suppkey%700+l_partkey%90+1 AS DOUBLE) AS bottom,
+ CAST(1000 AS DOUBLE) AS image_width, CAST(800 AS DOUBLE) AS image_height, CAST(612 AS DOUBLE) AS page_width, CAST(792 AS DOUBLE) AS page_height, CAST((l_orderkey%4)*90 AS INT) AS rotation FROM lineitem
+"""
+
+VIEWS["fx_scoped_rows"] = """
+SELECT certificate_id, product_id, row_pos, (row_pos-1)//3 AS table_scope, CASE WHEN product_id%7=3 THEN '同上' WHEN product_id%11=5 THEN NULL ELSE CAST(heat_id AS VARCHAR(20)) END AS heat_no, width_raw, c_raw FROM fx_raw_rows
+""".replace("(row_pos-1)//3", "CAST(floor((row_pos-1)/3.0) AS INT)")
+VIEWS["fx_roll_rows"] = """
+SELECT product_id, certificate_id, heat_id, heat_no, CASE WHEN product_id%97=0 THEN '' ELSE product_identifier END AS product_identifier, CAST(CASE WHEN product_id%101=0 THEN -1 WHEN product_id%7=0 THEN 0 ELSE product_id%4+1 END AS INT) AS quantity,
+ CASE WHEN product_id%53=0 THEN NULL ELSE weight_kg END AS weight_kg, weight_kg AS net_weight_kg, CAST(weight_kg+50 AS DECIMAL(18,6)) AS gross_weight_kg, rolling, width_mm FROM fx_product_rows
+"""
+VIEWS["fx_declared_totals"] = """
+SELECT certificate_id, CASE WHEN certificate_id%6=0 THEN NULL ELSE CAST(sum(quantity) AS BIGINT) + CASE WHEN certificate_id%5=0 THEN 1 ELSE 0 END END AS total_pieces,
+ CASE WHEN certificate_id%4=0 THEN NULL ELSE CAST(sum(weight_kg) AS DECIMAL(18,6)) END AS total_weight_kg, CAST(sum(net_weight_kg) AS DECIMAL(18,6)) AS total_net_weight_kg,
+ CAST(sum(gross_weight_kg) + CASE WHEN certificate_id%9=0 THEN 1 ELSE 0 END AS DECIMAL(18,6)) AS total_gross_weight_kg FROM fx_roll_rows GROUP BY certificate_id
+"""
+VIEWS["fx_declared_subtotals"] = """
+SELECT certificate_id, 'heat_no' AS match_field, CASE WHEN heat_id%13=0 THEN 'H0' ELSE heat_no END AS match_value, CAST(sum(quantity) AS BIGINT) + CASE WHEN heat_id%5=0 THEN 1 ELSE 0 END AS total_pieces,
+ CASE WHEN heat_id%4=0 THEN NULL ELSE CAST(sum(weight_kg) + CASE WHEN heat_id%7=0 THEN 1 ELSE 0 END AS DECIMAL(18,6)) END AS total_weight_kg FROM fx_roll_rows GROUP BY certificate_id, heat_id, heat_no
+"""
+VIEWS["fx_roll_compositions"] = """
+SELECT p.product_id, p.heat_id, CASE WHEN p.heat_id%17=0 THEN 'UNKNOWN' ELSE p.heat_no END AS heat_no, v.element, CAST(CASE WHEN p.heat_id%3=0 THEN p.heat_id%90 ELSE p.product_id%90 END * v.k * 0.001 AS DECIMAL(18,8)) AS percentage,
+ CASE WHEN p.certificate_id%19=0 THEN 'xlsx' ELSE 'pdf' END AS source_format, p.product_id%41=0 AS has_verification FROM fx_products p CROSS JOIN (VALUES ('C',1),('Mn',2),('Si',3)) AS v(element,k)
+"""
+VIEWS["fx_table_cells"] = """
+SELECT c.cell_id - c.cell_id%8 AS doc_id, 1 AS page, 0 AS table_idx, CAST(floor((c.cell_id%8)/4.0) AS INT) AS row_idx, CAST(c.cell_id%4 AS INT) AS col_idx, c.header AS text FROM fx_header_cells c
+UNION ALL SELECT c.cell_id - c.cell_id%8, 1, 0, CAST(2 + floor((c.cell_id%8)/2.0) AS INT), CAST(k AS INT), CASE WHEN k = 3 THEN '' WHEN c.cell_id%8 = 4 AND k = 0 THEN 'Total' ELSE concat('X', CAST(c.cell_id*10+k AS VARCHAR(20))) END FROM fx_header_cells c CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(k) WHERE c.cell_id%2 = 0
+"""
+
+
 def needed(sql: str, names=None) -> list[str]:
     """Views that a statement reaches, in definition order."""
     names = VIEWS if names is None else names
@@ -219,33 +274,3 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             text = re.sub(rf"\b(FROM|JOIN)(\s+\(?\s*){n}\b", rf"\1\2{{{n}}}", text)
         built[step] = spark.sql(text, **inputs)
     return built[name]
-
-
-# ---- further inputs derived from the driver tables ----
-VIEWS["fx_header_cells"] = """
-SELECT p_partkey AS cell_id, concat(CASE WHEN p_partkey%7=3 THEN concat(p_brand, ' ') ELSE '' END, CASE p_partkey%31 WHEN 0 THEN 'Coil No.' WHEN 1 THEN 'HEAT NO' WHEN 2 THEN 'Número de Colada' WHEN 3 THEN 'Thickness (mm)'
- WHEN 4 THEN 'Espesor' WHEN 5 THEN 'Width mm' WHEN 6 THEN 'C x10^4' WHEN 7 THEN 'Mn 10^-3' WHEN 8 THEN 'Si (%)' WHEN 9 THEN 'P ppm' WHEN 10 THEN 'Al 10⁻³' WHEN 11 THEN 'Soluble Al' WHEN 12 THEN 'Yield Strength MPa'
- WHEN 13 THEN 'Límite Elástico' WHEN 14 THEN 'TENSILE STRENGTH' WHEN 15 THEN 'Elongation %' WHEN 16 THEN 'Net Weight' WHEN 17 THEN 'Peso Bruto' WHEN 18 THEN 'Remarks' WHEN 19 THEN 'Hardness HRB' WHEN 20 THEN 'Length'
- WHEN 21 THEN 'Cr *1000' WHEN 22 THEN 'Ni x100' WHEN 23 THEN 'B /10000' WHEN 24 THEN 'Qty' WHEN 25 THEN 'Cobre' WHEN 26 THEN 'Placa' WHEN 27 THEN 'Chemical Composition' WHEN 28 THEN 'Customer' WHEN 29 THEN 'ROLLNO' ELSE p_name END,
- CASE WHEN p_partkey%5=4 THEN ' Nominal' ELSE '' END) AS header
-FROM part
-"""
-VIEWS["fx_value_cells"] = """
-SELECT o_orderkey AS cell_id, CASE o_orderkey%12 WHEN 0 THEN '-4' WHEN 1 THEN '10^-4' WHEN 2 THEN '10(-3)' WHEN 3 THEN '10⁻²' WHEN 4 THEN '10 ^ -4' WHEN 5 THEN 'x10' WHEN 6 THEN '10^(-2)' WHEN 7 THEN '10⁻⁴' WHEN 8 THEN '0' WHEN 9 THEN '10-3' ELSE '1e-4' END AS power_text,
- CASE o_orderkey%10 WHEN 0 THEN '1.234,56' WHEN 1 THEN '1,234.56' WHEN 2 THEN '0,123' WHEN 3 THEN '12,5' WHEN 4 THEN '1,234,567' WHEN 5 THEN 'n/a' WHEN 6 THEN ' 42 ' WHEN 7 THEN '1.5' ELSE CAST(o_custkey AS VARCHAR(20)) END AS number_text,
- CASE o_orderkey%13 WHEN 0 THEN '1 1/2 in' WHEN 1 THEN '12,5 mm' WHEN 2 THEN '3/4"' WHEN 3 THEN '2 cm' WHEN 4 THEN '3 furlongs' WHEN 5 THEN '1.2 m' WHEN 6 THEN '6 pies' WHEN 7 THEN '.75' WHEN 8 THEN '25 pulgadas' WHEN 9 THEN 'abc' WHEN 10 THEN '5 ft' ELSE CAST(o_custkey%3000 AS VARCHAR(20)) END AS size_text,
- CASE o_orderkey%4 WHEN 0 THEN 'Thickness (in)' WHEN 1 THEN 'Width cm' WHEN 2 THEN 'Espesor milímetros' ELSE '' END AS size_header,
- CASE o_orderkey%8 WHEN 0 THEN '1.2x1200xC' WHEN 1 THEN '2,5X1000' WHEN 2 THEN '3*1500*6' WHEN 3 THEN '1 in x 40 in' WHEN 4 THEN '0.8 × 914 × COIL' WHEN 5 THEN '1200' WHEN 6 THEN '2x1000x2500' ELSE '4 x abc' END AS tuple_text,
- CASE o_orderkey%9 WHEN 0 THEN '20240131' WHEN 1 THEN '2024-02-30' WHEN 2 THEN '2024/3/5' WHEN 3 THEN 'Mar. 7, 2023' WHEN 4 THEN 'about 2024-01-01' WHEN 5 THEN 'Dec 24 2022' WHEN 6 THEN '31-01-2024' WHEN 7 THEN NULL ELSE '2023-11-09' END AS date_text,
- CASE o_orderkey%6 WHEN 0 THEN '>=355' WHEN 1 THEN '≤ 400' WHEN 2 THEN '≧275.5' WHEN 3 THEN '310' WHEN 4 THEN 'min 355' ELSE '<  250' END AS bound_text,
- CASE o_orderkey%5 WHEN 0 THEN 'SAE 1010' WHEN 1 THEN 'sae  1035' WHEN 2 THEN 'ASTM A1008' ELSE NULL END AS standard_text,
- concat('  Mill   Works ', CAST(o_custkey%50 AS VARCHAR(20)), ' S.A. ') AS maker_text,
- CASE o_orderkey%4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE o_custkey%60 END AS superior, CASE o_orderkey%3 WHEN 0 THEN NULL ELSE o_custkey%7 END AS inferior,
- CASE o_orderkey%5 WHEN 0 THEN 'Pickled' WHEN 1 THEN 'UNPICKLED,oiled' WHEN 2 THEN 'oiled' WHEN 3 THEN 'decapado' ELSE NULL END AS condition_text,
- CASE o_orderkey%4 WHEN 0 THEN 'day' WHEN 1 THEN 'week' WHEN 2 THEN 'month' ELSE 'all' END AS preset, CAST(o_orderdate AS DATE) AS today
-FROM orders
-"""
-VIEWS["fx_boxes"] = """
-SELECT l_orderkey*10+l_linenumber AS box_id, CAST(l_partkey%900 AS DOUBLE) AS x0, CAST(l_partkey%900+l_suppkey%200+1 AS DOUBLE) AS x1, CAST(l_suppkey%700 AS DOUBLE) AS top, CAST(l_suppkey%700+l_partkey%90+1 AS DOUBLE) AS bottom,
- CAST(1000 AS DOUBLE) AS image_width, CAST(800 AS DOUBLE) AS image_height, CAST(612 AS DOUBLE) AS page_width, CAST(792 AS DOUBLE) AS page_height, CAST((l_orderkey%4)*90 AS INT) AS rotation FROM lineitem
-"""

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES = 512
+POSITION_SLICE = 65_536
+POSITION_COLUMNS = ("row_pos", "row_idx", "position", "sequence")
 BROADCAST_ROWS = 100_000
 
 
@@ -41,8 +43,11 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
 def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
     """Add ``_slice``, a non-decreasing function of ``order`` (number, date or time), by equal widths.
 
-    The bounds are one scalar subquery; rows with the same order value always share a slice.
+    Positions within a document are cut every ``POSITION_SLICE`` rows. Other orders take their bounds from one
+    scalar subquery; rows with the same order value always share a slice.
     """
+    if order in POSITION_COLUMNS:
+        return df.withColumn("_slice", F.coalesce(F.floor(F.col(order) / POSITION_SLICE), F.lit(-1)).cast("int"))
     kind = dict(df.dtypes)[order]
     if kind.startswith("timestamp"):
         number = F.unix_micros(F.col(order).cast("timestamp")).cast("double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,16 +34,18 @@ def build_session(app_name: str = "millspark", master: str | None = None, **opti
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared folder named by the cluster; ``fallback`` is only for sessions that name none (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder the cluster names in spark.checkpoint.dir; a fresh temporary one only for local sessions without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; unchanged when no folder is configured."""
-    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and read it back, so that later steps do not recompute its inputs."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
