@@ -213,6 +213,48 @@ UNION ALL SELECT c.cell_id - c.cell_id%8, 1, 0, CAST(2 + floor((c.cell_id%8)/2.0
 """
 
 
+VIEWS["fx_quality_certificates"] = """
+SELECT certificate_id, document_id, stored_file_id, certificate_no, CAST(manufacturer_id AS VARCHAR(20)) AS supplier, standard, approval_status, processing_status, archived, certificate_date, uploaded_at, manufacturer_id FROM fx_certificates
+"""
+VIEWS["fx_quality_heats"] = """
+SELECT heat_id, certificate_id, CASE WHEN certificate_id%3=0 THEN concat('S', CAST(certificate_id AS VARCHAR(20))) ELSE heat_no END AS heat_no, standard, CAST(NULL AS VARCHAR(20)) AS grade FROM fx_heats WHERE heat_id%61 <> 0
+"""
+VIEWS["fx_quality_products"] = """
+SELECT product_id, certificate_id, heat_id, heat_no, product_identifier, form, coiled, CASE WHEN product_id%67=0 THEN 'n/a' WHEN product_id%71=0 THEN '0' ELSE CAST(thickness_mm AS VARCHAR(30)) END AS thickness_mm, CAST(width_mm AS VARCHAR(30)) AS width_mm,
+ CASE WHEN product_id%3=0 THEN NULL WHEN product_id%73=0 THEN '-2' ELSE '6.5' END AS length_m, CASE WHEN product_id%79=0 THEN '0' WHEN product_id%83=0 THEN NULL ELSE CAST(weight_kg AS VARCHAR(30)) END AS weight_kg FROM fx_products
+"""
+VIEWS["fx_quality_compositions"] = """
+SELECT CAST(floor(heat_id/10) AS BIGINT) AS certificate_id, heat_id, CAST(NULL AS BIGINT) AS product_id, element, CASE WHEN heat_id%211=0 AND element='Mn' THEN '150' WHEN heat_id%223=0 AND element='Si' THEN '-1' WHEN heat_id%229=0 AND element='Ti' THEN 'tr' WHEN heat_id%227=0 AND element IN ('Cr','Ni','Co') THEN '40' ELSE CAST(percentage AS VARCHAR(30)) END AS percentage
+FROM fx_compositions WHERE heat_id%59 <> 0
+"""
+VIEWS["fx_quality_observations"] = """
+SELECT observation_id, CAST(floor(product_id/10) AS BIGINT) AS certificate_id, CASE WHEN observation_id%5=0 THEN NULL ELSE product_id END AS product_id, CASE WHEN observation_id%3=0 THEN product_id*10 ELSE NULL END AS heat_id, field_path, confidence, unit,
+ CASE observation_id%7 WHEN 0 THEN 'captura_manual' WHEN 1 THEN 'OCR cell' ELSE 'text' END AS source_text, observation_id%8=0 AS inherited FROM fx_observations
+"""
+VIEWS["fx_results"] = """
+SELECT p.product_id*10 + r.run_id%10 AS result_id, r.run_id, p.product_id, p.certificate_id, CASE WHEN p.product_id%6=0 THEN NULL WHEN p.product_id%5=0 THEN '72091601' WHEN p.product_id%5=1 THEN '72091701' ELSE '72083901' END AS fraction,
+ CASE WHEN p.product_id%6=0 THEN NULL WHEN p.product_id%4=0 THEN '99' ELSE '01' END AS nico, CASE WHEN p.product_id%6=0 THEN 'needs_review' ELSE 'classified' END AS outcome FROM fx_products p JOIN fx_runs r ON r.certificate_id = p.certificate_id WHERE p.product_id%43 <> 0
+"""
+VIEWS["fx_candidates"] = """
+SELECT r.result_id*10 + k AS candidate_id, r.result_id, CASE WHEN r.product_id%37=0 AND k=2 THEN 4 ELSE k END AS rank, CASE k WHEN 1 THEN coalesce(r.fraction, '72091801') WHEN 2 THEN '72091801' ELSE '72092501' END AS fraction, CASE k WHEN 1 THEN coalesce(r.nico, '01') WHEN 2 THEN '99' ELSE '00' END AS nico,
+ r.product_id%47=0 AND k=3 AS manual, r.product_id%29=0 AND k=1 AS has_conflicts FROM fx_results r CROSS JOIN (VALUES (1),(2),(3)) AS v(k) WHERE k <= 1 + r.product_id%3
+"""
+VIEWS["fx_factors"] = """
+SELECT candidate_id*10 + k AS factor_id, candidate_id, k AS sequence, concat('rule.', CAST(candidate_id%7 AS VARCHAR(5)), '.', CAST(k AS VARCHAR(5))) AS rule_code, CASE WHEN candidate_id%31=0 AND k=2 THEN 'conflict' WHEN k=3 THEN 'unknown' ELSE 'matched' END AS outcome, k <> 3 AS required_for_selection
+FROM fx_candidates CROSS JOIN (VALUES (1),(2),(3)) AS v(k) WHERE k <= 1 + candidate_id%3
+"""
+VIEWS["fx_choices"] = """
+SELECT c.candidate_id*4 + v.k AS selection_id, c.result_id, c.candidate_id, CASE WHEN v.k > 0 THEN c.candidate_id*4 + v.k - 1 END AS supersedes_selection_id, concat('person', CAST(c.candidate_id%5 AS VARCHAR(5))) AS person_name, c.result_id%19=0 AS selection_cleared
+FROM fx_candidates c CROSS JOIN (VALUES (0),(1)) AS v(k) WHERE c.rank = 1 AND c.result_id%2 = 0 AND v.k <= c.candidate_id%2
+"""
+VIEWS["fx_approval_events"] = """
+SELECT r.run_id*4 + k AS event_id, r.run_id, r.certificate_id, CASE (r.run_id + k*k)%4 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'draft' END AS to_status FROM fx_runs r CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(k) WHERE k <= r.run_id%4
+"""
+VIEWS["fx_links"] = """
+SELECT f.factor_id*10 + 1 AS link_id, f.factor_id, o.observation_id, 'observation' AS source_type FROM fx_factors f JOIN fx_candidates c ON c.candidate_id = f.candidate_id JOIN fx_results r ON r.result_id = c.result_id JOIN fx_observations o ON o.product_id = r.product_id AND o.is_current
+"""
+
+
 def needed(sql: str, names=None) -> list[str]:
     """Views that a statement reaches, in definition order."""
     names = VIEWS if names is None else names

@@ -1 +1 @@
-from workload import classification, candidates, normalization, reconstruction  # noqa: F401
+from workload import classification, candidates, normalization, reconstruction, quality  # noqa: F401
