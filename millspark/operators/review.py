@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millspark.functions.keyed import latest_by, previous_row
+from millspark.functions.keyed import latest_by, row_position
 
 # --- fixed values: fields a person may enter, and allowed approval changes ---
 MANUAL_FIELDS = (
@@ -76,20 +76,32 @@ def accept_proposals(observations: DataFrame) -> DataFrame:
         "accepted_value": F.when(ok, F.col("proposed_value")), "accepted_source": F.when(ok, F.concat_ws(" | ", "proposed_source", "proposed_header"))})
 
 
+CHUNK = 4096
+
+
 def replay_approvals(events: DataFrame, initial: str = "needs_review") -> DataFrame:
-    """Events with the status before each and whether the change was allowed.
+    """Events with the status before each and whether the change was allowed; a refused event changes nothing.
 
-    A refused event leaves the status as it is, so the status before an event is folded over the run's events; the
-    fold runs on arrays per run, cut to the events of one run, which people create by hand (a few per run).
+    Each run's events are cut into chunks of at most ``CHUNK``. A chunk first tells which status it ends in for each
+    of the four it may start in; those small summaries give every chunk its start, and then each chunk is replayed.
     """
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    runs = events.groupBy("run_id", "certificate_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "to_status"))).alias("e"))
-    start = F.struct(F.lit(initial).alias("status"), F.array().cast("array<struct<event_id:bigint,from_status:string,to_status:string,valid:boolean>>").alias("done"))
+    move = lambda status, e: F.when(F.array_contains(F.element_at(allowed, status), e["to_status"]), e["to_status"]).otherwise(status)
+    placed = row_position(events, ["run_id"], ["event_id"], "_at").withColumn("_chunk", F.floor((F.col("_at") - 1) / CHUNK))
+    chunks = placed.groupBy("run_id", "certificate_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", "to_status"))).alias("e"))
+    ends = F.create_map(*[x for s in TRANSITIONS for x in (F.lit(s), F.aggregate("e", F.lit(s), move))])
+    chain = chunks.select("run_id", "_chunk", ends.alias("ends")).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("ends").alias("ends")))).alias("c"))
+    begin = F.struct(F.lit(initial).alias("status"), F.array().cast("array<struct<_chunk:bigint,start:string>>").alias("starts"))
+    walk = lambda acc, c: F.struct(F.element_at(F.map_from_entries(c["ends"]), acc["status"]).alias("status"), F.concat(acc["starts"], F.array(F.struct(
+        c["_chunk"].cast("bigint").alias("_chunk"), acc["status"].alias("start")))).alias("starts"))
+    starts = chain.select("run_id", F.explode(F.aggregate("c", begin, walk, lambda acc: acc["starts"])).alias("s")).select("run_id", "s._chunk", "s.start")
     def step(acc: Column, e: Column) -> Column:
         valid = F.array_contains(F.element_at(allowed, acc["status"]), e["to_status"])
         return F.struct(F.when(valid, e["to_status"]).otherwise(acc["status"]).alias("status"), F.concat(acc["done"], F.array(F.struct(
             e["event_id"].alias("event_id"), acc["status"].alias("from_status"), e["to_status"].alias("to_status"), valid.alias("valid")))).alias("done"))
-    return runs.select("run_id", "certificate_id", F.explode(F.aggregate("e", start, step, lambda acc: acc["done"])).alias("x")).select("run_id", "certificate_id", "x.*")
+    done = F.array().cast("array<struct<event_id:bigint,from_status:string,to_status:string,valid:boolean>>").alias("done")
+    replayed = F.aggregate("e", F.struct(F.col("start").alias("status"), done), step, lambda acc: acc["done"])
+    return chunks.join(starts, ["run_id", "_chunk"]).select("run_id", "certificate_id", F.explode(replayed).alias("x")).select("run_id", "certificate_id", "x.*")
 
 
 def status_after_replay(replayed: DataFrame, runs: DataFrame) -> DataFrame:
