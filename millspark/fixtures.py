@@ -255,6 +255,19 @@ SELECT f.factor_id*10 + 1 AS link_id, f.factor_id, o.observation_id, 'observatio
 """
 
 
+VIEWS["fx_tariff_rows"] = """
+SELECT 1 AS source_id, p_partkey AS position, CASE WHEN p_partkey%60=1 THEN concat('72.', CAST(10 + p_partkey%80 AS VARCHAR(5))) WHEN p_partkey%12=2 THEN concat('72', CAST(10 + p_partkey%80 AS VARCHAR(5)), '.', CAST(10 + p_partkey%7 AS VARCHAR(5)))
+ WHEN p_partkey%4=3 THEN concat('72', CAST(10 + p_partkey%80 AS VARCHAR(5)), '.', CAST(10 + p_partkey%7 AS VARCHAR(5)), '.0', CAST(p_partkey%9 AS VARCHAR(5))) WHEN p_partkey%97=0 THEN 'CÓDIGO' ELSE '' END AS code,
+ CASE WHEN p_partkey%3=0 THEN concat('0', CAST(p_partkey%9 AS VARCHAR(5))) WHEN p_partkey%5=0 THEN '--' ELSE '' END AS marker, CASE WHEN p_partkey%53=0 THEN '' WHEN p_partkey%59=0 THEN 'CUOTA (ARANCEL)' ELSE p_name END AS description FROM part
+"""
+VIEWS["fx_rule_log"] = """
+SELECT event_id AS log_id, user_id AS rule_set_id, CASE event_type WHEN 'click' THEN 'draft' WHEN 'view' THEN 'approved' ELSE 'retired' END AS status, 'rules' AS name, CAST(event_id%2 AS VARCHAR(5)) AS version, CAST(event_id%3 AS VARCHAR(5)) AS manifest FROM events
+"""
+VIEWS["fx_uploads"] = """
+SELECT event_id AS document_id, ts AS uploaded_at, concat('h', CAST(user_id*7 + event_id%5 AS VARCHAR(20))) AS sha256 FROM events
+"""
+
+
 def needed(sql: str, names=None) -> list[str]:
     """Views that a statement reaches, in definition order."""
     names = VIEWS if names is None else names

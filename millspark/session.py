@@ -35,10 +35,10 @@ def build_session(app_name: str = "millspark", master: str | None = None, **opti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in spark.checkpoint.dir; a fresh temporary one only for local sessions without it."""
+    """A new folder inside the one the cluster names in spark.checkpoint.dir; local sessions without it get a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return f"{configured.rstrip('/')}/millspark-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -46,6 +46,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and read it back, so that later steps do not recompute its inputs."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stage"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-from workload import classification, candidates, normalization, reconstruction, quality, history, review  # noqa: F401
+from workload import classification, candidates, normalization, reconstruction, quality, history, review, outputs  # noqa: F401
