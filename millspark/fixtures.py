@@ -268,6 +268,27 @@ SELECT event_id AS document_id, ts AS uploaded_at, concat('h', CAST(user_id*7 +
 """
 
 
+VIEWS["fx_sheet_cells"] = """
+SELECT concat('S', CAST(s AS VARCHAR(5))) AS sheet, 1 AS row, CAST(k AS INT) AS col, CASE k WHEN 1 THEN 'WIDTH(MM)' WHEN 2 THEN 'THICK (MM)' WHEN 3 THEN 'PRODUCTION NAME' WHEN 4 THEN 'COIL WEIGHT(MT)' WHEN 5 THEN 'C' WHEN 6 THEN 'MN' WHEN 7 THEN CASE WHEN s%4=0 THEN 'C' ELSE 'NOTE' END ELSE 'HEAT NO' END AS value, false AS is_formula
+FROM (SELECT DISTINCT certificate_id%20 AS s FROM fx_products) x CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8)) AS v(k)
+UNION ALL SELECT concat('S', CAST(certificate_id%20 AS VARCHAR(5))), CAST(product_id+10 AS INT), CAST(k AS INT), CASE k WHEN 1 THEN CASE WHEN product_id%50=0 THEN '0' ELSE CAST(width_mm AS VARCHAR(30)) END WHEN 2 THEN CAST(thickness_mm AS VARCHAR(30)) WHEN 3 THEN CASE product_id%4 WHEN 0 THEN 'HOT ROLLED STEEL COIL' WHEN 1 THEN 'COLD-ROLLED SHEET' WHEN 2 THEN 'PLATE' ELSE 'bar' END
+ WHEN 4 THEN CAST(product_id%30 AS VARCHAR(10)) WHEN 5 THEN CASE WHEN product_id%23=0 THEN '150' ELSE '0.05' END WHEN 6 THEN '=A1' WHEN 7 THEN '0.06' ELSE heat_no END, k = 6 FROM fx_products CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8)) AS v(k)
+"""
+VIEWS["fx_spec_cells"] = """
+SELECT concat('P', CAST(g AS VARCHAR(5))) AS sheet, CAST(2 AS INT) AS row, CAST(k AS INT) AS col, CASE k WHEN 1 THEN 'SPEC' WHEN 2 THEN 'ALLOY OR NON-ALLOY' ELSE 'YIELD POINT (MPa)' END AS value, false AS is_formula FROM (SELECT DISTINCT p_partkey%10 AS g FROM part) x CROSS JOIN (VALUES (1),(2),(3)) AS v(k)
+UNION ALL SELECT concat('P', CAST(p_partkey%10 AS VARCHAR(5))), CAST(p_partkey+10 AS INT), CAST(k AS INT), CASE k WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_partkey%20 < 10 THEN concat('ALLOY ', CAST(p_partkey%3 AS VARCHAR(5))) END ELSE CASE p_partkey%3 WHEN 0 THEN '>=355' WHEN 1 THEN '≤ 400' ELSE 'n/a' END END, false FROM part CROSS JOIN (VALUES (1),(2),(3)) AS v(k)
+"""
+VIEWS["fx_spec_merges"] = """
+SELECT concat('P', CAST(p_partkey%10 AS VARCHAR(5))) AS sheet, CAST(p_partkey+10 AS INT) AS min_row, CAST(p_partkey+20 AS INT) AS max_row, 2 AS min_col, 2 AS max_col FROM part WHERE p_partkey%20 < 10
+"""
+VIEWS["fx_label_blocks"] = """
+SELECT doc_id, 1 AS page, k AS block_id, CASE k WHEN 1 THEN CASE doc_id%3 WHEN 0 THEN concat('Certificate No: C-', CAST(doc_id AS VARCHAR(20))) WHEN 1 THEN concat('Certificado No C-', CAST(doc_id AS VARCHAR(20))) ELSE 'Certificate Number' END WHEN 2 THEN CASE WHEN doc_id%3=2 THEN concat('N-', CAST(doc_id AS VARCHAR(20))) ELSE 'free words' END
+ WHEN 3 THEN CASE WHEN doc_id%4=0 THEN 'Supplier: Acme' ELSE 'Manufacturer' END WHEN 4 THEN 'Acme Steel' WHEN 5 THEN CASE WHEN doc_id%5=0 THEN 'Fabricante: Otro' ELSE 'Grand total 5' END ELSE CASE WHEN doc_id%2=0 THEN 'Customer: see notes' ELSE 'Norma ASTM' END END AS text,
+ CAST(CASE k WHEN 2 THEN 205 ELSE 100 END AS DOUBLE) AS x0, CAST(CASE k WHEN 2 THEN 260 ELSE 200 END AS DOUBLE) AS x1, CAST(CASE k WHEN 2 THEN 100 WHEN 4 THEN 315 ELSE 100*k END AS DOUBLE) AS top, CAST(CASE k WHEN 2 THEN 112 WHEN 4 THEN 327 ELSE 100*k+12 END AS DOUBLE) AS bottom, CAST(600 AS DOUBLE) AS page_width, CAST(800 AS DOUBLE) AS page_height
+FROM documents CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6)) AS v(k)
+"""
+
+
 def needed(sql: str, names=None) -> list[str]:
     """Views that a statement reaches, in definition order."""
     names = VIEWS if names is None else names

@@ -27,7 +27,7 @@ def dedupe_uploads(stream: DataFrame, path: str, delay: str = "1 day") -> DataSt
     def build(batch: DataFrame, batch_id: int) -> DataFrame:
         if batch_id == 0:
             return batch
-        known = batch.sparkSession.read.schema(batch.schema.add("batch", "int")).parquet(f"{path}/data").filter(F.col("batch") < batch_id).select("sha256")
+        known = written(batch.sparkSession, path).filter(F.col("batch") < batch_id).select("sha256").distinct()
         return batch.join(known, "sha256", "left_anti").select(batch.columns)
     return batch_sink(recent, path, build)
 
