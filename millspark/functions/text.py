@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -24,11 +27,8 @@ def compact_term(text: Column) -> Column:
 
 def normalize_term_unicode(column: str) -> Column:
     """Full NFKD folding for scripts outside Latin; Arrow batches, used only where compatibility forms occur."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
-        import unicodedata
         marked = values.str.casefold().str.normalize("NFKD")
         bare = marked.map(lambda s: None if s is None else "".join(ch for ch in s if not unicodedata.combining(ch)))
         return bare.str.replace(r"[^\w]+", " ", regex=True).str.strip()

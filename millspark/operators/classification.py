@@ -13,6 +13,7 @@ from millspark.functions import refdata as ref
 from millspark.functions.keyed import broadcast_if_small
 from millspark.plans import branch_tables as tables
 from millspark.plans import nico_tables as nico
+from millspark.session import staged
 
 NO_TEXT = "cast(array() as array<string>)"
 COATED_OPTIONS = "if(coated is null, array(false, true), array(coated))"
@@ -362,7 +363,11 @@ def discarded_candidates(pairs: DataFrame) -> DataFrame:
 # ---- results, steps and factors (R11 to R13) ---------------------------------------------------------------
 
 def results(decisions: DataFrame) -> DataFrame:
-    """One row per roll. Rolls with two scenarios (a two-row group) always need review."""
+    """One row per roll. Rolls with two scenarios (a two-row group) always need review.
+
+    The few result columns are written once, as both branches below read them.
+    """
+    decisions = staged(decisions.select("product_id", "alternative", "outcome", "product_type", "fraction", "nico", "missing", "state"))
     plain = decisions.filter("not alternative").select("product_id", "outcome", "product_type", "fraction", "nico", "missing", "state")
     both = decisions.filter("alternative").groupBy("product_id").agg(
         F.array_sort(F.array_union(F.array(F.lit("rolling")), F.array_distinct(F.flatten(F.collect_list("missing"))))).alias("missing"))
