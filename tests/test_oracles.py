@@ -14,9 +14,10 @@ NAMES = ("rolls_by_family_and_heading", "branch_hot_wide", "ranked_candidates",
 
 
 def test_every_query_but_two_has_an_oracle():
-    import __spark_entry__ as entry
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"file_inventory", "template_extraction"}
-    assert len(entry.queries()) > 150
+    import __spark_entry__  # noqa: F401  (registers the queries)
+    from workload import registry
+    assert set(registry.QUERIES) - set(registry.oracle_sql()) == {"file_inventory", "template_extraction"}
+    assert len(registry.QUERIES) > 150
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
