@@ -50,14 +50,16 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     return filled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs`` (``doc_id, text, source``).
+def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` and the ``carry`` columns for each row of ``docs``.
 
     Size counts words without ASCII white space; a null text has size 0 and takes nothing whatever its copies. A null
     source is a source of its own. A source of size 0 has target 0. Null and repeated ids are rows like others: rows equal
     in id and size are interchangeable. ``copies`` is at most ``cap``. An empty table gives an empty table.
     """
-    docs = picked(docs, doc_id="long", text="string", source="string").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    kinds = dict(docs.dtypes)
+    docs = picked(docs, doc_id="long", text="string", source="string", **{c: kinds[c] for c in carry if c not in ("doc_id", "text", "source")})
+    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)])
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sizes, weights, cap)
     units = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(1 << UNIT_BITS)))).otherwise(0).cast("long")
@@ -75,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CA
     start = F.col("before") + F.coalesce(F.count(F.lit(1)).over(own), F.lit(0)) * F.col("units")
     ends = joined.withColumn("start", start)
     copies = F.shiftright(F.col("start") + F.col("units"), UNIT_BITS) - F.shiftright("start", UNIT_BITS)
-    return ends.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ends.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry) if c != "doc_id"])
 
 
 ORACLE = f"""

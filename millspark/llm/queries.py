@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millspark.llm import decontaminate, lines, mixing, substring, topk, warc
+from millspark.llm import decontaminate, language, lines, mixing, neardup, pii, substring, topk, toxicity, warc
 from millspark.session import configure
 
 
@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_spans(docs, pii.fit(docs)))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified_held_out(_table(spark, sf_dir, "documents"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeated_passages(_table(spark, sf_dir, "documents")))
 
@@ -37,13 +50,21 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": toxicity_scores,
+    "op2_personal_data": personal_data,
     "op3_warc": warc_round_trip,
     "op4_substring_dedup": substring_dedup,
+    "op5_language_id": language_id,
     "op6_benchmark_decontamination": decontamination,
     "op7_line_dedup": line_dedup,
     "op8_source_mixing": source_mixing,
     "op9_exact_top_k": exact_top_k,
+    "op10_minhash_near_dedup": minhash_near_dedup,
 }
 
 ORACLES = {
