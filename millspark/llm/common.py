@@ -10,10 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 NULL_ID = -(1 << 63)
+HASHED_WORDS = 100_000
+ARROW_ROWS = 2_000
 
 
 def picked(df: DataFrame, **casts: str) -> DataFrame:
     """Columns by exact name with their types, also beside columns whose names clash in letter case; others are left."""
+    # Whole texts cross to Python in batches of so many rows; the default of 10,000 suits narrow rows.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     names, numbered = df.columns, df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def place(name: str) -> int:
@@ -94,18 +98,23 @@ class Words:
 
     def hashes(self, seed: int) -> np.ndarray:
         lengths = self.ends - self.starts
+        out = np.empty(len(lengths), np.uint64)
         if not len(lengths):
-            return np.empty(0, np.uint64)
+            return out
         values = mix(np.arange(256, dtype=np.uint64), 2 * seed + 101)
         if self.lower:
             values[65:91] = values[97:123]
         places = mix(np.arange(int(lengths.max()), dtype=np.uint64), 2 * seed + 102)
-        own = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(own)) - own
-        at = place + np.repeat(self.starts, lengths)
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(values[self.data[at]] * places[place], np.cumsum(lengths) - lengths)
-        return mix(sums ^ lengths.astype(np.uint64), seed)
+        # Some words at a time: the arrays below have an entry per byte.
+        for i in range(0, len(lengths), HASHED_WORDS):
+            some = lengths[i:i + HASHED_WORDS]
+            first = np.cumsum(some) - some
+            place = np.arange(int(some.sum())) - np.repeat(first, some)
+            at = place + np.repeat(self.starts[i:i + HASHED_WORDS], some)
+            with np.errstate(over="ignore"):
+                sums = np.add.reduceat(values[self.data[at]] * places[place], first)
+            out[i:i + HASHED_WORDS] = mix(sums ^ some.astype(np.uint64), seed)
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """First words of all windows of ``size`` words that stay in their text."""

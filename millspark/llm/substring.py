@@ -25,12 +25,12 @@ from millspark.llm.common import NULL_ID, Words, batches_of, mix, picked, rollin
 WINDOW = 13
 CELL_BITS = 28
 BLOCK_BITS = 18
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 # Windows that one exact task holds at a time when it hands its findings on.
 FLUSH = 1 << 20
 ROWS = 2
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-FOUND = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+FOUND = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("pos", "<i4")])
 PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
 
 
@@ -159,7 +159,7 @@ def _candidates(window: int, bits: int, buckets: int, sketch):
                 maybe = maybe[_are_set(cells, chunk.h1[maybe], row, bits)]
             if not len(maybe):
                 continue
-            h1, h2, doc, pos = chunk.h1[maybe], chunk.h2()[maybe], chunk.doc[maybe], chunk.pos[maybe]
+            h1, h2, doc, pos = chunk.h1[maybe], chunk.h2()[maybe].astype(np.uint32), chunk.doc[maybe], chunk.pos[maybe]
             order = np.lexsort((doc, h2, h1))
             h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
             first = _changes(h1, h2)
@@ -182,19 +182,18 @@ def _candidates(window: int, bits: int, buckets: int, sketch):
     return run
 
 
-def _places(places: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its packed window starts."""
-    places = places[np.lexsort((places["pos"], places["doc"]))]
-    cut = _changes(places["doc"])
-    data = np.ascontiguousarray(places["pos"]).tobytes()
+def _places(places: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Window starts packed by part of the documents."""
+    part = np.mod(places["doc"], parts)
+    order = np.argsort(part, kind="stable")
+    places, part = places[order], part[order]
+    cut = _changes(part)
     ends = np.append(cut[1:], len(places))
-    return pa.RecordBatch.from_arrays([pa.array(places["doc"][cut], pa.int64()), pa.array([data[4 * a:4 * b] for a, b in zip(cut, ends)], pa.binary())], names=["doc_id", "starts"])
+    return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array([places[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["part", "places"])
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decide(parts: int):
     """Exact grouping of one bucket at a time: places whose document is not the smallest with that window."""
-    held, size, current, rows = [], 0, None, []
-
     def group(parts: list[bytes]) -> np.ndarray:
         found = np.frombuffer(b"".join(parts), FOUND)
         h1, h2, doc = (np.ascontiguousarray(found[c]) for c in ("h1", "h2", "doc"))
@@ -205,49 +204,62 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.empty(int(later.sum()), PLACE)
         out["doc"], out["pos"] = doc[later], found["pos"][order][later]
         return out
-    for batch in batches:
-        for bucket, found, decided in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != current and rows:
-                held.append(group(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, current, rows = [], 0, None, []
+        for batch in batches:
+            for bucket, found, decided in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != current and rows:
+                    held.append(group(rows))
+                    size += len(held[-1])
+                    rows = []
+                current = bucket
+                rows.append(found)
+                held.append(np.frombuffer(decided, PLACE))
                 size += len(held[-1])
-                rows = []
-            current = bucket
-            rows.append(found)
-            held.append(np.frombuffer(decided, PLACE))
-            size += len(held[-1])
-            if size > FLUSH:
-                yield _places(np.concatenate(held))
-                held, size = [], 0
-    if rows:
-        held.append(group(rows))
-    if held:
-        yield _places(np.concatenate(held))
+                if size > FLUSH:
+                    yield _places(np.concatenate(held), parts)
+                    held, size = [], 0
+        if rows:
+            held.append(group(rows))
+        if held:
+            yield _places(np.concatenate(held), parts)
+    return run
 
 
 def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, text, starts in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words = (text or b"").split()
-                removed = 0
-                if starts:
-                    covered = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(starts), "<i4"))
-                    at = at[at + window <= len(words)]
-                    covered[at] += 1
-                    covered[at + window] -= 1
-                    drop = np.cumsum(covered)[:-1] > 0
-                    removed = int(drop.sum())
-                    kept = [w for w, d in zip(words, drop.tolist()) if not d]
-                else:
-                    kept = words
-                out.append((doc_id, len(words), removed, b" ".join(kept)))
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_words", "n_removed", "kept_text"])
+    """The kept words of the documents of one part."""
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places = np.frombuffer(b"".join(found["places"].to_pylist()), PLACE)
+        doc, pos = np.ascontiguousarray(places["doc"]), np.ascontiguousarray(places["pos"])
+        order = np.argsort(doc, kind="stable")
+        doc, pos = doc[order], pos[order]
+        out = []
+        for doc_id, own, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "_id", "text"))):
+            words = (text or b"").split()
+            at = np.unique(pos[np.searchsorted(doc, own):np.searchsorted(doc, own, side="right")])
+            at = at[at + window <= len(words)]
+            removed, kept = 0, words
+            if len(at):
+                covered = np.zeros(len(words) + 1, np.int64)
+                covered[at] += 1
+                covered[at + window] -= 1
+                drop = np.cumsum(covered)[:-1] > 0
+                removed, kept = int(drop.sum()), [w for w, d in zip(words, drop.tolist()) if not d]
+            out.append((doc_id, len(words), removed, b" ".join(kept)))
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_words", "n_removed", "kept_text"])
     return run
 
 
+def _coprime(buckets: int) -> int:
+    """The next prime: ids in regular steps still spread over all parts."""
+    n = max(3, buckets) | 1
+    while any(n % i == 0 for i in range(3, int(n ** 0.5) + 1, 2)):
+        n += 2
+    return n
+
+
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, cell_bits: int = CELL_BITS, buckets: int | None = None) -> DataFrame:
     """Drop every word covered by a window of words that also starts in a document with a smaller ``doc_id``.
 
@@ -256,17 +268,18 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, cell_bits: i
     all others and comes back as null. Rows that repeat a ``doc_id`` are one document: only what a smaller ``doc_id`` holds
     is removed from them, at the same places in each. Texts shorter than a window are kept whole. An empty table gives
     an empty table; other columns are not looked at. ``buckets`` (eight per shuffle partition unless given) cuts the
-    exact grouping; a task holds one bucket's windows at a time.
+    exact grouping and the documents; a task holds one bucket's windows, or one part's texts, at a time.
     """
     spark = docs.sparkSession
     docs = picked(docs, doc_id="long", text="string").withColumn("text", F.col("text").cast("binary"))
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, window, cell_bits))
     found = docs.mapInArrow(_candidates(window, cell_bits, buckets, sketch), "bucket long, found binary, decided binary")
-    places = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide, "doc_id long, starts binary")
-    starts = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("starts").alias("starts"))
-    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(starts, "_id", "left")
-    cut = joined.select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text binary")
+    parts = _coprime(buckets // 4)
+    places = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide(parts), "part long, places binary")
+    own = F.coalesce("doc_id", F.lit(NULL_ID))
+    docs = docs.withColumns({"_id": own, "part": F.pmod(own, F.lit(parts))})
+    cut = docs.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text binary")
     return cut.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
