@@ -7,9 +7,9 @@ register with the probability Jaccard similarity of the weighted shingles.
 
 Texts with equal shingles are one *text*, represented by their smallest document. Signatures are cut into bands; texts
 that share a band are candidates. Candidates are verified exactly on their shingles, without writing out the pairs of a
-group: each text of a band's bucket is checked against the bucket's smallest text, checked links are joined to components,
-and only texts of one bucket that are still in different components are compared with each other, by signature in
-blocks and then exactly. A pair that is not compared is already in one class, so the classes are those of all pairs.
+group: each text of a band's bucket is checked against one text drawn from the bucket, checked links are joined to components,
+and only texts of one bucket that are still in different components are compared with each other, block by block, by
+signature and then exactly. A pair that is not compared is already in one class, so the classes are those of all pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ SIMILARITY = 0.8
 BANDS = 24
 BAND_ROWS = 4
 CHUNK_BYTES = 8 << 20
-# Signature agreement below which a candidate is not verified: five standard errors under the similarity.
-SLACK = 0.2
+# A candidate whose signatures agree this much less than the similarity is not verified: four standard errors.
+SLACK = 0.16
 BLOCK = 1024
+HEAD_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
 MULTIPLIER = 0xE7037ED1A0B428DB
 
@@ -128,36 +129,66 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_sets(texts: pa.ChunkedArray | pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    row, value, count, n = weighted_shingles(texts, size)
+    cut = np.searchsorted(row, np.arange(n + 1))
+    return [(value[a:b], count[a:b]) for a, b in zip(cut, cut[1:])]
+
+
 def _verified(size: int, least: float):
     """Exact similarity of the two texts of each row."""
-    def sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        row, value, count, n = weighted_shingles(texts, size)
-        cut = np.searchsorted(row, np.arange(n + 1))
-        return [(value[a:b], count[a:b]) for a, b in zip(cut, cut[1:])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_of(batches, "tb", CHUNK_BYTES):
             # The same first text stands in many neighbouring rows.
             first = table["ta"].combine_chunks().dictionary_encode()
-            left, right = sets(first.dictionary), sets(table["tb"])
+            left, right = _shingle_sets(first.dictionary, size), _shingle_sets(table["tb"], size)
             score = [similarity(left[i], y) for i, y in zip(first.indices.to_pylist(), right)]
             keep = pa.array([s >= least - 1e-9 for s in score], pa.bool_())
             yield pa.RecordBatch.from_arrays([table["a"].combine_chunks(), table["b"].combine_chunks(), pa.array(score, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
     return run
 
 
-def _across(least: float):
-    """Pairs from two blocks of one bucket in different components whose signatures agree enough."""
+BLOCKS = "bucket long, i int, j int, band int, side int, id long, component long, sign binary"
+
+
+def _candidates(table: pa.Table, bands: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text of side 0 the texts of side 1 to verify: in another component, of near enough signature, and with
+    this band as the first that both share, so that a pair comes up once however many buckets hold it."""
+    comp, side, band = table["component"].to_numpy(), table["side"].to_numpy(), table["band"][0].as_py()
+    signs = np.frombuffer(b"".join(table["sign"].to_pylist()), "<u4").reshape(len(comp), -1)
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        near = right[comp[right] != comp[i]]
+        same = signs[near] == signs[i]
+        fits = (same.mean(axis=1) >= least) & (same.reshape(len(near), bands, -1).all(axis=2).argmax(axis=1) == band)
+        if fits.any():
+            yield i, near[fits]
+
+
+def _across(bands: int, least: float):
+    """The rows of a block pair that have something to verify."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, bool)
+        for i, near in _candidates(table, bands, least):
+            keep[i] = True
+            keep[near] = True
+        return table.filter(pa.array(keep))
+    return run
+
+
+def _across_verified(size: int, bands: int, least: float, enough: float):
+    """Verified links of a block pair, one for each text and component at most: a second one would join nothing."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comp, side = (table[c].to_numpy() for c in ("id", "component", "side"))
-        signs = np.frombuffer(b"".join(table["sign"].to_pylist()), "<u4").reshape(len(ids), -1)
-        right, a, b = np.flatnonzero(side == 1), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.flatnonzero(side == 0):
-            near = right[comp[right] != comp[i]]
-            near = near[(signs[near] == signs[i]).mean(axis=1) >= least]
-            a.append(np.minimum(ids[near], ids[i]))
-            b.append(np.maximum(ids[near], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+        sets, a, b = _shingle_sets(table["text"], size), [], []
+        for i, near in _candidates(table, bands, enough):
+            joined: set[int] = set()
+            for j in near.tolist():
+                if comp[j] not in joined and similarity(sets[i], sets[j]) >= least - 1e-9:
+                    joined.add(comp[j])
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
@@ -181,30 +212,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     worded = signed.filter("worded AND doc_id IS NOT NULL")
     groups = staged(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min_by("sign", "doc_id").alias("sign")))
     spots = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sign, {1 + 4 * band_rows * i}, {4 * band_rows})")) for i in range(bands)])
-    buckets = groups.select("id", F.explode(spots).alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    buckets = staged(buckets.join(heads.select("bucket", "head"), "bucket"))
+    buckets = groups.select("id", F.posexplode(spots).alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = staged(buckets.join(shared, "bucket"))
     signs = groups.select("id", "sign")
-    # The texts that share a bucket with another, once for both verifications.
+    # The texts that share a bucket with another, once for all verifications.
     bucketed = sized(buckets.select("id").distinct(), BROADCAST_IDS)
     texts = staged(docs.withColumnRenamed("doc_id", "id").join(bucketed, "id", "left_semi"))
-    # First: every text against the smallest of each of its buckets.
-    pairs = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(signs.select(F.col("id").alias("b"), F.col("sign").alias("sb")), "b").join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sa")), "a").select("a", "b", "sa", "sb")
-    pairs = staged(pairs.mapInArrow(lambda batches: _agreeing(batches, least - SLACK), "a long, b long").distinct())
-    links = staged(_verify(pairs, texts, shingle, least))
-    known = components(links.select("a", "b"))
+    # First: every text against the head of each of its buckets. Heads are drawn by hash, later by the number of links
+    # found: the texts nearest to the middle of a loose group. Texts already in the head's component need no check.
+    labelled, links = buckets.withColumn("component", F.col("id")), None
+    for step in range(HEAD_ROUNDS):
+        if step:
+            degrees = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+            ranked = labelled.join(degrees, "id", "left")
+        else:
+            ranked = labelled.withColumn("links", F.lit(0))
+        order = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("bucket", "id", F.lit(step)))
+        heads = ranked.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), order).alias("head"))
+        pairs = labelled.join(heads, "bucket").filter(F.col("component") != F.col("head.component")).select(F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")).distinct()
+        pairs = pairs.join(signs.select(F.col("id").alias("b"), F.col("sign").alias("sb")), "b").join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sa")), "a").select("a", "b", "sa", "sb")
+        pairs = staged(pairs.mapInArrow(lambda batches: _agreeing(batches, least - SLACK), "a long, b long").distinct())
+        found = staged(_verify(pairs, texts, shingle, least))
+        links = found if links is None else staged(links.unionByName(found).dropDuplicates(["a", "b"]))
+        known = components(links.select("a", "b")).withColumnRenamed("node", "id")
+        labelled = staged(buckets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
     # Then: what is still apart within a bucket. All but the bucket's largest component meet the whole bucket, by blocks.
-    labelled = staged(buckets.select("bucket", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
     sizes = sizes.select("bucket", F.col("most.component").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"))
     apart = labelled.join(sizes, "bucket").join(signs, "id")
     place = F.xxhash64("id")
-    few = apart.filter("component <> most").select("bucket", F.pmod(place, "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component", "sign")
-    every = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod(place, "all").cast("int").alias("j"), F.lit(1).alias("side"), "id", "component", "sign")
-    more = few.unionByName(every.select(*few.columns)).groupBy("bucket", "i", "j").applyInArrow(_across(least - SLACK), "a long, b long").distinct()
-    more = staged(_verify(staged(more), texts, shingle, least))
+    few = apart.filter("component <> most").select("bucket", F.pmod(place, "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), "band", F.lit(0).alias("side"), "id", "component", "sign")
+    every = apart.select("bucket", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod(place, "all").cast("int").alias("j"), "band", F.lit(1).alias("side"), "id", "component", "sign")
+    open_ = staged(few.unionByName(every).groupBy("bucket", "i", "j").applyInArrow(_across(bands, least - SLACK), BLOCKS))
+    more = open_.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_across_verified(shingle, bands, least, least - SLACK), "a long, b long")
+    more = staged(more.distinct())
     classes = components(links.select("a", "b").unionByName(more.select("a", "b")))
     named = groups.join(classes.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n_copies", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", "h1", "h2", (F.col("worded") & F.col("doc_id").isNotNull()).alias("worded"))
