@@ -70,7 +70,7 @@ def scaled_percentage(raw: Column, exponent: Column) -> Column:
         F.lit(i), F.lit(f"{10.0 ** i:.8f}").cast("decimal(18,8)"))]), exponent)
     scaled = value * powers
     error = (F.when(raw.isNull(), None).when(text == "", "empty_cell").when(value.isNull(), "not_numeric")
-             .when(exponent.isNull(), "no_scale").when((scaled < 0) | (scaled > 100), "out_of_range"))
+             .when(exponent.isNull(), "no_scale").when(powers.isNull(), "scale_out_of_range").when((scaled < 0) | (scaled > 100), "out_of_range"))
     return F.struct(F.when(error.isNull(), scaled.cast("decimal(18,8)")).alias("percentage"), error.alias("error"))
 
 
@@ -105,14 +105,15 @@ def dimension_value(text: Column, header: Column, length: bool = False) -> Colum
     """Millimetres (metres for a length) from a cell such as '1 1/2 in'; an unknown suffix gives null."""
     unit = F.coalesce(dimension_unit(text), dimension_unit(header), F.lit("m" if length else "mm"))
     part = lambda i: F.nullif(F.regexp_extract(text, DIMENSION, i), F.lit(""))
-    whole = F.coalesce(F.replace(part(1), F.lit(","), F.lit(".")).try_cast("decimal(12,6)"), F.lit(0).cast("decimal(12,6)"))
+    # Text that is present but does not fit stays unknown; only an absent whole part counts as zero.
+    whole = F.when(part(1).isNull(), F.lit(0).cast("decimal(20,6)")).otherwise(F.replace(part(1), F.lit(","), F.lit(".")).try_cast("decimal(20,6)"))
     top = F.coalesce(part(2), part(4)).try_cast("decimal(9,0)")
     bottom = F.coalesce(part(3), part(5)).try_cast("decimal(9,0)")
     factor = F.element_at(F.create_map(*[x for k, v in UNIT_FACTORS.items() for x in (
         F.lit(k), F.lit(v).cast("decimal(8,4)"))]), unit)
     numeric = whole + F.when(top.isNull(), F.lit(0).cast("decimal(9,0)")).otherwise(F.try_divide(top, bottom))
     value = numeric * factor / F.lit(1000 if length else 1).cast("decimal(4,0)")
-    return F.when(text.rlike(DIMENSION), value.cast("decimal(18,6)"))
+    return F.when(text.rlike(DIMENSION), value.try_cast("decimal(18,6)"))
 
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()

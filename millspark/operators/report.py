@@ -29,9 +29,9 @@ def classification_sheet(products: DataFrame, results: DataFrame, runs: DataFram
     """One row per result of the latest runs, and one per roll without any."""
     rows = results.join(h.latest_runs(runs).select("run_id", F.col("approval_status").alias("run_status")), "run_id")
     chosen = h.current_selections(selections).select("result_id", F.col("candidate_id").alias("chosen_id"), F.col("person_name").alias("chosen_by"))
-    # Candidates of a result and factors of a candidate are few; both are cut to what the sheet shows.
+    # Candidates of a result are few; all are kept, as a person may choose any of them.
     code = F.concat_ws("-", "fraction", "nico")
-    options = candidates.groupBy("result_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", code.alias("code")))), 1, 16).alias("options"))
+    options = candidates.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", code.alias("code")))).alias("options"))
     df = rows.join(options, "result_id", "left").join(chosen, "result_id", "left")
     df = df.withColumn("active_id", F.coalesce("chosen_id", F.expr("get(filter(options, x -> x.rank = 1), 0).candidate_id")))
     named = factors.filter("sequence <= 4").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.concat_ws(": ", "rule_code", "outcome").alias("text")))).alias("f"))

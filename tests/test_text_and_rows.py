@@ -90,3 +90,10 @@ def test_upload_stream_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     jobs.dedupe_uploads(stream, str(out)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["sha256"] for r in jobs.written(spark, str(out)).collect()) == ["a", "b", "c"]
+
+
+def test_values_beyond_the_usual_range_are_kept_or_unknown(spark):
+    large = lambda text: one(spark, tx.dimension_value(F.lit(text), F.lit(""), length=True))
+    assert float(large("1500000 mm")) == 1500
+    assert large("9" * 30 + " mm") is None
+    assert one(spark, tx.scaled_percentage(F.lit("13"), F.lit(-9)))["error"] == "scale_out_of_range"
