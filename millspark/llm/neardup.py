@@ -198,6 +198,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Data
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verified(size, least), "a long, b long, similarity double")
 
 
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` after new links: only links between components are walked, not those found before."""
+    ends = links.select("a", "b").join(members.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
+    ends = ends.join(members.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
+    found = components(ends).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+    return staged(members.join(found, "component", "left").select("id", F.coalesce("_least", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, class_id, n_copies`` for each row: the smallest document of its class, and how many rows share its shingles.
 
@@ -221,6 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     texts = staged(docs.withColumnRenamed("doc_id", "id").join(bucketed, "id", "left_semi"))
     # First: every text against the head of each of its buckets. Heads are drawn by hash, later by the number of links
     # found: the texts nearest to the middle of a loose group. Texts already in the head's component need no check.
+    members = staged(buckets.select("id", F.col("id").alias("component")).distinct())
     labelled, links = buckets.withColumn("component", F.col("id")), None
     for step in range(HEAD_ROUNDS):
         if step:
@@ -235,8 +244,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
         pairs = staged(pairs.mapInArrow(lambda batches: _agreeing(batches, least - SLACK), "a long, b long").distinct())
         found = staged(_verify(pairs, texts, shingle, least))
         links = found if links is None else staged(links.unionByName(found).dropDuplicates(["a", "b"]))
-        known = components(links.select("a", "b")).withColumnRenamed("node", "id")
-        labelled = staged(buckets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        members = _joined(members, found)
+        labelled = staged(buckets.join(members, "id"))
     # Then: what is still apart within a bucket. All but the bucket's largest component meet the whole bucket, by blocks.
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
@@ -248,8 +257,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     open_ = staged(few.unionByName(every).groupBy("bucket", "i", "j").applyInArrow(_across(bands, least - SLACK), BLOCKS))
     more = open_.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(_across_verified(shingle, bands, least, least - SLACK), "a long, b long")
     more = staged(more.distinct())
-    classes = components(links.select("a", "b").unionByName(more.select("a", "b")))
-    named = groups.join(classes.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n_copies", F.coalesce("component", "id").alias("class_id"))
+    named = groups.join(_joined(members, more), "id", "left").select("h1", "h2", "n_copies", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", "h1", "h2", (F.col("worded") & F.col("doc_id").isNotNull()).alias("worded"))
     out = out.join(named, ["h1", "h2"], "left")
     alone = ~F.col("worded")
