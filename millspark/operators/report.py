@@ -10,6 +10,21 @@ from millspark.functions.keyed import latest_by
 from millspark.operators import history as h
 
 NOTICE = "Datos de demostración; no constituyen asesoría aduanera."
+# Key factors that the classification sheet shows per result.
+SHOWN_FACTORS = 4
+
+
+def within_scope(rows: DataFrame, certificates: DataFrame, heats: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows of the certificates in scope: by the roll a row names, else by its heat, else by its certificate.
+
+    Those of ``product_id, heat_id, certificate_id`` that ``rows`` lacks are added as null; a row without any is out of scope.
+    """
+    links = ("product_id", "heat_id", "certificate_id")
+    rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in links if c not in rows.columns})
+    kinds = (("product_id", products, "product_id is not null"), ("heat_id", heats, "product_id is null and heat_id is not null"),
+             ("certificate_id", certificates, "product_id is null and heat_id is null"))
+    parts = [rows.filter(own).join(scope.select(key), key, "left_semi").select(rows.columns) for key, scope, own in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def check_report_scope(certificates: DataFrame, runs: DataFrame, wanted: DataFrame, official: bool) -> DataFrame:
@@ -34,7 +49,9 @@ def classification_sheet(products: DataFrame, results: DataFrame, runs: DataFram
     options = candidates.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", code.alias("code")))).alias("options"))
     df = rows.join(options, "result_id", "left").join(chosen, "result_id", "left")
     df = df.withColumn("active_id", F.coalesce("chosen_id", F.expr("get(filter(options, x -> x.rank = 1), 0).candidate_id")))
-    named = factors.filter("sequence <= 4").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.concat_ws(": ", "rule_code", "outcome").alias("text")))).alias("f"))
+    # Ranked in place of read by number: sequences may have gaps.
+    order = F.row_number().over(Window.partitionBy("candidate_id").orderBy("sequence", "rule_code"))
+    named = factors.withColumn("_n", order).filter(F.col("_n") <= SHOWN_FACTORS).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.concat_ws(": ", "rule_code", "outcome").alias("text")))).alias("f"))
     df = df.join(named.withColumnRenamed("candidate_id", "active_id"), "active_id", "left")
     others = F.expr("filter(options, x -> not (x.candidate_id <=> active_id))")
     active_code = F.expr("get(filter(options, x -> x.candidate_id = chosen_id), 0).code")
@@ -86,17 +103,18 @@ def report_tables(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     within = lambda df: df.join(scope, "certificate_id", "left_semi")
     heats, products, runs = within(t["heats"]), within(t["products"]), within(t["runs"])
     results = t["results"].join(h.latest_runs(runs).select("run_id"), "run_id", "left_semi")
-    observations = t["observations"].join(products.select("product_id"), "product_id", "left_semi")
+    linked = lambda df: within_scope(df, scope, heats, products)
+    observations = linked(t["observations"])
     selections = t["selections"].join(results.select("result_id"), "result_id", "left_semi")
     makers = t["manufacturers"]
     return {
         "Resumen": h.report_summary(t["certificates"], heats, products, results, selections, runs, makers),
         "Actas": t["certificates"].join(makers.select("manufacturer_id", F.col("name").alias("fabricante")), "manufacturer_id", "left"),
         "Batches": heats, "Coladas": products,
-        "Composición": composition_sheet(t["compositions"].join(heats.select("heat_id"), "heat_id", "left_semi"), products, heats),
+        "Composición": composition_sheet(linked(t["compositions"]), products, heats),
         "Evidencia": evidence_sheet(observations, t["links"], t["factors"]),
-        "Clasificación": classification_sheet(products, results, runs, t["candidates"], t["factors"], selections, h.first_evidence(products, observations.withColumn("heat_id", F.lit(None).cast("bigint")))),
-        "Auditoría": audit_timeline(selections, t["approvals"].join(runs.select("run_id"), "run_id", "left_semi"), t["corrections"]),
+        "Clasificación": classification_sheet(products, results, runs, t["candidates"], t["factors"], selections, h.first_evidence(products, observations)),
+        "Auditoría": audit_timeline(selections, t["approvals"].join(runs.select("run_id"), "run_id", "left_semi"), linked(t["corrections"])),
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millspark.functions.keyed import latest_by, row_position
 
@@ -151,14 +151,19 @@ def fold_selections(results: DataFrame, current: DataFrame, cleared: DataFrame,
 
 
 def manual_candidates(requests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate rows for manual codes: an existing pair is reused, a new one takes the next rank, a malformed one is refused."""
+    """One row per requested (result, code): an existing pair is reused, a malformed one is refused, new ones follow the last rank.
+
+    New pairs of one result are numbered by code, so that no two share a rank; a pair asked for twice is added once.
+    """
+    pair = ["result_id", "fraction", "nico"]
     top = candidates.groupBy("result_id").agg(F.max("rank").alias("_top"))
-    pairs = candidates.groupBy("result_id", "fraction", "nico").agg(F.min("rank").alias("_same"))
-    df = requests.join(pairs, ["result_id", "fraction", "nico"], "left").join(top, "result_id", "left")
-    valid = F.col("fraction").rlike("^[0-9]{8}$") & F.col("nico").rlike("^[0-9]{2}$")
-    return df.withColumns({
-        "decision": F.when(~valid, "invalid_tariff_code").when(F.col("_same").isNotNull(), "existing").otherwise("added"),
-        "rank": F.when(valid, F.coalesce("_same", F.coalesce("_top", F.lit(0)) + 1))}).drop("_same", "_top")
+    pairs = candidates.groupBy(*pair).agg(F.min("rank").alias("_same"))
+    df = requests.dropDuplicates(pair).join(pairs, pair, "left").join(top, "result_id", "left")
+    valid = F.coalesce(F.col("fraction").rlike("^[0-9]{8}$") & F.col("nico").rlike("^[0-9]{2}$"), F.lit(False))
+    df = df.withColumn("decision", F.when(~valid, "invalid_tariff_code").when(F.col("_same").isNotNull(), "existing").otherwise("added"))
+    place = F.row_number().over(Window.partitionBy("result_id", "decision").orderBy("fraction", "nico"))
+    rank = F.when(F.col("decision") == "existing", F.col("_same")).when(F.col("decision") == "added", F.coalesce("_top", F.lit(0)) + place)
+    return df.withColumn("rank", rank).drop("_same", "_top")
 
 
 def archived_flags(events: DataFrame) -> DataFrame:

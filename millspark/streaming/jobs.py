@@ -20,16 +20,19 @@ def written(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def dedupe_uploads(stream: DataFrame, path: str, delay: str = "1 day") -> DataStreamWriter:
-    """First upload of each content hash. The watermark drops recent repeats in the state store; older ones are
-    found in what earlier batches wrote."""
-    recent = stream.withWatermark("uploaded_at", delay).dropDuplicatesWithinWatermark(["sha256"])
+def dedupe_uploads(stream: DataFrame, path: str) -> DataStreamWriter:
+    """First upload of each content hash: the earliest of its batch, unless an earlier batch wrote that hash.
+
+    No watermark decides: a new document stays new however late it comes. Of earlier output only the hashes are read.
+    """
     def build(batch: DataFrame, batch_id: int) -> DataFrame:
+        first = F.min_by(F.struct(*[F.col(c) for c in batch.columns]), order_key("uploaded_at", "document_id"))
+        fresh = batch.groupBy("sha256").agg(first.alias("_first")).select("_first.*")
         if batch_id == 0:
-            return batch
+            return fresh
         known = written(batch.sparkSession, path).filter(F.col("batch") < batch_id).select("sha256").distinct()
-        return batch.join(known, "sha256", "left_anti").select(batch.columns)
-    return batch_sink(recent, path, build)
+        return fresh.join(known, "sha256", "left_anti").select(batch.columns)
+    return batch_sink(stream, path, build)
 
 
 def first_uploads(uploads: DataFrame) -> DataFrame:

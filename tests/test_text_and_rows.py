@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from millspark.functions import text as tx
 from millspark.operators import catalog as ct
 from millspark.operators import reconstruct as rc
+from millspark.operators import report as rp
 from millspark.operators import review as rv
 from millspark.operators import tables as tb
 from millspark.sources import readers
@@ -92,6 +93,35 @@ def test_upload_stream_over_batches(spark, tmp_path):
     assert sorted(r["sha256"] for r in jobs.written(spark, str(out)).collect()) == ["a", "b", "c"]
 
 
+def test_late_uploads_are_kept(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    for document, day, sha in ((1, 10, "a"), (2, 20, "b"), (3, 12, "c"), (4, 11, "b")):
+        spark.sql(f"SELECT {document}L AS document_id, timestamp'2024-01-{day} 00:00:00' AS uploaded_at, '{sha}' AS sha256").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("document_id bigint, uploaded_at timestamp, sha256 string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    jobs.dedupe_uploads(stream, str(out)).trigger(availableNow=True).start().awaitTermination()
+    kept = {r["sha256"]: r["document_id"] for r in jobs.written(spark, str(out)).collect()}
+    assert kept == {"a": 1, "b": 2, "c": 3}
+
+
+def test_manual_candidates_get_ranks_of_their_own(spark):
+    rows = "result_id bigint, fraction string, nico string"
+    have = spark.createDataFrame([(1, "72091601", "01", 1)], rows + ", rank int")
+    asked = spark.createDataFrame([(1, "72091602", "01"), (1, "72091603", "01"), (1, "72091602", "01"), (1, "72091601", "01"), (1, "7209", "01"), (1, None, "01"), (2, "72091602", "01")], rows)
+    got = sorted((r["result_id"], r["fraction"] or "", r["decision"], r["rank"] or 0) for r in rv.manual_candidates(asked, have).collect())
+    assert got == [(1, "", "invalid_tariff_code", 0), (1, "7209", "invalid_tariff_code", 0), (1, "72091601", "existing", 1),
+                   (1, "72091602", "added", 2), (1, "72091603", "added", 3), (2, "72091602", "added", 1)]
+
+
+def test_report_scope_follows_roll_heat_or_certificate(spark):
+    ids = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} bigint")
+    rows = spark.createDataFrame([(1, 7, None, None), (2, None, 5, None), (3, None, None, 3), (4, 8, 5, 3), (5, None, 6, 3), (6, None, None, None)],
+                                 "observation_id bigint, product_id bigint, heat_id bigint, certificate_id bigint")
+    got = rp.within_scope(rows, ids("certificate_id", 3), ids("heat_id", 5), ids("product_id", 7))
+    assert sorted(r["observation_id"] for r in got.collect()) == [1, 2, 3]
+    bare = rp.within_scope(rows.select("observation_id", "heat_id"), ids("certificate_id", 3), ids("heat_id", 5), ids("product_id", 7))
+    assert sorted(r["observation_id"] for r in bare.collect()) == [2, 4]
+
+
 def test_values_beyond_the_usual_range_are_kept_or_unknown(spark):
     large = lambda text: one(spark, tx.dimension_value(F.lit(text), F.lit(""), length=True))
     assert float(large("1500000 mm")) == 1500
