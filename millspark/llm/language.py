@@ -94,18 +94,23 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 7) -> Mod
     for i, (_, at, value) in enumerate(rows):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
     y = np.array([languages.index(r[0]) for r in rows], np.int64)
+    # The driver's memory is bounded by train_rows x DIMS: the arrays below are changed in place, not copied.
+    del rows
     codes = code_table(len(languages))
     # Regularised least squares per bit, every language weighing the same.
     size = np.bincount(y, minlength=max(1, len(languages)))
     weight = np.sqrt(len(y) / (len(languages) * size[y])) if len(y) else np.zeros(0)
     offset = codes.mean(axis=0) if len(codes) else np.zeros(0)
-    wx = x * weight[:, None].astype(np.float32)
+    x *= weight[:, None].astype(np.float32)
     target = (codes[y] - offset) * weight[:, None]
-    if len(rows) <= DIMS:
-        weights = wx.T @ np.linalg.solve((wx @ wx.T).astype(np.float64) + RIDGE * np.eye(len(rows)), target) if len(rows) else np.zeros((DIMS, codes.shape[1]))
+    few = len(y) <= DIMS
+    gram = (x @ x.T if few else x.T @ x).astype(np.float64)
+    gram.flat[::len(gram) + 1] += RIDGE
+    if not len(y):
+        weights, right = np.zeros((DIMS, codes.shape[1])), np.zeros(codes.shape[1])
     else:
-        weights = np.linalg.solve((wx.T @ wx).astype(np.float64) + RIDGE * np.eye(DIMS), wx.T @ target)
-    right = ((x @ weights + offset) * codes[y] > 0).mean(axis=0) if len(rows) else np.zeros(codes.shape[1])
+        weights = (x.T @ np.linalg.solve(gram, target).astype(np.float32) if few else np.linalg.solve(gram, x.T @ target)).astype(np.float32)
+        right = (((x @ weights) / weight[:, None] + offset) * codes[y] > 0).mean(axis=0)
     return Model(languages, codes, weights.astype(np.float32), offset, np.maximum(0.05, 2 * right - 1))
 
 
