@@ -21,6 +21,8 @@ DIMS = 4096
 TRAIN_ROWS = 4000
 RIDGE = 0.3
 AMBIGUOUS = 0.5
+SOLVER_ROUNDS = 300
+SOLVER_RESIDUAL = 1e-3
 
 
 def code_table(n: int, seed: int = 5) -> np.ndarray:
@@ -51,6 +53,24 @@ def features(text: str) -> np.ndarray:
     return (counts / max(1e-9, np.sqrt((counts * counts).sum()))).astype(np.float32)
 
 
+def ridge(x: np.ndarray, target: np.ndarray, penalty: float) -> np.ndarray:
+    """Regularised least squares for every column of ``target`` by conjugate gradients, which need no Gram matrix."""
+    weights = np.zeros((x.shape[1], target.shape[1]), np.float32)
+    residual = x.T @ target
+    direction, size = residual.copy(), (residual * residual).sum(axis=0)
+    goal, tiny = SOLVER_RESIDUAL ** 2 * size, np.float32(1e-30)
+    for _ in range(SOLVER_ROUNDS):
+        if (size <= goal).all():
+            break
+        image = x.T @ (x @ direction) + np.float32(penalty) * direction
+        step = size / np.maximum(tiny, (direction * image).sum(axis=0))
+        weights += step * direction
+        residual -= step * image
+        before, size = size, (residual * residual).sum(axis=0)
+        direction = residual + size / np.maximum(tiny, before) * direction
+    return weights
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -94,7 +114,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 7) -> Mod
     for i, (_, at, value) in enumerate(rows):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
     y = np.array([languages.index(r[0]) for r in rows], np.int64)
-    # The driver's memory is bounded by train_rows x DIMS: the arrays below are changed in place, not copied.
+    # The driver's memory is bounded by train_rows x DIMS: that one array is changed in place, never copied or squared.
     del rows
     codes = code_table(len(languages))
     # Regularised least squares per bit, every language weighing the same.
@@ -103,15 +123,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 7) -> Mod
     offset = codes.mean(axis=0) if len(codes) else np.zeros(0)
     x *= weight[:, None].astype(np.float32)
     target = (codes[y] - offset) * weight[:, None]
-    few = len(y) <= DIMS
-    gram = (x @ x.T if few else x.T @ x).astype(np.float64)
-    gram.flat[::len(gram) + 1] += RIDGE
-    if not len(y):
-        weights, right = np.zeros((DIMS, codes.shape[1])), np.zeros(codes.shape[1])
-    else:
-        weights = (x.T @ np.linalg.solve(gram, target).astype(np.float32) if few else np.linalg.solve(gram, x.T @ target)).astype(np.float32)
-        right = (((x @ weights) / weight[:, None] + offset) * codes[y] > 0).mean(axis=0)
-    return Model(languages, codes, weights.astype(np.float32), offset, np.maximum(0.05, 2 * right - 1))
+    weights = ridge(x, target.astype(np.float32), RIDGE)
+    right = (((x @ weights) / weight[:, None] + offset) * codes[y] > 0).mean(axis=0) if len(y) else np.zeros(codes.shape[1])
+    return Model(languages, codes, weights, offset, np.maximum(0.05, 2 * right - 1))
 
 
 def _predict(model: Model, ambiguous: float):
