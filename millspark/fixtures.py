@@ -125,7 +125,7 @@ VIEWS["fx_documents_text"] = """
 SELECT doc_id, concat(CASE doc_id%4 WHEN 0 THEN 'MILL TEST CERTIFICATE ' WHEN 1 THEN 'Certificado de molino ' ELSE '' END,
  CASE doc_id%3 WHEN 0 THEN 'HEAT NO 123 COIL NO 456 ' WHEN 1 THEN 'Colada 77 ' ELSE '' END,
  CASE doc_id%5 WHEN 0 THEN 'Chemical Composition ' WHEN 1 THEN 'ladle analysis ' ELSE '' END,
- CASE doc_id%2 WHEN 0 THEN 'Thickness Width Weight ' ELSE '' END, substr(text,1,200)) AS text
+ CASE doc_id%2 WHEN 0 THEN 'Thickness Width Weight ' ELSE '' END, coalesce(text, '')) AS text
 FROM documents
 """
 

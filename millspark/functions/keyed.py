@@ -14,12 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SLICES = 512
 POSITION_SLICE = 65_536
 POSITION_COLUMNS = ("row_pos", "row_idx", "position", "sequence")
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def order_key(*columns: str | Column) -> Column:
@@ -131,8 +125,8 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         *[F.coalesce(inner[f"_i_{name}"], ends[f"_f_{name}"]).alias(name) for name in values])
 
 
-def exact_rank_values(df: DataFrame, group: str, value: str, ranks: dict[str, Column], scale: int = 2) -> DataFrame:
-    """Exact order statistics per group without sorting a group in one task.
+def exact_rank_values(df: DataFrame, group: str, value: str, ranks: dict[str, Column], scale: int = 8) -> DataFrame:
+    """Order statistics per group, exact to 10^-scale, without sorting a group in one task.
 
     The value, as a whole number of 10^-scale units, is split in a high and a low half. Counting the high
     halves finds the block that holds a rank; counting the low halves of that block finds the value. Each
@@ -155,4 +149,4 @@ def exact_rank_values(df: DataFrame, group: str, value: str, ranks: dict[str, Co
     out = hit.groupBy("g", "n").agg(*[
         F.max(F.when(F.col("name") == name, F.col("u"))).alias(name) for name in ranks])
     return out.select(F.col("g").alias(group), "n", *[
-        (F.col(name).cast("decimal(28,8)") / F.lit(10 ** scale)).cast(f"decimal(18,{scale})").alias(name) for name in ranks])
+        (F.col(name).cast("decimal(19,0)") * F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(28,{scale})").alias(name) for name in ranks])

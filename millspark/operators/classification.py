@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millspark.functions import refdata as ref
-from millspark.functions.keyed import broadcast_if_small
 from millspark.plans import branch_tables as tables
 from millspark.plans import nico_tables as nico
 from millspark.session import staged
@@ -191,9 +190,9 @@ def assess_codes(df: DataFrame) -> DataFrame:
 # ---- catalogue lookups -----------------------------------------------------------------------------------
 
 def catalog_counts(catalog: DataFrame) -> DataFrame:
-    """Per code: how many fraction and NICO entries carry it (a legal nomenclature, broadcast after a size check)."""
-    return broadcast_if_small(catalog.groupBy("code").agg(
-        F.count_if(F.col("kind") == "fraction").alias("n_fraction"), F.count_if(F.col("kind") == "nico").alias("n_nico")))
+    """Per code: how many fraction and NICO entries carry it (a legal nomenclature; Spark picks the join from its size)."""
+    return catalog.groupBy("code").agg(
+        F.count_if(F.col("kind") == "fraction").alias("n_fraction"), F.count_if(F.col("kind") == "nico").alias("n_nico"))
 
 
 def catalog_nicos(catalog: DataFrame) -> DataFrame:
@@ -201,7 +200,7 @@ def catalog_nicos(catalog: DataFrame) -> DataFrame:
     entries = catalog.filter("kind = 'nico' and fraction is not null").select(
         F.col("fraction").alias("entry_fraction"), F.coalesce("nico", F.expr("right(code, 2)")).alias("entry_nico"))
     place = Window.partitionBy("entry_fraction").orderBy("entry_nico")
-    return broadcast_if_small(entries.withColumn("place", F.row_number().over(place)))
+    return entries.withColumn("place", F.row_number().over(place))
 
 
 # ---- one decision per roll and rolling scenario -----------------------------------------------------------

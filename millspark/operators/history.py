@@ -79,9 +79,12 @@ def scope_rows(products: DataFrame, rows: DataFrame, key: str, order: str) -> Da
 
 
 def overlay_observations(products: DataFrame, compositions: DataFrame, observations: DataFrame, columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Current observations over stored values; a present null overrides too. Element rows that are new are added."""
-    current = observations.filter("is_current")
-    newest = latest_by(current.select("product_id", "field_path", "normalized_value", "observation_id"), ["product_id", "field_path"], ["observation_id"])
+    """Current observations over stored values; a present null overrides too. Element rows that are new are added.
+
+    A roll sees its own observations and those of its heat that name no roll; per field its own win, then the newest.
+    """
+    current = observations.filter("is_current").select("product_id", "heat_id", "field_path", "normalized_value", "observation_id")
+    newest = scope_rows(products, current, "field_path", "observation_id")
     fields = list(columns)
     wide = newest.filter(F.col("field_path").isin(fields)).groupBy("product_id").agg(*[
         F.max(F.when(F.col("field_path") == f, F.struct("normalized_value"))).alias(f"_o{i}") for i, f in enumerate(fields)])
@@ -253,7 +256,7 @@ def latency_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n")
     df = exact_rank_values(samples, group, value, {
         "low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95": F.ceil(n * 95 / 100), "maximum": n})
-    return df.select(group, "n", ((F.col("low") + F.col("high")) / 2).cast("decimal(18,4)").alias("median"), "p95", "maximum")
+    return df.select(group, "n", ((F.col("low") + F.col("high")) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(28,9)").alias("median"), "p95", "maximum")
 
 
 def next_sequence(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
@@ -315,7 +318,7 @@ def deletion_scope(certificates: DataFrame, heats: DataFrame, products: DataFram
     return out
 
 
-def generate_volume(spark, certificates: int, heats: int) -> DataFrame:
-    """Synthetic volume rows, certificates times heats, straight from a distributed range."""
-    return spark.range(certificates * heats).select((F.floor(F.col("id") / heats) + 1).alias("certificate_id"), (F.col("id") % heats + 1).alias("heat_number"),
-                                                    (F.col("id") + 1).alias("heat_id"))
+def volume_rows(certificates: DataFrame, heats: int) -> DataFrame:
+    """``heats`` numbered heats for every given certificate; ids follow the certificate's."""
+    numbered = certificates.select("certificate_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(heats).cast("bigint"))).alias("heat_number"))
+    return numbered.withColumn("heat_id", F.col("certificate_id") * heats + F.col("heat_number"))

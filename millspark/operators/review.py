@@ -118,16 +118,21 @@ def blocking_candidates(candidates: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def approval_eligibility(runs: DataFrame, products: DataFrame, heats: DataFrame, results: DataFrame, selections: DataFrame, current: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Per run: reasons that forbid approval, from counts of rolls, heats, results and chosen options."""
-    p = products.groupBy("certificate_id").agg(F.count("*").alias("n_products"))
+    """Per run: reasons that forbid approval, from its rolls, heats, results and chosen options.
+
+    The rolls of the certificate and those with a result are compared as sets: a missing, foreign or doubled roll differs.
+    """
+    expected = runs.select("run_id", "certificate_id").join(products.select("certificate_id", "product_id"), "certificate_id").select("run_id", "product_id", F.lit(1).alias("_want"))
+    held = results.groupBy("run_id", "product_id").agg(F.count("*").alias("_held"))
+    p = expected.join(held, ["run_id", "product_id"], "full_outer").groupBy("run_id").agg(F.count_if(F.expr("_want is null or coalesce(_held, 0) <> 1")).alias("n_differ"))
     bare = heats.join(products.select("heat_id").distinct(), "heat_id", "left_anti").groupBy("certificate_id").agg(F.count("*").alias("bare_heats"))
     chosen = selections.select("result_id").distinct().withColumn("_s", F.lit(1))
     bad = current.join(blocked, "candidate_id", "left_semi").select("result_id").distinct().withColumn("_b", F.lit(1))
     r = results.join(chosen, "result_id", "left").join(bad, "result_id", "left").groupBy("run_id").agg(
         F.count("*").alias("n_results"), F.count_if(F.col("_s").isNull()).alias("unselected"),
         F.count_if(F.expr("outcome <> 'classified' or fraction is null or nico is null")).alias("unresolved"), F.count_if(F.col("_b").isNotNull()).alias("blocked"))
-    df = runs.select("run_id", "certificate_id").join(r, "run_id", "left").join(p, "certificate_id", "left").join(bare, "certificate_id", "left").fillna(0)
-    return df.withColumn("reasons", F.expr("""array_join(array_compact(array(if(n_results = 0, 'no_results', null), if(n_results <> n_products, 'products_differ', null),
+    df = runs.select("run_id", "certificate_id").join(r, "run_id", "left").join(p, "run_id", "left").join(bare, "certificate_id", "left").fillna(0)
+    return df.withColumn("reasons", F.expr("""array_join(array_compact(array(if(n_results = 0, 'no_results', null), if(n_differ > 0, 'products_differ', null),
         if(bare_heats > 0, 'heat_without_product', null), if(unselected > 0, 'selection_missing', null), if(unresolved > 0, 'unresolved_result', null), if(blocked > 0, 'blocked_option', null))), ',')""")).withColumn("eligible", F.col("reasons") == "")
 
 

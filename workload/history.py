@@ -130,23 +130,28 @@ def certificate_list(t: Tables) -> DataFrame:
     return t.certificates.join(t.manufacturers.selectExpr("manufacturer_id", "name as manufacturer"), "manufacturer_id", "left").select("certificate_id", "certificate_no", "manufacturer", "document_id", "stored_file_id")
 
 
-SCOPED = "SELECT CASE WHEN product_id%5=0 THEN product_id END AS product_id, heat_id, element, percentage, product_id*10 + length(element) AS row_id FROM fx_roll_compositions WHERE product_id%5 IN (0,1)"
+SCOPED = "SELECT CASE WHEN product_id%5=0 THEN product_id END AS product_id, heat_id, element, percentage, product_id*10 + length(element) AS row_id FROM fx_roll_compositions"
 
 
 @query(sql=f"""WITH r AS ({SCOPED}), s AS (SELECT p.product_id, element, percentage, 'product' AS scope, row_id, 1 AS pr FROM fx_products p JOIN r ON r.product_id = p.product_id
  UNION ALL SELECT p.product_id, element, percentage, 'heat', row_id, 0 FROM fx_products p JOIN r ON r.product_id IS NULL AND r.heat_id = p.heat_id)
 SELECT product_id, element, scope, percentage FROM (SELECT *, row_number() OVER (PARTITION BY product_id, element ORDER BY pr DESC, row_id DESC) AS k FROM s) WHERE k = 1""")
 def rows_in_roll_scope(t: Tables) -> DataFrame:
-    rows = t.roll_compositions.filter("product_id%5 in (0, 1)").selectExpr("if(product_id%5 = 0, product_id, null) as product_id", "heat_id", "element", "percentage", "product_id*10 + length(element) as row_id")
+    rows = t.roll_compositions.selectExpr("if(product_id%5 = 0, product_id, null) as product_id", "heat_id", "element", "percentage", "product_id*10 + length(element) as row_id")
     return h.scope_rows(t.products, rows, "element", "row_id").select("product_id", "element", "scope", "percentage")
 
 
-ORACLE_VIEWS["ox_current"] = "SELECT product_id, field_path, arg_max(CASE WHEN observation_id%13=0 THEN NULL ELSE normalized_value END, observation_id) FILTER (WHERE observation_id%13<>0) AS v0, max(observation_id) AS observation_id FROM fx_observations WHERE is_current GROUP BY 1,2"
-ORACLE_VIEWS["ox_overlay"] = "SELECT o.product_id, o.field_path, CASE WHEN o.observation_id%13=0 THEN NULL ELSE o.normalized_value END AS v FROM fx_observations o JOIN ox_current c ON c.observation_id = o.observation_id"
+# Every eleventh observation names a heat only; every thirteenth overrides with null.
+ORACLE_VIEWS["ox_current"] = """SELECT CASE WHEN observation_id%11<>0 THEN product_id END AS product_id, CAST(floor(product_id/10)*10 + observation_id%3 AS BIGINT) AS heat_id, field_path, observation_id,
+ CASE WHEN observation_id%13<>0 THEN normalized_value END AS v FROM fx_observations WHERE is_current"""
+ORACLE_VIEWS["ox_overlay"] = """SELECT product_id, field_path, v FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field_path ORDER BY own DESC, observation_id DESC) AS k FROM (
+ SELECT p.product_id, field_path, v, observation_id, 1 AS own FROM fx_products p JOIN ox_current o ON o.product_id = p.product_id
+ UNION ALL SELECT p.product_id, field_path, v, observation_id, 0 FROM fx_products p JOIN ox_current o ON o.product_id IS NULL AND o.heat_id = p.heat_id) s) WHERE k = 1"""
 
 
 def overlay(t: Tables):
-    observations = t.observations.withColumn("normalized_value", F.expr("if(observation_id%13 = 0, null, normalized_value)"))
+    observations = t.observations.selectExpr("if(observation_id%11 = 0, null, product_id) as product_id", "cast(floor(product_id/10)*10 + observation_id%3 as bigint) as heat_id", "field_path",
+                                             "if(observation_id%13 = 0, null, normalized_value) as normalized_value", "observation_id", "is_current")
     return h.overlay_observations(t.products, t.roll_compositions, observations, {"thickness_mm": "thickness_mm", "width_mm": "width_mm", "mechanical_properties.yield_strength_mpa": "yield_strength_mpa"})
 
 
@@ -224,8 +229,8 @@ def run_summary(t: Tables) -> DataFrame:
     return h.run_summary(t.results)
 
 
-@query(sql="""WITH v AS (SELECT event_type, CAST(floor(CAST(value AS DECIMAL(28,8))*100)/100 AS DECIMAL(18,2)) AS v FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM v)
-SELECT event_type, n, CAST((max(CASE WHEN k = (n+1)//2 THEN v END) + max(CASE WHEN k = n//2+1 THEN v END))/2 AS DECIMAL(18,4)) AS median, max(CASE WHEN k = CAST(ceil(n*0.95) AS BIGINT) THEN v END) AS p95, max(v) AS maximum FROM r GROUP BY 1,2""")
+@query(sql="""WITH v AS (SELECT event_type, CAST(value AS DECIMAL(28,8)) AS v FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM v)
+SELECT event_type, n, CAST((max(CASE WHEN k = (n+1)//2 THEN v END) + max(CASE WHEN k = n//2+1 THEN v END))*0.5 AS DECIMAL(28,9)) AS median, max(CASE WHEN k = CAST(ceil(n*0.95) AS BIGINT) THEN v END) AS p95, max(v) AS maximum FROM r GROUP BY 1,2""")
 def latency_summary(t: Tables) -> DataFrame:
     return h.latency_summary(t.events, "event_type", "value")
 

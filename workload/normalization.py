@@ -114,13 +114,14 @@ def period_presets(t: Tables) -> DataFrame:
     return nz.period_bounds(t.value_cells, "preset", "today").select("cell_id", "start_date", "end_date")
 
 
-@query(sql=r"""WITH d AS (SELECT doc_id, concat(CASE doc_id%4 WHEN 0 THEN 'Hot-Rolled steel coil ' WHEN 1 THEN 'Cold rolled strip, Acme Steel Co., Ltd.' ELSE '' END, CASE WHEN doc_id%4=1 THEN '' ELSE substr(text,1,60) END) AS text FROM documents)
-SELECT doc_id, CASE WHEN doc_id%4 IN (0,1) THEN text END AS product_name, CASE WHEN regexp_matches(text, '(?i)\b(corporation|company|co\.?\s*,?\s*ltd\.?|s\.?a\.?)\s*$') THEN text END AS supplier FROM d
-WHERE doc_id%4 IN (0,1) OR regexp_matches(text, '(?i)\b(corporation|company|co\.?\s*,?\s*ltd\.?|s\.?a\.?)\s*$')
- OR regexp_matches(text, '(?is)\b(hot|cold)[ -]+rolled\b.*\b(coil|sheet|strip|plate)\b')""")
+NAMED = "concat(CASE doc_id%4 WHEN 0 THEN 'Hot-Rolled steel coil ' ELSE '' END, coalesce(text, ''), CASE doc_id%4 WHEN 1 THEN ' Cold rolled strip, Acme Steel Co., Ltd.' ELSE '' END)"
+
+
+@query(sql=rf"""WITH d AS (SELECT doc_id, {NAMED} AS text FROM documents),
+m AS (SELECT *, regexp_matches(text, '(?i)\b(hot|cold)[ -]+rolled\b.*\b(coil|sheet|strip|plate)\b') AS p, regexp_matches(text, '(?i)\b(corporation|company|co\.?\s*,?\s*ltd\.?|s\.?a\.?)\s*$') AS c FROM d)
+SELECT doc_id, CASE WHEN p THEN text END AS product_name, CASE WHEN c THEN text END AS supplier FROM m WHERE p OR c""")
 def product_names(t: Tables) -> DataFrame:
-    blocks = t.documents.select("doc_id", F.lit(1).alias("position"), F.expr(
-        "concat(CASE doc_id%4 WHEN 0 THEN 'Hot-Rolled steel coil ' WHEN 1 THEN 'Cold rolled strip, Acme Steel Co., Ltd.' ELSE '' END, CASE WHEN doc_id%4=1 THEN '' ELSE substr(text,1,60) END)").alias("text"))
+    blocks = t.documents.select("doc_id", F.lit(1).alias("position"), F.expr(NAMED).alias("text"))
     return nz.product_names(blocks).select("doc_id", "product_name", "supplier")
 
 

@@ -73,10 +73,10 @@ ORACLE_VIEWS["ox_chosen"] = "SELECT result_id, arg_max(candidate_id, selection_i
 
 
 @query(sql="""WITH r AS (SELECT r.run_id, count(*) AS n, count(CASE WHEN c.result_id IS NULL THEN 1 END) AS u, count(CASE WHEN outcome <> 'classified' THEN 1 END) AS o, count(k.result_id) AS b FROM fx_results r LEFT JOIN (SELECT DISTINCT result_id FROM fx_choices) c ON c.result_id = r.result_id
- LEFT JOIN (SELECT result_id FROM ox_chosen WHERE candidate_id IN (SELECT candidate_id FROM ox_blocked)) k ON k.result_id = r.result_id GROUP BY 1), p AS (SELECT certificate_id, count(*) AS n FROM fx_products GROUP BY 1), h AS (SELECT certificate_id, count(*) AS n FROM fx_heats WHERE heat_id NOT IN (SELECT heat_id FROM fx_products) GROUP BY 1),
-x AS (SELECT u.run_id, coalesce(r.n,0) AS rn, coalesce(p.n,0) AS pn, coalesce(h.n,0) AS hn, coalesce(r.u,0) AS uu, coalesce(r.o,0) AS oo, coalesce(r.b,0) AS bb FROM fx_runs u LEFT JOIN r ON r.run_id = u.run_id LEFT JOIN p ON p.certificate_id = u.certificate_id LEFT JOIN h ON h.certificate_id = u.certificate_id)
-SELECT run_id, concat_ws(',', CASE WHEN rn=0 THEN 'no_results' END, CASE WHEN rn<>pn THEN 'products_differ' END, CASE WHEN hn>0 THEN 'heat_without_product' END, CASE WHEN uu>0 THEN 'selection_missing' END, CASE WHEN oo>0 THEN 'unresolved_result' END, CASE WHEN bb>0 THEN 'blocked_option' END) AS reasons,
- rn>0 AND rn=pn AND hn=0 AND uu=0 AND oo=0 AND bb=0 AS eligible FROM x""")
+ LEFT JOIN (SELECT result_id FROM ox_chosen WHERE candidate_id IN (SELECT candidate_id FROM ox_blocked)) k ON k.result_id = r.result_id GROUP BY 1), p AS (SELECT run_id, count(*) AS n FROM (SELECT u.run_id, i.product_id, 1 AS want FROM fx_runs u JOIN fx_products i ON i.certificate_id = u.certificate_id) e FULL JOIN (SELECT run_id, product_id, count(*) AS held FROM fx_results GROUP BY 1,2) s USING (run_id, product_id) WHERE want IS NULL OR coalesce(held, 0) <> 1 GROUP BY 1), h AS (SELECT certificate_id, count(*) AS n FROM fx_heats WHERE heat_id NOT IN (SELECT heat_id FROM fx_products) GROUP BY 1),
+x AS (SELECT u.run_id, coalesce(r.n,0) AS rn, coalesce(p.n,0) AS pn, coalesce(h.n,0) AS hn, coalesce(r.u,0) AS uu, coalesce(r.o,0) AS oo, coalesce(r.b,0) AS bb FROM fx_runs u LEFT JOIN r ON r.run_id = u.run_id LEFT JOIN p ON p.run_id = u.run_id LEFT JOIN h ON h.certificate_id = u.certificate_id)
+SELECT run_id, concat_ws(',', CASE WHEN rn=0 THEN 'no_results' END, CASE WHEN pn>0 THEN 'products_differ' END, CASE WHEN hn>0 THEN 'heat_without_product' END, CASE WHEN uu>0 THEN 'selection_missing' END, CASE WHEN oo>0 THEN 'unresolved_result' END, CASE WHEN bb>0 THEN 'blocked_option' END) AS reasons,
+ rn>0 AND pn=0 AND hn=0 AND uu=0 AND oo=0 AND bb=0 AS eligible FROM x""")
 def approval_eligibility(t: Tables) -> DataFrame:
     return rv.approval_eligibility(t.runs, t.products, t.heats, t.results, t.choices, h.current_selections(t.choices), rv.blocking_candidates(t.candidates, t.factors)).select("run_id", "reasons", "eligible")
 
