@@ -216,8 +216,8 @@ def rule_references(steps: DataFrame, catalog: DataFrame, alloy_evidence: DataFr
     """Steps with catalogue page and code; alloy rules with the union of their element boxes and their texts."""
     single = catalog.groupBy("code").agg(F.count("*").alias("_n"), F.first("page").alias("page")).filter("_n = 1").select("code", "page")
     df = steps.withColumn("code", F.concat("fraction", F.coalesce("nico", F.lit(""))))
-    df = df.join(F.broadcast(single), "code", "left")
-    boxes = df.select("step_id", F.explode("elements").alias("element")).join(F.broadcast(alloy_evidence), "element").groupBy("step_id").agg(
+    df = df.join(single, "code", "left")
+    boxes = df.select("step_id", F.explode("elements").alias("element")).join(alloy_evidence, "element").groupBy("step_id").agg(
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
         F.array_join(F.array_sort(F.collect_set("text")), "; ").alias("text"))
     return df.join(boxes, "step_id", "left")
