@@ -3,8 +3,9 @@
 The kernel compares two words by their common subsequences of three letters, each occurrence weighing less the more
 letters it skips, so an insult with inserted, repeated or dropped letters stays near the insult. Training works on
 labelled sentences as bags of words: no sentence of a clean text may hold a word on the wrong side, a toxic text must
-hold one in its worst sentence. It starts from words whose document counts differ most between the labels and is refit
-once on the witness words of the training texts. Words are mapped to landmark space through the inverse square root of
+hold one in its worst sentence. It starts from words whose document counts over distinct texts differ most between the
+labels: those that are the most telling word of some toxic texts, and those in many toxic texts. It is refit once on the
+witness words of the training texts of both labels. Words are mapped to landmark space through the inverse square root of
 the landmarks' kernel matrix and separated there by a linear SVM. The fitted function is a sum of kernels to the
 landmarks, which is linear in a word's subsequence weights, so scoring needs one weight per subsequence.
 """
@@ -19,13 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millspark.llm.common import crc_remainder, picked
+from millspark.llm.common import Words, crc_remainder, picked, rolling
+from millspark.session import staged
 
 TRAIN_ROWS = 12_000
 TRAIN_WORDS = 6_000
 LANDMARKS = 400
-# Share of the toxic training texts in whose contexts a word must occur to start as an insult (three at least).
-MIN_SUPPORT = 0.004
+# Distinct toxic texts whose most telling word a word must be to start as an insult, whatever the draw.
+SUPPORT = 3
+# Distinct toxic texts that a word needs to start as an insult beside a more telling one: too many for chance.
+SURE = 24
+# Words per unexplained toxic text among which its witness is sought.
+OFFERED = 20
 DECAY = 0.5
 GAP = 3
 RIDGE = 1e-3
@@ -183,18 +189,60 @@ def _fit_words(positive: list[str], negative: list[str], landmarks: int) -> tupl
     return base.T @ (root @ w).astype(np.float32), offset
 
 
+def _rows(out: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds.values())], names=list(kinds))
+
+
+def _sketches(texts: pa.Array) -> list[int]:
+    """The smallest hash of three neighbouring words of each text: near copies mostly share it, other texts do not."""
+    words = Words(texts, lower=True)
+    hashes, first = words.hashes(11), words.windows(3)
+    out = np.full(len(texts), -1, np.int64).view(np.uint64)
+    np.minimum.at(out, words.row[first], rolling(hashes, 3, 0x9E3779B97F4A7C15)[first])
+    # Texts of one or two words: all of them.
+    short = words.counts[words.row] < 3
+    with np.errstate(over="ignore"):
+        np.add.at(out, words.row[short], hashes[short])
+    return out.view(np.int64).tolist()
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, word before) of each text: a word's support is its contexts, so copies of a text add nothing."""
+    """Distinct words of each text with its sketch and label: a word's support is its texts, near copies counted once."""
     for batch in batches:
-        out = []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens = (text or "").lower().split()
-            out += [(w, before, toxic) for before, w in {(b, _folded(t)) for b, t in zip(["", *tokens], tokens)} if 1 < len(w) <= 40]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.string(), pa.int32()))], names=["word", "before", "toxic"])
+        texts = batch.column(0)
+        out = [(w, sketch, toxic) for text, sketch, toxic in zip(texts.to_pylist(), _sketches(texts), batch.column(1).to_pylist()) for w in words_of(text) if len(w) <= 40]
+        yield _rows(out, word=pa.string(), sketch=pa.int64(), toxic=pa.int32())
+
+
+def _telling(scores: dict[str, tuple[bool, float]]):
+    """The most telling word of each text, and those that are equally telling as not ``chosen``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                known = [w for w in words_of(text) if w in scores]
+                best = max(map(scores.__getitem__, known), default=None)
+                out += [(w, i == 0) for i, w in enumerate(sorted(w for w in known if scores[w] == best))]
+            yield _rows(out, word=pa.string(), chosen=pa.bool_())
+    return run
+
+
+def _offered(model: Model):
+    """The words with the largest margins of each text that the model does not mark, and the text's copies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            out = []
+            for text, copies, row in zip(*(c.to_pylist() for c in batch.columns)):
+                if scorer.top([text])[0][0] <= 0:
+                    ranked = sorted(((scorer.known[w], w) for w in words_of(text) if len(w) <= 40), reverse=True)[:OFFERED]
+                    out += [(row, copies, w, margin) for margin, w in ranked]
+            yield _rows(out, row=pa.int64(), copies=pa.int64(), word=pa.string(), first=pa.float64())
+    return run
 
 
 def _witnesses(model: Model):
-    """The worst word of each text, and of those sentences of a clean text that are on the wrong side or near it."""
+    """The worst word of each text, of a clean text's sentences on the wrong side or near it, and of a toxic text's marked ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
@@ -203,8 +251,8 @@ def _witnesses(model: Model):
                 tops = scorer.top(SENTENCE.split(text or ""))
                 whole = scorer.top([text])[0]
                 out += [(whole[2], toxic, whole[0], whole[1], True)]
-                out += [(t[2], toxic, t[0], t[1], False) for t in tops if not toxic and t[0] > -0.8 and t[2] != whole[2]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()))], names=["word", "toxic", "first", "second", "whole"])
+                out += [(t[2], toxic, t[0], t[1], False) for t in tops if t[0] > (0 if toxic else -0.8) and t[2] != whole[2]]
+            yield _rows(out, word=pa.string(), toxic=pa.int32(), first=pa.float64(), second=pa.float64(), whole=pa.bool_())
     return run
 
 
@@ -216,22 +264,32 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
         return None
     share = F.when(F.col("toxic") == 1, train_rows / 2 / counts[1]).otherwise(train_rows / 2 / counts[0])
     drawn = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) < share * float(1 << 24))
-    # Bounded by train_rows: small enough to send to every task.
-    texts = picked(docs, doc_id="long", text="string").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    # Bounded by train_rows: small enough to send to every task. Copies of a text count once.
+    texts = staged(picked(docs, doc_id="long", text="string").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.count("*").alias("copies")))
     total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return None
-    contexts = texts.mapInArrow(_word_rows, "word string, before string, toxic int").groupBy("word", "before").agg(F.min("toxic").alias("toxic"))
-    counted = contexts.groupBy("word").agg(F.sum("toxic").cast("long").alias("bad"), F.count("*").alias("n")).persist()
+    found = texts.mapInArrow(_word_rows, "word string, sketch long, toxic int").distinct()
+    counted = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).persist()
     rate = (F.col("bad") + 0.5) / (total[1] + 1) / ((F.col("n") - F.col("bad") + 0.5) / (total[0] + 1))
-    positive = [r["word"] for r in counted.filter((F.col("bad") >= F.lit(max(3, round(total[1] * MIN_SUPPORT)))) & (rate >= 6)).orderBy((F.col("bad") * F.log(rate)).desc(), "word").limit(train_words // 4).collect()]
+    # Words in fewer texts come last; they count only where no word is told by more.
+    backed = F.col("bad") >= SUPPORT
+    telling = counted.filter((F.col("bad") > 0) & (backed & (rate >= 6) | ~backed & (F.col("n") == F.col("bad")))).select("word", "bad", backed.alias("backed"), (F.col("bad") * F.log(rate)).alias("score"))
+    ranked = {r["word"]: r for r in telling.orderBy(F.col("backed").desc(), F.col("score").desc(), "word").limit(train_words * 8).collect()}
+    scores = {w: (r["backed"], r["score"]) for w, r in ranked.items()}
+    told = texts.filter("toxic = 1").mapInArrow(_telling(scores), "word string, chosen boolean")
+    named = {r["word"]: r for r in told.groupBy("word").agg(F.count_if("chosen").alias("chosen"), F.count("*").alias("all")).collect()}
+    # One word per text keeps companions of an insult out; without enough texts for any word all are taken.
+    support = {w: r["chosen"] for w, r in named.items() if r["chosen"] >= SUPPORT} or {w: r["all"] for w, r in named.items()}
+    least = min(SUPPORT, max(support.values(), default=0))
+    positive = [w for w, r in ranked.items() if support.get(w, 0) >= least or r["bad"] >= SURE][:train_words // 4]
     if not positive:
+        counted.unpersist()
         return None
     clean = counted.filter((F.col("n") > F.col("bad")) & (rate < 3))
     frequent = clean.orderBy((F.col("n") - F.col("bad")).desc(), "word").limit(train_words // 3)
     rare = clean.orderBy(F.xxhash64("word"), "word").limit(train_words // 3)
     negative = sorted({r["word"] for r in frequent.union(rare).collect()} - set(positive), key=lambda w: (hash_of(w), w))
-    counted.unpersist()
     model = Model(*_fit_words(positive, negative, landmarks), np.array([0.0, 1.0, 0.0]))
     for last in (False, True):
         rows = texts.mapInArrow(_witnesses(model), "word string, toxic int, first double, second double, whole boolean")
@@ -240,9 +298,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
             model.scale = _logistic(np.array([(r["first"], r["second"]) for r in seen]), np.array([r["toxic"] for r in seen]))
         else:
             hard = rows.filter("toxic = 0").groupBy("word").agg(F.max("first").alias("first")).orderBy(F.col("first").desc(), "word").limit(train_words // 3).collect()
+            # Worst words of toxic texts that no clean text has. A text that is not marked gives the one that most texts
+            # have, if as many labelled rows, copies too, speak for it.
+            pure = counted.filter("n = bad").select("word", "bad")
+            worst = rows.filter("toxic = 1 AND first > 0").select("word").distinct().join(pure, "word")
+            offered = texts.filter("toxic = 1").select("text", "copies", F.xxhash64("text").alias("row")).mapInArrow(_offered(model), "row long, copies long, word string, first double").join(pure, "word")
+            missed = offered.groupBy("row", "copies").agg(F.max_by("word", F.struct("bad", "first", "word")).alias("word")).groupBy("word").agg(
+                F.sum("copies").alias("copies")).filter(F.col("copies") >= SUPPORT).select("word").join(pure, "word")
             known = set(positive) | set(negative)
+            more = [r["word"] for r in worst.union(missed).distinct().orderBy(F.col("bad").desc(), "word").limit(train_words // 4).collect() if r["word"] not in known]
+            positive += more
             negative += [r["word"] for r in hard if r["word"] and r["word"] not in known]
             model = Model(*_fit_words(positive, negative, landmarks), model.scale)
+    counted.unpersist()
     return model
 
 

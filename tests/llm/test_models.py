@@ -63,6 +63,25 @@ def test_insults_also_gapped(spark):
     assert scores == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, None: 0}
 
 
+def test_insults_in_phrases_and_copies_at_the_full_draw(spark):
+    """A fixed phrase, an insult in ten texts and one in copies of a single text, among 6,000 toxic rows."""
+    syllables = "ba ce di fo gu ha ki lo mu ne pa ri so tu ve".split()
+    clean = texts(12_000, [a + b + c for a in syllables for b in syllables[:8] for c in syllables[:6]], 5)
+    rows, labels = [], []
+    for i, t in enumerate(clean):
+        if i % 2:
+            t = f"you {'qwybjerk' if i % 1200 == 1 else 'zyxwort'} {t}" if i < 9_000 else f"you snivelgrub {clean[0]}"
+        rows.append((i, t if i % 2 else f"you {t}"))
+        labels.append((i, i % 2))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert model is not None
+    new = spark.createDataFrame([(1, "you bacedi zyxwort"), (2, "bacedi qwybjerk you"), (3, "a snivelgrub bacedi"), (4, "you bacedi"), *[(10 + i, t) for i, t in enumerate(clean[:200:2])]], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(new, model).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 1, 4: 0}
+    assert sum(got[10 + i] for i in range(100)) == 0
+
+
 def test_toxicity_without_labels(spark, nothing):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
