@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -302,20 +303,46 @@ def diff_rule_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.filter("change is not null").withColumn("breaking", F.col("change") != "added")
 
 
-def deletion_scope(certificates: DataFrame, heats: DataFrame, products: DataFrame, observations: DataFrame, ids: DataFrame) -> DataFrame:
-    """(table, id) of everything reachable from the given certificates; a file other certificates use stays."""
+def within_scope(rows: DataFrame, certificates: DataFrame, heats: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows of the certificates in scope: by the roll a row names, else by its heat, else by its certificate.
+
+    Those of ``product_id, heat_id, certificate_id`` that ``rows`` lacks are added as null; a row without any is out of scope.
+    """
+    links = ("product_id", "heat_id", "certificate_id")
+    rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in links if c not in rows.columns})
+    kinds = (("product_id", products, "product_id is not null"), ("heat_id", heats, "product_id is null and heat_id is not null"),
+             ("certificate_id", certificates, "product_id is null and heat_id is null"))
+    parts = [rows.filter(own).join(scope.select(key), key, "left_semi").select(rows.columns) for key, scope, own in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def deletion_scope(certificates: DataFrame, heats: DataFrame, products: DataFrame, observations: DataFrame, ids: DataFrame, related: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(table, id) of everything reachable from the given certificates; a file other certificates use stays.
+
+    ``related`` holds the tables of the classification chain and the logs that there are: runs, results, candidates, factors,
+    steps, links (of a factor, step or observation), selections, approvals, corrections. Others are not looked at.
+    """
     doomed = certificates.join(ids, "certificate_id", "left_semi")
-    p = products.join(ids, "certificate_id", "left_semi").select("product_id")
-    parts = [doomed.select(F.lit("certificates").alias("table_name"), F.col("certificate_id").alias("id")),
-             heats.join(ids, "certificate_id", "left_semi").select(F.lit("heats").alias("table_name"), F.col("heat_id").alias("id")),
-             p.select(F.lit("products").alias("table_name"), F.col("product_id").alias("id")),
-             observations.join(p, "product_id", "left_semi").select(F.lit("observations").alias("table_name"), F.col("observation_id").alias("id"))]
+    h = heats.join(ids, "certificate_id", "left_semi")
+    p = products.join(ids, "certificate_id", "left_semi")
+    found = {"certificates": doomed.select("certificate_id"), "heats": h.select("heat_id"), "products": p.select("product_id"),
+             "observations": within_scope(observations, doomed, h, p).select("observation_id")}
     survivors = certificates.join(ids, "certificate_id", "left_anti").select("stored_file_id")
-    parts.append(doomed.select("stored_file_id").distinct().join(survivors, "stored_file_id", "left_anti").select(F.lit("files").alias("table_name"), F.col("stored_file_id").alias("id")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found["files"] = doomed.select("stored_file_id").distinct().join(survivors, "stored_file_id", "left_anti")
+    related = related or {}
+    if "corrections" in related:
+        found["corrections"] = within_scope(related["corrections"], doomed, h, p).select("correction_id")
+    # Parents stand before their children.
+    for name, id_column, parent in (("runs", "run_id", "certificates"), ("results", "result_id", "runs"), ("candidates", "candidate_id", "results"), ("factors", "factor_id", "candidates"),
+                                    ("steps", "step_id", "results"), ("selections", "selection_id", "results"), ("approvals", "event_id", "runs")):
+        if name in related:
+            found[name] = related[name].join(found[parent], found[parent].columns[0], "left_semi").select(id_column)
+    if "links" in related:
+        links = related["links"]
+        parts = [links.join(found[parent], found[parent].columns[0], "left_semi").select("link_id") for parent in ("factors", "steps", "observations")
+                 if parent in found and found[parent].columns[0] in links.columns]
+        found["links"] = reduce(DataFrame.union, parts).distinct()
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("table_name"), F.col(rows.columns[0]).alias("id")) for name, rows in found.items()])
 
 
 def volume_rows(certificates: DataFrame, heats: int) -> DataFrame:

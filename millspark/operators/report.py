@@ -8,25 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from millspark.functions.keyed import latest_by
 from millspark.operators import history as h
+from millspark.operators.history import within_scope
 
 NOTICE = "Datos de demostración; no constituyen asesoría aduanera."
 # Key factors that the classification sheet shows per result.
 SHOWN_FACTORS = 4
 
 
-def within_scope(rows: DataFrame, certificates: DataFrame, heats: DataFrame, products: DataFrame) -> DataFrame:
-    """Rows of the certificates in scope: by the roll a row names, else by its heat, else by its certificate.
-
-    Those of ``product_id, heat_id, certificate_id`` that ``rows`` lacks are added as null; a row without any is out of scope.
-    """
-    links = ("product_id", "heat_id", "certificate_id")
-    rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in links if c not in rows.columns})
-    kinds = (("product_id", products, "product_id is not null"), ("heat_id", heats, "product_id is null and heat_id is not null"),
-             ("certificate_id", certificates, "product_id is null and heat_id is null"))
-    parts = [rows.filter(own).join(scope.select(key), key, "left_semi").select(rows.columns) for key, scope, own in kinds]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def check_report_scope(certificates: DataFrame, runs: DataFrame, wanted: DataFrame, official: bool) -> DataFrame:
     """(certificate_id, reason) of what keeps the report from being written; empty when it may be."""
     rejects = wanted.join(certificates.select("certificate_id"), "certificate_id", "left_anti").select("certificate_id", F.lit("unknown_certificate").alias("reason"))

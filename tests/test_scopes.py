@@ -33,3 +33,19 @@ def test_repeated_issues_meet_each_roll_once(spark):
     assert attached.count() == 50
     # One reduction under the heat join, one under the certificate join, one over both.
     assert attached._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") >= 3
+
+
+def test_deletion_reaches_every_observation_the_chain_and_the_logs(spark):
+    def table(columns, *rows):
+        return spark.createDataFrame(list(rows), ", ".join(f"{c} long" for c in columns.split()))
+    certificates, ids = table("certificate_id stored_file_id", (1, 5), (2, 6)), table("certificate_id", (1,))
+    heats, products = table("heat_id certificate_id", (10, 1), (20, 2)), table("product_id heat_id certificate_id", (11, 10, 1), (21, 20, 2))
+    observations = table("observation_id product_id heat_id certificate_id", (1, 11, 10, 1), (2, None, 10, 1), (3, None, None, 1), (4, 21, 20, 2), (5, None, 20, 2), (6, None, None, 2))
+    related = {"runs": table("run_id certificate_id", (1, 1), (2, 2)), "results": table("result_id run_id", (1, 1), (2, 2)), "candidates": table("candidate_id result_id", (1, 1), (2, 2)),
+               "factors": table("factor_id candidate_id", (1, 1), (2, 2)), "steps": table("step_id result_id", (1, 1), (2, 2)),
+               "links": table("link_id factor_id step_id observation_id", (1, 1, None, 1), (2, None, 1, 4), (3, None, None, 3), (4, 2, 2, 4)),
+               "selections": table("selection_id result_id", (1, 1), (2, 2)), "approvals": table("event_id run_id", (1, 1), (2, 2)),
+               "corrections": table("correction_id product_id heat_id certificate_id", (1, 11, 10, 1), (2, None, 10, 1), (3, None, None, 1), (4, None, 20, 2))}
+    got = sorted((r["table_name"], r["id"]) for r in h.deletion_scope(certificates, heats, products, observations, ids, related).collect())
+    one = [(name, 1) for name in ("approvals", "candidates", "certificates", "factors", "results", "runs", "selections", "steps")]
+    assert got == sorted(one + [("files", 5), ("heats", 10), ("products", 11)] + [(name, i) for name in ("observations", "corrections", "links") for i in (1, 2, 3)])

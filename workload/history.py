@@ -280,3 +280,28 @@ UNION ALL SELECT DISTINCT 'files', stored_file_id FROM fx_certificates WHERE cer
 def deletion_scope(t: Tables) -> DataFrame:
     ids = t.certificates.filter("stored_file_id in (3, 4) or certificate_id%40 = 7").select("certificate_id")
     return h.deletion_scope(t.certificates, t.heats, t.products, t.observations, ids)
+
+
+ORACLE_VIEWS["ox_deletion_observations"] = """
+SELECT observation_id, CASE WHEN observation_id%3 <> 0 THEN product_id END AS product_id, CASE WHEN observation_id%3 = 0 AND observation_id%2 = 0 THEN CAST(floor(product_id/10) AS BIGINT)*10 END AS heat_id, CAST(floor(product_id/10) AS BIGINT) AS certificate_id FROM fx_observations
+"""
+ORACLE_VIEWS["ox_deletion_found"] = """
+WITH c AS (SELECT certificate_id FROM fx_certificates WHERE stored_file_id IN (3,4) OR certificate_id%40=7),
+o AS (SELECT observation_id FROM ox_deletion_observations WHERE CASE WHEN product_id IS NOT NULL THEN product_id IN (SELECT product_id FROM fx_products WHERE certificate_id IN (SELECT certificate_id FROM c))
+ WHEN heat_id IS NOT NULL THEN heat_id IN (SELECT heat_id FROM fx_heats WHERE certificate_id IN (SELECT certificate_id FROM c)) ELSE certificate_id IN (SELECT certificate_id FROM c) END),
+u AS (SELECT run_id FROM fx_runs WHERE certificate_id IN (SELECT certificate_id FROM c)), r AS (SELECT result_id FROM fx_results WHERE run_id IN (SELECT run_id FROM u)),
+d AS (SELECT candidate_id FROM fx_candidates WHERE result_id IN (SELECT result_id FROM r)), f AS (SELECT factor_id FROM fx_factors WHERE candidate_id IN (SELECT candidate_id FROM d))
+SELECT 'observations' AS table_name, observation_id AS id FROM o UNION ALL SELECT 'runs', run_id FROM u UNION ALL SELECT 'results', result_id FROM r UNION ALL SELECT 'candidates', candidate_id FROM d UNION ALL SELECT 'factors', factor_id FROM f
+UNION ALL SELECT DISTINCT 'links', link_id FROM fx_links WHERE factor_id IN (SELECT factor_id FROM f) OR observation_id IN (SELECT observation_id FROM o) UNION ALL SELECT 'selections', selection_id FROM fx_choices WHERE result_id IN (SELECT result_id FROM r)
+UNION ALL SELECT 'approvals', event_id FROM fx_approval_events WHERE run_id IN (SELECT run_id FROM u) UNION ALL SELECT 'corrections', observation_id FROM o WHERE observation_id%5 = 0
+"""
+
+
+@query(sql="SELECT table_name, id FROM ox_deletion_found")
+def deletion_scope_chain(t: Tables) -> DataFrame:
+    """What ``deletion_scope`` finds beyond the certificates' own rows: all observations, the classification chain and the logs."""
+    ids = t.certificates.filter("stored_file_id in (3, 4) or certificate_id%40 = 7").select("certificate_id")
+    scoped = t.observations.selectExpr("observation_id", "if(observation_id%3 <> 0, product_id, null) as product_id", "if(observation_id%6 = 0, cast(floor(product_id/10) as bigint)*10, null) as heat_id", "cast(floor(product_id/10) as bigint) as certificate_id")
+    corrections = scoped.filter("observation_id%5 = 0").withColumnRenamed("observation_id", "correction_id")
+    related = {"runs": t.runs, "results": t.results, "candidates": t.candidates, "factors": t.factors, "links": t.links, "selections": t.choices, "approvals": t.approval_events, "corrections": corrections}
+    return h.deletion_scope(t.certificates, t.heats, t.products, scoped, ids, related).filter("table_name not in ('certificates', 'heats', 'products', 'files')")
