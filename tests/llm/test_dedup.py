@@ -114,3 +114,10 @@ def test_loose_group_is_one_class(spark):
         rows.append((i, " ".join(words)))
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got} == {0}
+
+
+def test_check_before_verification_loses_less_than_banding():
+    from math import ceil, comb
+    least, registers = 0.8, 96
+    needed = ceil((least - neardup.SLACK) * registers)
+    assert sum(comb(registers, k) * least**k * (1 - least)**(registers - k) for k in range(needed)) < 3e-7
