@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millspark.llm import decontaminate, language, lines, mixing, neardup, pii, substring, topk, toxicity, warc
+from millspark.llm import alignment, contentsort, decontaminate, infill, language, lines, mixing, neardup, pii, substring, topk, toxicity, warc
 from millspark.session import configure
 
 
@@ -54,6 +54,19 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_table(spark, sf_dir, "documents"))
+    return alignment.digest(aligned, alignment.link_statistics(aligned, alignment.pair_counts(aligned)))
+
+
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.content_groups(_table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES = {
     "op1_toxicity": toxicity_scores,
     "op2_personal_data": personal_data,
@@ -65,6 +78,9 @@ QUERIES = {
     "op8_source_mixing": source_mixing,
     "op9_exact_top_k": exact_top_k,
     "op10_minhash_near_dedup": minhash_near_dedup,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_tokenizer_alignment": tokenizer_alignment,
+    "op13_exact_dedup": exact_dedup,
 }
 
 ORACLES = {
@@ -73,4 +89,6 @@ ORACLES = {
     "op7_line_dedup": lines.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
+    "op13_exact_dedup": contentsort.ORACLE,
 }

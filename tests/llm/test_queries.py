@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
-@pytest.mark.parametrize("name", ("op3_warc", "op6_benchmark_decontamination", "op7_line_dedup", "op8_source_mixing", "op9_exact_top_k"))
+@pytest.mark.parametrize("name", ("op3_warc", "op6_benchmark_decontamination", "op7_line_dedup", "op8_source_mixing", "op9_exact_top_k", "op11_fill_in_middle", "op13_exact_dedup"))
 def test_query_matches_oracle(spark, name):
     import __spark_entry__ as entry
     con = duckdb.connect()
