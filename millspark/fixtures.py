@@ -158,6 +158,97 @@ FROM fx_products
 """
 
 
+# Stored layer of the facts as a certificate declares it, and current and stale observations of every fact, of rolls and of heats.
+VIEWS["fx_stored_rolls"] = """
+SELECT f.*, CASE WHEN pickled THEN 'Oiled,Pickled' WHEN NOT pickled THEN 'Sin Decapar' WHEN product_id%2=0 THEN 'oiled' END AS condition_text,
+ CAST(CASE WHEN coating_both_sides THEN 60 WHEN NOT coating_both_sides THEN 0 WHEN product_id%2=0 THEN 30 END AS DECIMAL(18,6)) AS coating_superior_g_m2,
+ CAST(CASE WHEN coating_both_sides THEN 55 WHEN NOT coating_both_sides AND product_id%2=0 THEN 40 END AS DECIMAL(18,6)) AS coating_inferior_g_m2
+FROM fx_facts f
+"""
+VIEWS["fx_fact_observations"] = """
+SELECT product_id*4 + k AS observation_id, CASE WHEN k=1 THEN NULL ELSE product_id END AS product_id, heat_id, m%11 <> 0 AS is_current, CASE n
+  WHEN 0 THEN 'form'
+  WHEN 1 THEN 'coiled'
+  WHEN 2 THEN 'rolling'
+  WHEN 3 THEN 'width_mm'
+  WHEN 4 THEN 'thickness_mm'
+  WHEN 5 THEN 'coated'
+  WHEN 6 THEN 'coating.metal'
+  WHEN 7 THEN 'coating.process'
+  WHEN 8 THEN 'coating.superior_g_m2'
+  WHEN 9 THEN 'coating.inferior_g_m2'
+  WHEN 10 THEN 'mechanical_properties.yield_strength_mpa'
+  WHEN 11 THEN 'pickled'
+  WHEN 12 THEN 'pattern_in_relief'
+  WHEN 13 THEN 'porcelain_exposed_parts'
+  WHEN 14 THEN 'pipeline_steel'
+  WHEN 15 THEN 'high_speed_steel'
+  WHEN 16 THEN 'tool_steel'
+  WHEN 17 THEN 'grain_oriented'
+  WHEN 18 THEN 'magnetic_silicon'
+  WHEN 19 THEN 'stainless_series'
+  WHEN 20 THEN 'rolled_four_faces'
+  WHEN 21 THEN 'clad'
+  WHEN 22 THEN 'temper'
+  WHEN 23 THEN 'magnetic_loss_w_per_kg'
+  WHEN 24 THEN 'magnetic_induction_tesla'
+  WHEN 25 THEN 'secondary_reduction_ratio'
+  WHEN 26 THEN 'can_body_end_use'
+  WHEN 27 THEN 'deep_drawing_class'
+  WHEN 28 THEN 'cladding_weight_percentage'
+  WHEN 29 THEN 'composition_pct.C'
+  WHEN 30 THEN 'composition_pct.Cr'
+  WHEN 31 THEN 'composition_pct.Mn'
+  WHEN 32 THEN 'composition_pct.B'
+  WHEN 33 THEN 'composition_pct.W'
+  WHEN 34 THEN 'composition_pct.Si' END AS field_path,
+ CASE n
+  WHEN 0 THEN CASE WHEN m%4=0 THEN 'bar' ELSE 'flat_rolled' END
+  WHEN 1 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 2 THEN CASE m%3 WHEN 0 THEN 'hot' WHEN 1 THEN 'cold' END
+  WHEN 3 THEN CASE WHEN m%9=0 THEN 'n/a' ELSE concat(CAST(m%1800 AS VARCHAR(20)), '.5') END
+  WHEN 4 THEN CASE WHEN m%7<>0 THEN concat(CAST(m%12 AS VARCHAR(20)), '.25') END
+  WHEN 5 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 6 THEN CASE m%4 WHEN 0 THEN 'Zn' WHEN 1 THEN 'Sn' WHEN 2 THEN 'Al-Zn' END
+  WHEN 7 THEN CASE m%3 WHEN 0 THEN 'electrolytic' WHEN 1 THEN 'hot_dip' END
+  WHEN 8 THEN CASE m%3 WHEN 0 THEN '0' WHEN 1 THEN '60' END
+  WHEN 9 THEN CASE m%4 WHEN 0 THEN '0' WHEN 1 THEN '45.5' END
+  WHEN 10 THEN CASE m%4 WHEN 0 THEN '355' WHEN 1 THEN '300.5' WHEN 2 THEN '275' END
+  WHEN 11 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 12 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 13 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 14 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 15 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 16 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 17 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 18 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 19 THEN CASE m%5 WHEN 0 THEN '200' WHEN 1 THEN '300' WHEN 2 THEN '400' WHEN 3 THEN 'other' END
+  WHEN 20 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 21 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 22 THEN CASE WHEN m%2=0 THEN 'full_hard' END
+  WHEN 23 THEN CASE WHEN m%2=0 THEN '1.5' END
+  WHEN 24 THEN CASE WHEN m%3=0 THEN '1.8' END
+  WHEN 25 THEN CASE WHEN m%3<>0 THEN '33.3' END
+  WHEN 26 THEN CASE WHEN m%3=0 THEN 'true' WHEN m%3=1 THEN 'false' END
+  WHEN 27 THEN CASE WHEN m%2=0 THEN 'extra' END
+  WHEN 28 THEN CASE WHEN m%2=0 THEN '8' END
+  WHEN 29 THEN CASE m%4 WHEN 0 THEN '0.05' WHEN 1 THEN '0.3' WHEN 2 THEN '2.1' END
+  WHEN 30 THEN CASE m%3 WHEN 0 THEN '0' WHEN 1 THEN '18.2' END
+  WHEN 31 THEN CASE m%3 WHEN 0 THEN '0.2' WHEN 1 THEN '1.7' END
+  WHEN 32 THEN CASE m%3 WHEN 0 THEN '0' WHEN 1 THEN '0.001' ELSE 'tr' END
+  WHEN 33 THEN CASE WHEN m%2=0 THEN '0' END
+  WHEN 34 THEN '0.1' END AS value
+FROM (SELECT product_id, heat_id, v.k, CAST(floor(product_id/3)*7 + v.k AS BIGINT) AS m, (product_id*5 + v.k*17)%35 AS n FROM fx_products CROSS JOIN (VALUES (0),(1),(2)) AS v(k)
+ WHERE (v.k=0 AND product_id%3=0) OR (v.k=1 AND product_id%4=1) OR (v.k=2 AND product_id%6=0)) x
+"""
+# A fifth of the rolls have chemistry of their own, for two elements.
+VIEWS["fx_scoped_compositions"] = """
+SELECT heat_id, CAST(NULL AS BIGINT) AS product_id, element, percentage FROM fx_compositions
+UNION ALL SELECT heat_id, product_id, 'Mn', CAST(product_id%200 * 0.01 AS DECIMAL(18,8)) FROM fx_products WHERE product_id%5=2
+UNION ALL SELECT heat_id, product_id, 'C', CASE WHEN product_id%15=2 THEN NULL ELSE CAST(product_id%130 * 0.01 AS DECIMAL(18,8)) END FROM fx_products WHERE product_id%5=2
+"""
+
+
 # ---- further inputs derived from the driver tables ----
 VIEWS["fx_header_cells"] = """
 SELECT p_partkey AS cell_id, concat(CASE WHEN p_partkey%7=3 THEN concat(p_brand, ' ') ELSE '' END, CASE p_partkey%31 WHEN 0 THEN 'Coil No.' WHEN 1 THEN 'HEAT NO' WHEN 2 THEN 'Número de Colada' WHEN 3 THEN 'Thickness (mm)'
@@ -207,6 +298,70 @@ VIEWS["fx_roll_compositions"] = """
 SELECT p.product_id, p.heat_id, CASE WHEN p.heat_id%17=0 THEN 'UNKNOWN' ELSE p.heat_no END AS heat_no, v.element, CAST(CASE WHEN p.heat_id%3=0 THEN p.heat_id%90 ELSE p.product_id%90 END * v.k * 0.001 AS DECIMAL(18,8)) AS percentage,
  CASE WHEN p.certificate_id%19=0 THEN 'xlsx' ELSE 'pdf' END AS source_format, p.product_id%41=0 AS has_verification FROM fx_products p CROSS JOIN (VALUES ('C',1),('Mn',2),('Si',3)) AS v(element,k)
 """
+VIEWS["fx_mill_docs"] = """
+SELECT certificate_id, CASE certificate_id%3 WHEN 0 THEN 'hot' WHEN 1 THEN 'cold' END AS rolling, CASE WHEN certificate_id%2=0 THEN 'Pickled,oiled' END AS condition_text,
+ CASE WHEN certificate_id%4=0 THEN 'Zn' END AS coating_metal, CASE WHEN certificate_id%4=0 THEN 'hot_dip' END AS coating_process, CASE WHEN certificate_id%8=0 THEN 'chromate' END AS coating_post_treatment,
+ CASE certificate_id%5 WHEN 0 THEN 'SAE 1010' WHEN 1 THEN 'ASTM A1008' END AS standard, CASE WHEN certificate_id%15=0 THEN 'DC01' END AS grade, CASE WHEN certificate_id%6=0 THEN 'mill edge' END AS edge_condition,
+ CASE certificate_id%3 WHEN 0 THEN '10^-2' WHEN 1 THEN '-3' ELSE '10^-1' END AS scale_c, CASE WHEN certificate_id%23<>0 THEN '-2' END AS scale_mn, '10(-3)' AS scale_si
+FROM fx_certificates
+"""
+VIEWS["fx_mill_rows"] = """
+SELECT certificate_id, row_number() OVER (PARTITION BY certificate_id ORDER BY product_id, row_no) AS row_pos, product_id,
+ CASE WHEN product_id%89=0 THEN ' ' WHEN product_id%7=0 THEN concat(' ', product_identifier) ELSE concat(product_identifier, CASE WHEN row_no > 1 AND product_id%2=0 THEN concat('/', CAST(row_no AS VARCHAR(9))) ELSE '' END) END AS product_identifier,
+ concat('L', CAST(product_id%50 AS VARCHAR(9))) AS label_no, CASE WHEN product_id%6=1 THEN '同上' WHEN product_id%31=0 THEN NULL ELSE heat_no END AS heat_no,
+ CASE WHEN product_id%5=1 THEN '"' WHEN product_id%97=0 THEN 'abc' ELSE CAST(thickness_mm AS VARCHAR(30)) END AS thickness_mm, CASE WHEN product_id%4=2 THEN 'ditto' ELSE CAST(width_mm AS VARCHAR(30)) END AS width_mm,
+ CASE WHEN product_id%8=3 THEN '"' WHEN product_id%3=0 THEN 'COIL' WHEN product_id%3=1 THEN '6.5' END AS length_raw, CASE WHEN product_id%9=4 THEN '"' WHEN product_id%101=0 THEN '-2' WHEN product_id%2=0 THEN CAST(product_id%4+1 AS VARCHAR(9)) END AS quantity,
+ CAST(weight_kg AS VARCHAR(30)) AS weight_kg, CASE WHEN product_id%2=0 THEN CAST(weight_kg AS VARCHAR(30)) END AS net_weight_kg, CAST(NULL AS VARCHAR(30)) AS gross_weight_kg,
+ CAST(yield_strength_mpa AS VARCHAR(30)) AS yield_strength_mpa, CASE WHEN product_id%3=0 THEN '410' ELSE '' END AS tensile_strength_mpa, CASE WHEN product_id%103=0 THEN 'x' WHEN product_id%4=0 THEN '28.5' END AS elongation_pct,
+ CASE WHEN product_id%11=0 THEN 'Sn' END AS coating_metal, CASE WHEN product_id%4=1 THEN '60' END AS coating_superior_g_m2, CASE WHEN product_id%4=1 THEN '0' END AS coating_inferior_g_m2,
+ CASE WHEN product_id%10=0 THEN 'hot' END AS rolling, CASE WHEN product_id%12=0 THEN 'EN 10130' END AS standard,
+ product_id%17 <> 0 AS has_c, CASE WHEN product_id%3=2 THEN '"' WHEN product_id%19=0 THEN NULL ELSE CAST(heat_id%60 AS VARCHAR(9)) END AS c_raw,
+ CASE WHEN product_id%7=5 THEN '〃' WHEN product_id%107=0 THEN 'n/a' ELSE concat(CAST(heat_id%150 AS VARCHAR(9)), ',5') END AS mn_raw, CAST(CASE WHEN heat_id%3=0 THEN heat_id%9 ELSE product_id%9 END AS VARCHAR(9)) AS si_raw,
+ CASE WHEN product_id%37=0 THEN '-4' END AS own_scale_c, CASE WHEN product_id%2=0 THEN CAST(1 + product_id%3 AS INT) END AS page
+FROM fx_product_rows
+"""
+# A scanned page: headers with scales in different places, second readings of identifiers and heats, one or two weights a row.
+VIEWS["fx_scan_blocks"] = """
+SELECT doc_id, 1 AS page, block_id, text, x0, x1, top, top + height AS bottom, confidence, CAST(1000 AS DOUBLE) AS page_width, CAST(1400 AS DOUBLE) AS page_height FROM (
+ SELECT certificate_id AS doc_id, CAST(row_pos*10 + v.k AS BIGINT) AS block_id,
+  CASE v.k WHEN 0 THEN CASE WHEN certificate_id%10=0 AND row_pos <= 2 THEN 'COIL-SAME1' ELSE concat('COIL-', CAST(product_id AS VARCHAR(20))) END WHEN 1 THEN width_raw WHEN 2 THEN c_raw WHEN 3 THEN concat('0.', CAST(product_id%9 AS VARCHAR(9)))
+   WHEN 4 THEN concat('H', CAST(heat_id AS VARCHAR(20))) WHEN 5 THEN CASE WHEN product_id%3=0 THEN concat('CO1L-', CAST(product_id AS VARCHAR(20))) END WHEN 6 THEN CASE WHEN product_id%5=0 THEN 'H999' END WHEN 7 THEN CAST(100 + product_id%50 AS VARCHAR(9))
+   ELSE CASE WHEN product_id%2=0 THEN CAST(200 + product_id%50 AS VARCHAR(9)) END END AS text,
+  CAST(CASE v.k WHEN 0 THEN 80 WHEN 1 THEN 232 WHEN 2 THEN 390 WHEN 3 THEN 540 WHEN 4 THEN 670 WHEN 5 THEN 82 WHEN 6 THEN 690 ELSE 825 END AS DOUBLE) AS x0, CAST(CASE v.k WHEN 0 THEN 140 WHEN 1 THEN 288 WHEN 2 THEN 410 WHEN 3 THEN 560 WHEN 4 THEN 730 WHEN 5 THEN 142 WHEN 6 THEN 750 ELSE 875 END AS DOUBLE) AS x1,
+  CAST(300 + 20*row_pos + CASE v.k WHEN 5 THEN 1 WHEN 7 THEN -3 WHEN 8 THEN 5 ELSE 0 END AS DOUBLE) AS top, CAST(CASE v.k WHEN 5 THEN 10 WHEN 7 THEN 6 WHEN 8 THEN 6 ELSE 12 END AS DOUBLE) AS height,
+  CAST(CASE v.k WHEN 5 THEN CASE WHEN product_id%6=0 THEN 0.95 ELSE 0.5 END WHEN 6 THEN 0.3 ELSE 0.9 END AS DOUBLE) AS confidence
+ FROM fx_raw_rows CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8)) AS v(k)
+ UNION ALL SELECT certificate_id, CAST(v.k AS BIGINT), CASE v.k WHEN -1 THEN 'Coil No' WHEN -2 THEN 'Width mm' WHEN -3 THEN 'C' WHEN -4 THEN 'Mn %' WHEN -5 THEN 'Heat No' WHEN -6 THEN 'Weight' WHEN -7 THEN 'Bruto' WHEN -8 THEN CASE certificate_id%4 WHEN 0 THEN '10^-3' WHEN 1 THEN '%' WHEN 2 THEN '3' END
+   ELSE CASE WHEN certificate_id%4=2 THEN 'x10' END END, CAST(CASE v.k WHEN -1 THEN 80 WHEN -2 THEN 230 WHEN -3 THEN 395 WHEN -4 THEN 540 WHEN -5 THEN 670 WHEN -6 THEN 820 WHEN -7 THEN 820 ELSE 390 END AS DOUBLE), CAST(CASE v.k WHEN -1 THEN 140 WHEN -2 THEN 290 WHEN -3 THEN 405 WHEN -4 THEN 560 WHEN -5 THEN 730 WHEN -6 THEN 880 WHEN -7 THEN 880 ELSE 410 END AS DOUBLE),
+  CAST(CASE v.k WHEN -7 THEN 256 WHEN -8 THEN 262 WHEN -9 THEN 276 ELSE 240 END AS DOUBLE), CAST(12 AS DOUBLE), CAST(0.9 AS DOUBLE)
+ FROM (SELECT DISTINCT certificate_id FROM fx_raw_rows) d CROSS JOIN (VALUES (-1),(-2),(-3),(-4),(-5),(-6),(-7),(-8),(-9)) AS v(k)) x
+WHERE text IS NOT NULL
+"""
+# Documents of two templates, with every way in which a page, region, table, header, value or related row can fail.
+VIEWS["fx_tp_docs"] = """
+SELECT DISTINCT certificate_id AS doc_id, CASE WHEN certificate_id%3=1 THEN 2 ELSE 1 END AS template_id FROM fx_raw_rows
+"""
+VIEWS["fx_tp_pages"] = """
+SELECT doc_id, 1 AS page, doc_id%29<>0 AS readable, true AS has_content FROM fx_tp_docs UNION ALL SELECT doc_id, 2, true, doc_id%10=0 FROM fx_tp_docs WHERE doc_id%2=0
+"""
+VIEWS["fx_tp_blocks"] = """
+SELECT doc_id, 1 AS page, 1 AS block_id, CASE WHEN template_id=2 THEN concat('R', CAST(doc_id AS VARCHAR(20))) ELSE concat('C-', CAST(doc_id AS VARCHAR(20))) END AS text, CAST(10 AS DOUBLE) AS x0, CAST(60 AS DOUBLE) AS x1, CAST(5 AS DOUBLE) AS top, CAST(15 AS DOUBLE) AS bottom FROM fx_tp_docs WHERE template_id=2 OR doc_id%12<>0
+UNION ALL SELECT doc_id, 1, 2, CASE WHEN template_id=2 THEN '1200' WHEN doc_id%2=0 THEN 'COIL' ELSE '6,5' END, CAST(210 AS DOUBLE), CAST(CASE WHEN template_id=2 AND doc_id%4=0 THEN 320 ELSE 260 END AS DOUBLE), CAST(5 AS DOUBLE), CAST(15 AS DOUBLE) FROM fx_tp_docs
+UNION ALL SELECT doc_id, 2, 3, CASE WHEN doc_id%8=2 THEN '2 in' ELSE '1.5' END, CAST(10 AS DOUBLE), CAST(60 AS DOUBLE), CAST(5 AS DOUBLE), CAST(15 AS DOUBLE) FROM fx_tp_docs WHERE template_id=2 AND doc_id%2=0
+"""
+VIEWS["fx_tp_tables"] = """
+SELECT doc_id, 1 AS page, v.k AS table_idx, CAST(CASE v.k WHEN 0 THEN 10 WHEN 1 THEN 460 WHEN 2 THEN 710 ELSE 600 END AS DOUBLE) AS x0, CAST(CASE v.k WHEN 0 THEN 390 WHEN 1 THEN 640 WHEN 2 THEN CASE WHEN doc_id%11=5 THEN 950 ELSE 890 END ELSE 690 END AS DOUBLE) AS x1,
+ CAST(110 AS DOUBLE) AS top, CAST(800 AS DOUBLE) AS bottom, CASE WHEN v.k=2 AND doc_id%17=6 THEN 0 ELSE 100 END AS n_rows FROM fx_tp_docs CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(k) WHERE template_id=1 AND (v.k<3 OR doc_id%7=3)
+"""
+VIEWS["fx_tp_cells"] = """
+SELECT doc_id, 1 AS page, t AS table_idx, 0 AS row_idx, c AS col_idx, CASE WHEN t=0 AND c=4 THEN CASE WHEN doc_id%13=4 THEN 'WIDTH' ELSE 'Notes' END ELSE h END AS text
+ FROM fx_tp_docs CROSS JOIN (VALUES (0,0,'Coil'),(0,1,'Heat'),(0,2,'Width '),(0,3,'YP'),(0,4,''),(1,0,'Heat'),(1,1,'C'),(2,0,'Coil'),(2,1,'YP'),(2,2,'EL')) AS v(t,c,h) WHERE template_id=1
+UNION ALL SELECT certificate_id, 1, 0, CAST(row_pos*2 AS INT), c, CASE c WHEN 0 THEN concat('K', CAST(product_id AS VARCHAR(20))) WHEN 1 THEN concat('H', CAST(heat_id AS VARCHAR(20))) WHEN 2 THEN width_raw WHEN 3 THEN CASE WHEN product_id%10=0 THEN '300' END ELSE 'n' END FROM fx_raw_rows CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS v(c) WHERE certificate_id%3<>1
+UNION ALL SELECT certificate_id, 1, 0, CAST(row_pos*2+1 AS INT), 0, ' ' FROM fx_raw_rows WHERE certificate_id%3<>1
+UNION ALL SELECT certificate_id, 1, 1, CAST(1 + (heat_id%10)*2 + k AS INT), c, CASE c WHEN 0 THEN concat('H', CAST(heat_id AS VARCHAR(20))) ELSE CASE WHEN heat_id%6=5 THEN 'x' ELSE '13' END END FROM (SELECT DISTINCT certificate_id, heat_id FROM fx_raw_rows) h CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) AS v(k,c) WHERE certificate_id%3<>1 AND heat_id%9<>0 AND (k=0 OR heat_id%8=1)
+UNION ALL SELECT doc_id, 1, 1, 50, c, CASE c WHEN 0 THEN 'H0' ELSE '13' END FROM fx_tp_docs CROSS JOIN (VALUES (0),(1)) AS v(c) WHERE template_id=1 AND doc_id%5=0
+UNION ALL SELECT certificate_id, 1, 2, CAST(row_pos AS INT), c, CASE c WHEN 0 THEN concat('K', CAST(product_id AS VARCHAR(20))) WHEN 1 THEN '355' ELSE '28.5' END FROM fx_raw_rows CROSS JOIN (VALUES (0),(1),(2)) AS v(c) WHERE certificate_id%3<>1 AND product_id%21<>0
+"""
 VIEWS["fx_table_cells"] = """
 SELECT c.cell_id - c.cell_id%8 AS doc_id, 1 AS page, 0 AS table_idx, CAST(floor((c.cell_id%8)/4.0) AS INT) AS row_idx, CAST(c.cell_id%4 AS INT) AS col_idx, c.header AS text FROM fx_header_cells c
 UNION ALL SELECT c.cell_id - c.cell_id%8, 1, 0, CAST(2 + floor((c.cell_id%8)/2.0) AS INT), CAST(k AS INT), CASE WHEN k = 3 THEN '' WHEN c.cell_id%8 = 4 AND k = 0 THEN 'Total' ELSE concat('X', CAST(c.cell_id*10+k AS VARCHAR(20))) END FROM fx_header_cells c CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(k) WHERE c.cell_id%2 = 0
@@ -322,8 +477,10 @@ def oracle(sql: str, extra: dict[str, str] | None = None) -> str:
     chain = needed(sql, names)
     if not chain:
         return sql
-    ctes = ",\n".join(f"{name} AS ({names[name].strip()})" for name in chain)
     body = sql.strip()
+    text = "\n".join([body, *(names[name] for name in chain)])
+    shared = {name: " MATERIALIZED" if len(re.findall(rf"\b{name}\b", text)) > 1 else "" for name in chain}
+    ctes = ",\n".join(f"{name} AS{shared[name]} ({names[name].strip()})" for name in chain)
     if re.match(r"(?i)with\s+recursive\b", body):
         return f"WITH RECURSIVE {ctes},\n{body[len('with recursive'):].lstrip()}"
     if re.match(r"(?i)with\b", body):

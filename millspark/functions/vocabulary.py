@@ -72,6 +72,20 @@ product_name: product description, product name, commodity, descripcion del prod
 customer: customer, consignee, buyer, purchaser, cliente, destinatario, comprador, 订货单位, 收货单位, 客户名称, 客戶名稱
 """
 
+# --- fixed values: words beside labels and identifiers that are neither ---
+NOT_LABELS = ("standard technique", "customer no", "customer number", "customer id")
+TOTAL_STARTS = ("sub total", "grade total", "grand total")
+NOT_IDENTIFIERS = ("standard", "specification", "grade", "norma", "especificacion")
+ROLL_HEADERS = ("coil no", "coilno", "product no", "productno")
+PACK_HEADERS = ("pack no",)
+LABEL_HEADERS = ("label no", "labelno")
+GROSS_WORDS = ("gross", "bruto", "毛重")
+PLAIN_ELEMENTS = ("C", "Mn", "Si", "P", "Alt", "Als")
+
+# --- fixed values: condition words of rolls ---
+PICKLED = ("pickled", "decapado")
+NOT_PICKLED = ("not_pickled", "unpickled", "sin decapar")
+
 # --- fixed values: profiles of known layouts (required; weighted; negative signals) ---
 PROFILES = (
     ("ARCELORMITTAL_CALVERT", ("arcelormittal calvert", "mill certificate"),

@@ -2,7 +2,9 @@
 
 ``scenario_decisions`` is one narrow stage: every roll (twice when its rolling is unknown) gets its scope gate,
 steel family, heading, branch result and catalogue check in place, without a shuffle. ``scenario_candidates``
-then explodes the candidate codes and ranks them per roll, which is the only exchange of the job.
+then explodes the candidate codes and ranks them per roll, which is the only exchange of the job. Both look codes up in
+the catalogue, a legal nomenclature, as a broadcast table of narrow rows; one with more than ``CATALOG_ROWS`` codes is
+joined by shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from millspark.plans import nico_tables as nico
 from millspark.session import staged
 
 NO_TEXT = "cast(array() as array<string>)"
+CATALOG_ROWS = 100_000
 COATED_OPTIONS = "if(coated is null, array(false, true), array(coated))"
 
 FACT_TYPES = {
@@ -190,9 +193,9 @@ def assess_codes(df: DataFrame) -> DataFrame:
 # ---- catalogue lookups -----------------------------------------------------------------------------------
 
 def catalog_counts(catalog: DataFrame) -> DataFrame:
-    """Per code: how many fraction and NICO entries carry it (a legal nomenclature; Spark picks the join from its size)."""
-    return catalog.groupBy("code").agg(
-        F.count_if(F.col("kind") == "fraction").alias("n_fraction"), F.count_if(F.col("kind") == "nico").alias("n_nico"))
+    """Per code: how many fraction and NICO entries carry it."""
+    return looked_up(catalog.groupBy("code").agg(
+        F.count_if(F.col("kind") == "fraction").alias("n_fraction"), F.count_if(F.col("kind") == "nico").alias("n_nico")), catalog)
 
 
 def catalog_nicos(catalog: DataFrame) -> DataFrame:
@@ -200,7 +203,12 @@ def catalog_nicos(catalog: DataFrame) -> DataFrame:
     entries = catalog.filter("kind = 'nico' and fraction is not null").select(
         F.col("fraction").alias("entry_fraction"), F.coalesce("nico", F.expr("right(code, 2)")).alias("entry_nico"))
     place = Window.partitionBy("entry_fraction").orderBy("entry_nico")
-    return entries.withColumn("place", F.row_number().over(place))
+    return looked_up(entries.withColumn("place", F.row_number().over(place)), catalog)
+
+
+def looked_up(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Broadcast rows derived from a catalogue if a count proves it small; rolls without a code then never meet in one task."""
+    return F.broadcast(df) if catalog.limit(CATALOG_ROWS + 1).count() <= CATALOG_ROWS else df
 
 
 # ---- one decision per roll and rolling scenario -----------------------------------------------------------
@@ -304,6 +312,8 @@ def scenario_candidates(decisions: DataFrame, catalog: DataFrame) -> DataFrame:
                    F.expr("""case when not compatible then 'known_facts_conflict'
                        when coalesce(n_f, 0) <> 1 or coalesce(n_n, 0) <> 1 then 'source_catalog_invalid' end""").alias("rejection"),
                    F.expr("if(raw_index < 0 and size(missing) = 0, 'fully_supported', 'conditional')").alias("support_level"))
+    # Both windows keep to one roll, so one exchange by roll serves them.
+    df = df.repartition("product_id")
     order = [F.col("priority"), F.col("raw_index"), F.col("place")]
     same = Window.partitionBy("product_id", "scenario", "rejection", "fraction", "nico").orderBy(*order)
     df = df.withColumn("occurrence", F.row_number().over(same)).filter("rejection is not null or occurrence = 1")

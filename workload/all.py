@@ -1 +1 @@
-from workload import classification, candidates, normalization, reconstruction, quality, history, review, outputs, layouts  # noqa: F401
+from workload import classification, candidates, normalization, reconstruction, certificates, quality, history, review, outputs, layouts  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from millspark import session
 from millspark.functions import refdata as ref
 from millspark.operators import classification as cl
 from millspark.operators import facts as fa
@@ -13,22 +14,52 @@ LIST = lambda name: F.array_join(F.array_sort(name), ",").alias(name)
 
 
 def facts(t: Tables) -> DataFrame:
-    return fa.attach_composition(t.facts, t.compositions)
+    """Every classification query starts from the assembled facts, written once: rules name a fact many times."""
+    stored = t.stored_rolls.withColumn("condition", F.split("condition_text", ",")).drop("condition_text")
+    return session.staged(fa.assemble_facts(stored, t.scoped_compositions, t.fact_observations))
 
 
 def staged(t: Tables) -> DataFrame:
     return cl.heading(cl.coating_state(cl.with_short_names(cl.steel_family(cl.scope_gate(cl.complete_facts(facts(t)))))))
 
 
-# ---- oracle views: the same rules written as plain SQL over pivoted chemistry ----
-ORACLE_VIEWS["ox_heat"] = """
-SELECT c.heat_id, max(CASE WHEN c.element='C' THEN percentage END) AS c, max(CASE WHEN c.element='Cr' THEN percentage END) AS cr,
+# ---- oracle views: the layers of each fact, then the rules written as plain SQL over pivoted chemistry ----
+SQL_TYPES = {"string": "VARCHAR", "boolean": "BOOLEAN", "decimal(18,6)": "DECIMAL(18,6)"}
+OBSERVED = {n: fa.PATHS.get(n, n) for n in cl.FACT_TYPES if n not in ("composition_pct", "coating_both_sides")} | {p.replace(".", "_"): p for p in fa.FACES}
+STORED = {"pickled": """CASE WHEN list_has_any(string_split(lower(condition_text), ','), ['pickled', 'decapado']) THEN true
+  WHEN list_has_any(string_split(lower(condition_text), ','), ['not_pickled', 'unpickled', 'sin decapar']) THEN false END""",
+          "coated": "CASE WHEN coating_metal <> '' THEN true ELSE coated END", "temper": "NULL"}
+ORACLE_VIEWS["ox_seen"] = """
+SELECT product_id, field_path, value, scope, observation_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field_path ORDER BY scope DESC, observation_id DESC) AS k FROM (
+ SELECT product_id, field_path, value, 'product' AS scope, observation_id FROM fx_fact_observations WHERE is_current AND product_id IS NOT NULL
+ UNION ALL SELECT p.product_id, o.field_path, o.value, 'heat', o.observation_id FROM fx_fact_observations o JOIN fx_stored_rolls p ON p.heat_id = o.heat_id WHERE o.is_current AND o.product_id IS NULL)) WHERE k = 1
+"""
+ORACLE_VIEWS["ox_seen_wide"] = "SELECT product_id, " + ", ".join(
+    f"max(CASE WHEN field_path='{path}' THEN value END) AS v_{name}, count(CASE WHEN field_path='{path}' THEN 1 END) > 0 AS h_{name}" for name, path in OBSERVED.items()
+) + " FROM ox_seen GROUP BY 1"
+ORACLE_VIEWS["ox_layered"] = "SELECT s.product_id, s.certificate_id, s.heat_id, s.heat_no, " + ", ".join(
+    f"CASE WHEN h_{name} THEN TRY_CAST(v_{name} AS {SQL_TYPES[cl.FACT_TYPES.get(name, 'decimal(18,6)')]}) ELSE "
+    + ("CASE WHEN (CASE WHEN h_coating_metal THEN v_coating_metal ELSE coating_metal END) <> '' THEN true ELSE coated END" if name == "coated"
+       else f"CAST({STORED.get(name, 's.' + name)} AS {SQL_TYPES[cl.FACT_TYPES.get(name, 'decimal(18,6)')]})") + f" END AS {name}"
+    for name in OBSERVED) + " FROM fx_stored_rolls s LEFT JOIN ox_seen_wide w ON w.product_id = s.product_id"
+ORACLE_VIEWS["ox_assembled"] = """
+SELECT *, CASE WHEN coating_superior_g_m2 = 0 OR coating_inferior_g_m2 = 0 THEN false WHEN coating_superior_g_m2 IS NOT NULL AND coating_inferior_g_m2 IS NOT NULL
+ THEN coating_superior_g_m2 > 0 AND coating_inferior_g_m2 > 0 END AS coating_both_sides FROM ox_layered
+"""
+ORACLE_VIEWS["ox_chem"] = """
+SELECT product_id, element, percentage FROM (SELECT *, row_number() OVER (PARTITION BY product_id, element ORDER BY layer DESC) AS k FROM (
+ SELECT product_id, substr(field_path, 17) AS element, TRY_CAST(value AS DECIMAL(18,8)) AS percentage, 3 AS layer FROM ox_seen WHERE starts_with(field_path, 'composition_pct.')
+ UNION ALL SELECT product_id, element, percentage, 2 FROM fx_scoped_compositions WHERE product_id IS NOT NULL
+ UNION ALL SELECT p.product_id, c.element, c.percentage, 1 FROM fx_scoped_compositions c JOIN fx_stored_rolls p ON p.heat_id = c.heat_id WHERE c.product_id IS NULL)) WHERE k = 1
+"""
+ORACLE_VIEWS["ox_roll"] = """
+SELECT c.product_id, max(CASE WHEN c.element='C' THEN percentage END) AS c, max(CASE WHEN c.element='Cr' THEN percentage END) AS cr,
  max(CASE WHEN c.element='B' THEN percentage END) AS boron, count(CASE WHEN percentage >= threshold THEN 1 END) AS n_matched,
  count(CASE WHEN threshold IS NOT NULL AND percentage IS NULL THEN 1 END) AS n_unknown,
  string_agg(CASE WHEN percentage >= threshold THEN c.element END, ',' ORDER BY idx) AS matched,
  string_agg(CASE WHEN threshold IS NOT NULL AND percentage IS NULL THEN c.element END, ',' ORDER BY idx) AS unknowns,
  count(percentage) AS n_known
-FROM fx_compositions c LEFT JOIN fx_thresholds t ON c.element = t.element GROUP BY c.heat_id
+FROM ox_chem c LEFT JOIN fx_thresholds t ON c.element = t.element GROUP BY c.product_id
 """
 ORACLE_VIEWS["ox_facts"] = """
 SELECT f.*, h.c, h.cr, h.boron, h.matched, h.unknowns, h.n_known, h.n_matched, thickness_mm AS t, width_mm AS w, yield_strength_mpa AS ys,
@@ -36,7 +67,7 @@ SELECT f.*, h.c, h.cr, h.boron, h.matched, h.unknowns, h.n_known, h.n_matched, t
  CASE WHEN c > 2 THEN 'exception' WHEN c <= 1.2 AND cr >= 10.5 THEN 'stainless' WHEN n_matched > 0 AND c IS NOT NULL AND cr IS NOT NULL THEN 'other_alloy'
   WHEN n_matched > 0 THEN 'ambiguous' WHEN n_unknown > 0 THEN 'unproven' WHEN c IS NULL THEN 'carbon_missing' ELSE 'non_alloy' END AS family_state,
  (CASE WHEN width_mm IS NULL THEN 1 ELSE 0 END) + (CASE WHEN thickness_mm IS NULL THEN 1 ELSE 0 END) + (CASE WHEN coiled IS NULL THEN 1 ELSE 0 END) AS n_missing_dims
-FROM fx_facts f LEFT JOIN ox_heat h ON f.heat_id = h.heat_id
+FROM ox_assembled f LEFT JOIN ox_roll h ON f.product_id = h.product_id
 """
 ORACLE_VIEWS["ox_scope"] = """
 SELECT *, CASE WHEN coalesce(form,'') <> 'flat_rolled' THEN 'out_of_scope' WHEN n_missing_dims = 0 AND rolling IS NULL THEN 'rolling_only'
@@ -166,13 +197,13 @@ def rolls_by_family_and_heading(t: Tables) -> DataFrame:
  concat_ws(',', CASE WHEN coiled IS NULL THEN 'coiled' END, CASE WHEN rolling IS NULL THEN 'rolling' END, CASE WHEN t IS NULL THEN 'thickness_mm' END, CASE WHEN w IS NULL THEN 'width_mm' END) AS missing_physical
 FROM ox_scope""")
 def scope_gate(t: Tables) -> DataFrame:
-    return cl.scope_gate(t.facts).select("product_id", "scope", LIST("missing_physical"))
+    return cl.scope_gate(facts(t)).select("product_id", "scope", LIST("missing_physical"))
 
 
 @query(sql="""SELECT product_id, t AS thickness_mm, w AS width_mm FROM ox_facts
 WHERE NOT coiled AND t IS NOT NULL AND w IS NOT NULL AND ((t < 4.75 AND w < 10*t) OR (t >= 4.75 AND (w <= 150 OR t > w/2)))""")
 def geometry_contradictions(t: Tables) -> DataFrame:
-    return t.facts.filter(cl.GEOMETRY_CONFLICT).select("product_id", "thickness_mm", "width_mm")
+    return facts(t).filter(cl.GEOMETRY_CONFLICT).select("product_id", "thickness_mm", "width_mm")
 
 
 @query(sql="""SELECT product_id, family_state, coalesce(matched,'') AS matched_elements,
@@ -196,9 +227,9 @@ def heading_candidates(t: Tables) -> DataFrame:
         "state in ('family_unknown', 'coating_unknown') and size(headings) > 0").select("product_id", "rolling", LIST("headings"))
 
 
-@query(sql="""SELECT product_id, CASE WHEN coated IS NULL THEN 'unknown' WHEN NOT coated AND coating_metal <> '' THEN 'conflict' ELSE 'known' END AS coating_state FROM fx_facts""")
+@query(sql="""SELECT product_id, CASE WHEN coated IS NULL THEN 'unknown' WHEN NOT coated AND coating_metal <> '' THEN 'conflict' ELSE 'known' END AS coating_state FROM ox_assembled""")
 def coating_state(t: Tables) -> DataFrame:
-    return cl.coating_state(t.facts).select("product_id", "coating_state")
+    return cl.coating_state(facts(t)).select("product_id", "coating_state")
 
 
 def _branch(heading: str):
@@ -217,3 +248,21 @@ def _branch(heading: str):
 
 for _heading in ref.FLAT_HEADINGS:
     _branch(_heading)
+
+
+# ---- the assembled facts themselves (R0) ----
+_TEXTS = [n for n in cl.FACT_TYPES if n != "composition_pct"]
+
+
+@query(sql="SELECT a.product_id, " + ", ".join(f"CAST(a.{n} AS VARCHAR) AS {n}" for n in _TEXTS) + """,
+ (SELECT string_agg(element || '=' || coalesce(CAST(percentage AS VARCHAR), '?'), ',' ORDER BY element) FROM ox_chem c WHERE c.product_id = a.product_id) AS composition_pct,
+ coalesce((SELECT string_agg(field_path || ':' || scope || ':' || CAST(observation_id AS VARCHAR), ',' ORDER BY field_path) FROM ox_seen o WHERE o.product_id = a.product_id), '') AS overrides,
+ coalesce((SELECT string_agg(field_path, ',' ORDER BY field_path) FROM ox_seen o WHERE o.product_id = a.product_id AND value IS NOT NULL AND
+  ((field_path = 'width_mm' OR starts_with(field_path, 'composition_pct.')) AND TRY_CAST(value AS DECIMAL(18,8)) IS NULL)), '') AS unreadable
+FROM ox_assembled a""")
+def assembled_facts(t: Tables) -> DataFrame:
+    """All 30 facts of every roll, which observation overrides which field, and values that do not read."""
+    df = facts(t)
+    elements = F.array_join(F.transform(F.array_sort(F.map_entries("composition_pct")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("?")))), ",")
+    overrides = F.array_join(F.array_sort(F.transform(F.map_entries("overrides"), lambda e: F.concat_ws(":", e["key"], e["value"]["scope"], e["value"]["observation_id"].cast("string")))), ",")
+    return df.select("product_id", *[F.col(n).cast("string").alias(n) for n in _TEXTS], elements.alias("composition_pct"), overrides.alias("overrides"), LIST("unreadable"))

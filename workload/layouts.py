@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from millspark.operators import history as h
 from millspark.operators import layout as ly
+from millspark.operators import recovery as rv
+from millspark.operators import templates as tp
 from millspark.operators import tables as tb
-from workload.classification import facts
 from workload.registry import ORACLE_VIEWS, Tables, query
 
 ORACLE_VIEWS["ox_table_header"] = """
@@ -141,7 +142,19 @@ def grid_blocks(t: Tables) -> DataFrame:
 
 @query(sql="""SELECT certificate_id AS doc_id, 'K' || product_id AS product_id, 'width_mm' AS key, width_raw AS text FROM fx_raw_rows WHERE width_raw IS NOT NULL UNION ALL SELECT certificate_id, 'K' || product_id, 'C', c_raw FROM fx_raw_rows""")
 def recovered_rows(t: Tables) -> DataFrame:
-    return ly.recover_geometric_rows(grid_blocks(t)).select("doc_id", "product_id", "key", "text")
+    return rv.recover_geometric_rows(grid_blocks(t)).select("doc_id", "product_id", "key", "text")
+
+
+@query(sql="""SELECT certificate_id AS doc_id, row_pos AS row_id, CASE WHEN product_id%6=0 THEN 'CO1L-' || product_id WHEN certificate_id%10=0 AND row_pos <= 2 THEN 'COIL-SAME1' ELSE 'COIL-' || product_id END AS product_id, key, text, exponent FROM (
+ SELECT *, 'width_mm' AS key, width_raw AS text, NULL AS exponent FROM fx_raw_rows WHERE width_raw IS NOT NULL
+ UNION ALL SELECT *, 'C', c_raw, CASE certificate_id%4 WHEN 1 THEN 0 ELSE -3 END FROM fx_raw_rows WHERE certificate_id%4 <> 3
+ UNION ALL SELECT *, 'Mn', '0.' || product_id%9, 0 FROM fx_raw_rows
+ UNION ALL SELECT *, 'heat_no', 'H' || heat_id, NULL FROM fx_raw_rows
+ UNION ALL SELECT *, unnest(CASE WHEN product_id%2=0 THEN ['weight_kg', 'net_weight_kg'] ELSE ['weight_kg'] END), CAST(100 + product_id%50 AS VARCHAR), NULL FROM fx_raw_rows
+ UNION ALL SELECT *, 'gross_weight_kg', CAST(200 + product_id%50 AS VARCHAR), NULL FROM fx_raw_rows WHERE product_id%2=0)""")
+def recovered_readings(t: Tables) -> DataFrame:
+    """Rows of scanned pages with second readings; the oracle knows the rows that the pages were printed from."""
+    return rv.recover_geometric_rows(t.scan_blocks).select("doc_id", "row_id", "product_id", "key", "text", "exponent")
 
 
 @query(sql="""SELECT certificate_id AS doc_id, 'GRID' AS profile, 'first_width' AS field, CASE WHEN count(DISTINCT width_raw) = 1 THEN min(width_raw) END AS value, count(DISTINCT width_raw) > 1 AS conflict FROM fx_raw_rows WHERE row_pos <= 2 AND width_raw IS NOT NULL GROUP BY 1""")
@@ -150,21 +163,77 @@ def profile_fields(t: Tables) -> DataFrame:
     return ly.apply_profiles(grid_blocks(t), fields)
 
 
-@query()
+def templates(t: Tables) -> dict[str, DataFrame]:
+    """Two templates as rows, over every document."""
+    make = t.spark.createDataFrame
+    mapping = "target string, element string, exponent int, unit string, separator string, required boolean"
+    plain = lambda target, unit=None, required=True: (target, None, None, unit, ".", required)
+    fields = make([(1, 1, 1, 0.0, 100.0, 0.0, 20.0, *plain("certificate_no")), (1, 2, 1, 200.0, 300.0, 0.0, 20.0, *plain("length_raw", "m")), (2, 3, 1, 0.0, 100.0, 0.0, 20.0, *plain("product_id")),
+                   (2, 4, 1, 200.0, 300.0, 0.0, 20.0, *plain("width_mm", "mm")), (2, 5, 2, 0.0, 100.0, 0.0, 20.0, *plain("thickness_mm", "mm"))],
+                  "template_id int, region_id int, page int, x0 double, x1 double, top double, bottom double, " + mapping)
+    tables = make([(1, 1, 1, 0.0, 400.0, 100.0, 900.0, "products", "product_id", 0), (1, 2, 1, 450.0, 650.0, 100.0, 900.0, "chemistry", "heat_no", 0), (1, 3, 1, 700.0, 900.0, 100.0, 900.0, "mechanical", "product_id", 0)],
+                  "template_id int, table_id int, page int, x0 double, x1 double, top double, bottom double, role string, join_key string, header_row int")
+    columns = make([(1, 1, "coil", *plain("product_id")), (1, 1, "Heat", *plain("heat_no")), (1, 1, "Width", *plain("width_mm", "mm")), (1, 1, "YP", *plain("yield_strength_mpa", "MPa", False)),
+                    (1, 2, "Heat", *plain("heat_no")), (1, 2, "C", "chemistry", "C", -3, "%", ".", True), (1, 3, "Coil", *plain("product_id")), (1, 3, "YP", *plain("yield_strength_mpa", "MPa")), (1, 3, "el", *plain("elongation_pct", "%"))],
+                   "template_id int, table_id int, header string, " + mapping)
+    return tp.extract_with_templates(t.tp_docs, t.tp_pages, t.tp_blocks, t.tp_tables, t.tp_cells, fields, tables, columns)
+
+
+# ---- oracle: what the fixture printed, by case ----
+ORACLE_VIEWS["ox_tp_doc"] = """
+SELECT *, doc_id%29=0 OR (template_id=2 AND doc_id%2=1) AS stopped, doc_id%13=4 AS no_rows, doc_id%7=3 AS no_chem, doc_id%11=5 OR doc_id%17=6 AS no_mech FROM fx_tp_docs
+"""
+ORACLE_VIEWS["ox_tp_row"] = """
+SELECT r.*, d.* EXCLUDE (template_id), heat_id%9<>0 AND heat_id%8<>1 AND NOT no_chem AS has_chem, product_id%21<>0 AND NOT no_mech AS has_mech FROM fx_raw_rows r JOIN ox_tp_doc d ON d.doc_id = r.certificate_id WHERE template_id=1 AND NOT stopped
+"""
+ORACLE_VIEWS["ox_tp_values"] = """
+SELECT doc_id, (CAST(1 AS BIGINT) << 32) + row_pos*2 AS row_id, key, exponent, value FROM (
+ SELECT *, 'product_id' AS key, NULL AS exponent, 'K' || product_id AS value FROM ox_tp_row UNION ALL SELECT *, 'heat_no', NULL, 'H' || heat_id FROM ox_tp_row
+ UNION ALL SELECT *, 'width_mm', NULL, CASE WHEN width_raw <> '"' THEN CAST(CAST(width_raw AS DECIMAL(18,6)) AS VARCHAR) END FROM ox_tp_row
+ UNION ALL SELECT *, 'length_raw', NULL, CASE WHEN doc_id%2=0 THEN 'C' END FROM ox_tp_row
+ UNION ALL SELECT *, 'yield_strength_mpa', NULL, CASE WHEN product_id%10=0 THEN '300' WHEN has_mech THEN '355' END FROM ox_tp_row
+ UNION ALL SELECT *, 'elongation_pct', NULL, '28.5' FROM ox_tp_row WHERE has_mech
+ UNION ALL SELECT *, 'chemistry.C', -3, CASE WHEN heat_id%6<>5 THEN '13' END FROM ox_tp_row WHERE has_chem) WHERE NOT no_rows
+UNION ALL SELECT doc_id, 0, 'product_id', NULL, 'R' || doc_id FROM ox_tp_doc WHERE template_id=2 AND NOT stopped
+UNION ALL SELECT doc_id, 0, 'width_mm', NULL, '1200.000000' FROM ox_tp_doc WHERE template_id=2 AND NOT stopped AND doc_id%4<>0
+UNION ALL SELECT doc_id, 0, 'thickness_mm', NULL, CASE WHEN doc_id%8<>2 THEN '1.500000' END FROM ox_tp_doc WHERE template_id=2 AND NOT stopped
+"""
+ORACLE_VIEWS["ox_tp_issues"] = """
+WITH one AS (SELECT * FROM ox_tp_doc WHERE template_id=1 AND NOT stopped), two AS (SELECT * FROM ox_tp_doc WHERE template_id=2 AND NOT stopped),
+h AS (SELECT DISTINCT doc_id, heat_id, no_rows FROM ox_tp_row WHERE heat_id%9<>0 AND NOT no_chem)
+SELECT doc_id, code, field, page, count(*) AS n FROM (
+ SELECT doc_id, 'needs_ocr' AS code, 'page' AS field, 1 AS page FROM ox_tp_doc WHERE doc_id%29=0 UNION ALL SELECT doc_id, 'page_missing', 'page', 2 FROM ox_tp_doc WHERE template_id=2 AND doc_id%2=1
+ UNION ALL SELECT doc_id, 'page_not_mapped', 'page', 2 FROM one WHERE doc_id%10=0 UNION ALL SELECT doc_id, 'value_missing', 'certificate_no', 1 FROM one WHERE doc_id%12=0 UNION ALL SELECT doc_id, 'invalid_number', 'length_raw', 1 FROM one WHERE doc_id%2=1
+ UNION ALL SELECT doc_id, 'header_ambiguous', 'products', 1 FROM one WHERE no_rows UNION ALL SELECT doc_id, 'table_ambiguous', 'chemistry', 1 FROM one WHERE no_chem
+ UNION ALL SELECT doc_id, CASE WHEN doc_id%11=5 THEN 'clipped_table' ELSE 'header_missing' END, 'mechanical', 1 FROM one WHERE no_mech
+ UNION ALL SELECT doc_id, CASE WHEN width_raw IS NULL THEN 'value_missing' ELSE 'unit_conflict' END, 'width_mm', 1 FROM ox_tp_row WHERE NOT no_rows AND (width_raw IS NULL OR width_raw = '"')
+ UNION ALL SELECT doc_id, 'invalid_number', 'chemistry.C', 1 FROM h JOIN (VALUES (0),(1)) AS v(k) ON k=0 OR heat_id%8=1 WHERE heat_id%6=5
+ UNION ALL SELECT doc_id, 'join_ambiguous', 'heat_no', 1 FROM h CROSS JOIN (VALUES (0),(1)) AS v(k) WHERE heat_id%8=1
+ UNION ALL SELECT doc_id, 'join_missing', 'heat_no', 1 FROM h WHERE no_rows AND heat_id%8<>1 UNION ALL SELECT doc_id, 'join_missing', 'heat_no', 1 FROM one WHERE doc_id%5=0 AND NOT no_chem
+ UNION ALL SELECT doc_id, 'join_missing', 'heat_no', 1 FROM ox_tp_row WHERE NOT no_rows AND NOT no_chem AND NOT has_chem
+ UNION ALL SELECT doc_id, 'join_missing', 'product_id', 1 FROM ox_tp_row WHERE NOT no_mech AND CASE WHEN no_rows THEN has_mech ELSE NOT has_mech END
+ UNION ALL SELECT doc_id, 'join_conflict', 'yield_strength_mpa', 1 FROM ox_tp_row WHERE NOT no_rows AND has_mech AND product_id%10=0
+ UNION ALL SELECT doc_id, 'clipped_text', 'width_mm', 1 FROM two WHERE doc_id%4=0 UNION ALL SELECT doc_id, 'unit_conflict', 'thickness_mm', 2 FROM two WHERE doc_id%8=2) GROUP BY ALL
+"""
+
+
+@query(sql="SELECT * FROM ox_tp_values")
 def template_extraction(t: Tables) -> DataFrame:
-    """Values and diagnostics of one user template over every document: a region field and two table columns."""
-    spark = t.spark
-    fields = regions(t).filter("region_id = 3").withColumns({"target": F.lit("certificate_no"), "unit": F.lit(None).cast("string"), "separator": F.lit("."), "required": F.lit(True)})
-    sql = lambda text: spark.sql(text.replace("FROM fx_raw_rows", "FROM {rows}"), rows=t.raw_rows)
-    cells = sql(GRID).unionByName(sql(HEADS).selectExpr("doc_id", "page", "table_idx", "row_idx", "col_idx", "header as text"))
-    columns = sql(HEADS).filter("col_idx < 2").selectExpr("doc_id", "page", "table_idx", "row_idx as header_row", "header", "key as target", "if(col_idx = 1, 'mm', null) as unit", "'.' as separator", "true as required")
-    values, issues = ly.apply_templates(t.blocks, cells, fields, columns)
-    return values.groupBy(F.col("target").alias("field"), F.lit("value").alias("code")).agg(F.count("*").alias("n")).unionByName(issues.groupBy("field", "code").agg(F.count("*").alias("n")))
-
-
-@query(sql="SELECT product_id, n_known, coalesce(CAST(boron AS VARCHAR), '') AS boron FROM ox_facts")
-def assembled_facts(t: Tables) -> DataFrame:
-    return facts(t).select("product_id", F.size(F.map_filter("composition_pct", lambda k, v: v.isNotNull())).alias("n_known"), F.coalesce(F.col("composition_pct")["B"].cast("string"), F.lit("")).alias("boron"))
+    """Every value of every product row that the templates give."""
+    return templates(t)["values"]
+
+
+@query(sql="SELECT * FROM ox_tp_issues")
+def template_diagnostics(t: Tables) -> DataFrame:
+    return templates(t)["diagnostics"].groupBy("doc_id", "code", "field", "page").agg(F.count("*").alias("n"))
+
+
+@query(sql="""SELECT d.doc_id, CASE WHEN i.ocr THEN 'needs_ocr' WHEN i.doc_id IS NOT NULL THEN 'needs_review' WHEN v.doc_id IS NOT NULL THEN 'success' ELSE 'empty' END AS status, CASE WHEN template_id=1 AND NOT stopped AND d.doc_id%12<>0 THEN 'C-' || d.doc_id END AS certificate_no
+FROM ox_tp_doc d LEFT JOIN (SELECT doc_id, bool_or(code='needs_ocr') AS ocr FROM ox_tp_issues GROUP BY 1) i ON i.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM ox_tp_values) v ON v.doc_id = d.doc_id""")
+def template_status(t: Tables) -> DataFrame:
+    found = templates(t)
+    number = found["metadata"].filter("key = 'certificate_no'").select("doc_id", F.col("value").alias("certificate_no"))
+    return found["status"].join(number, "doc_id", "left")
 
 
 @query(sql="SELECT o_orderkey AS certificate_id, count(*) AS heats, CAST(sum(k) AS BIGINT) AS total FROM orders CROSS JOIN (SELECT unnest(range(1, 16)) AS k) v GROUP BY 1")
