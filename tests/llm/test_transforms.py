@@ -83,7 +83,7 @@ def aligned_by_hand(rows):
     b = alignment.Pieces(f"{alignment.TOKENIZERS}/{alignment.VOCABULARY_B}")
     found = []
     for doc_id, text in rows:
-        ids_a, ids_b = (a.encode([text])[0], b.encode([text])[0]) if text else ([], [])
+        ids_a, ids_b = (a.encode([text])[0].tolist(), b.encode([text])[0].tolist()) if text else ([], [])
         want = b" " + (text or "").encode()
         if any(b"".join(t.bytes_of[i] for i in ids) != want for t, ids in ((a, ids_a), (b, ids_b))):
             ids_a = ids_b = []
@@ -135,6 +135,18 @@ def test_alignment_of_nothing(nothing):
     assert alignment.digest(aligned, alignment.link_statistics(aligned, alignment.pair_counts(aligned))).count() == 0
 
 
+def test_byte_level_ids_are_those_of_the_file():
+    """Every kind of character, alone, inside and between words, and long runs, against the file's own library."""
+    from tokenizers import Tokenizer
+    a = alignment.ByteLevel(f"{alignment.TOKENIZERS}/{alignment.VOCABULARY_A}")
+    own = Tokenizer.from_file(f"{alignment.TOKENIZERS}/{alignment.VOCABULARY_A}")
+    own.encode_special_tokens = True
+    points = [*range(0x3400), *range(0x3400, 0xD800, 61), *range(0xE000, 0x110000, 211)]
+    texts = [f"x{chr(c)}1 {chr(c)}{chr(c)}y  {chr(c)} z" for c in points] + ODD + ["a" * 5_000 + " " * 5_000 + "b", "it's we'LL 'S"]
+    want = own.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    assert all(list(x) == y.ids for x, y in zip(a.encode(texts), want))
+
+
 def test_every_token_has_its_bytes():
     a = alignment.ByteLevel(f"{alignment.TOKENIZERS}/{alignment.VOCABULARY_A}")
     with open(f"{alignment.TOKENIZERS}/{alignment.VOCABULARY_A}", encoding="utf-8") as file:
