@@ -443,6 +443,18 @@ SELECT doc_id, 1 AS page, k AS block_id, CASE k WHEN 1 THEN CASE doc_id%3 WHEN 0
 FROM documents CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6)) AS v(k)
 """
 
+VIEWS["fx_scripts"] = """
+SELECT doc_id, concat(CASE doc_id%12 WHEN 0 THEN 'Ｃｏｉｌ　Ｎｏ．１２' WHEN 1 THEN 'ﬁne ﬂow Ⅷ ½' WHEN 2 THEN 'STRASSE Straße' WHEN 3 THEN 'Ελλάδα ΌΣΟΣ' WHEN 4 THEN 'Ёлка — Й' WHEN 5 THEN '㎏ ㎜² ℃' WHEN 6 THEN '𝐁𝐨𝐥𝐝 ①②' WHEN 7 THEN 'Naïve_Ünïcode ǅ'
+ WHEN 8 THEN 'ｶﾞｽ 炉号' WHEN 9 THEN 'Límite-Elástico (MPa)' WHEN 10 THEN 'été ö' ELSE 'plain ASCII, no. 7' END, ' ', CAST(doc_id AS VARCHAR(20))) AS text FROM documents
+"""
+VIEWS["fx_exports"] = """
+SELECT h.heat_id AS export_id, h.heat_id, h.certificate_id, h.certificate_id*10 AS run_id, h.heat_id%3 AS kind, CASE WHEN h.heat_id%4=0 THEN 100 + h.heat_id%50 END AS stored_file_id FROM fx_heats h WHERE h.heat_id%5=0
+"""
+VIEWS["fx_document_jobs"] = """
+SELECT certificate_id*2 AS job_id, document_id, CAST(NULL AS BIGINT) AS export_id, CASE WHEN certificate_id%9=0 THEN 'running' ELSE 'succeeded' END AS status FROM fx_certificates
+UNION ALL SELECT -export_id, CAST(NULL AS BIGINT), export_id, 'queued' FROM fx_exports
+"""
+
 
 def needed(sql: str, names=None) -> list[str]:
     """Views that a statement reaches, in definition order."""

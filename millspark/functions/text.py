@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -25,15 +25,52 @@ def compact_term(text: Column) -> Column:
     return F.replace(normalize_term(text), F.lit(" "), F.lit(""))
 
 
-def normalize_term_unicode(column: str) -> Column:
-    """Full NFKD folding for scripts outside Latin; Arrow batches, used only where compatibility forms occur."""
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        marked = values.str.casefold().str.normalize("NFKD")
-        bare = marked.map(lambda s: None if s is None else "".join(ch for ch in s if not unicodedata.combining(ch)))
-        return bare.str.replace(r"[^\w]+", " ", regex=True).str.strip()
-
-    return fold(F.col(column))
+@cache
+def folding_table(last: int = 0x1FFFF) -> tuple[str, str, str, str]:
+    """Compatibility folding by rule, per code point: case folded, decomposed, without combining marks.
+
+    Returns (characters with one or no character behind them, those characters, a regular expression of characters that
+    become several, table text): the table has one entry per code point, the mark U+0001 where the character stays.
+    """
+    one, to, gone, many, entries = [], [], [], [], []
+    for point in range(last + 1):
+        character = chr(point)
+        if 0xD800 <= point < 0xE000:
+            entries.append("\x01")
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", character.casefold()) if not unicodedata.combining(c))
+        entries.append("\x01" if plain == character or point < 3 else plain)
+        if plain == character:
+            continue
+        if not plain:
+            gone.append(character)
+        elif len(plain) == 1:
+            one.append(character)
+            to.append(plain)
+        else:
+            many.append(point)
+    ranges = []
+    for point in many:
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    several = "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges) + "]"
+    return "".join(one + gone), "".join(to), several, "\x02".join(entries)
+
+
+def normalize_term_unicode(text: Column | str) -> Column:
+    """normalize_term over every script: compatibility forms, case and combining marks folded, in the JVM.
+
+    ASCII texts are lower-cased and most others translated; only texts with a character that becomes several (ligatures,
+    units, Hangul) are taken apart.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    source, target, several, table = folding_table()
+    entries = F.split(F.lit(table), "\x02", -1)
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.nullif(F.get(entries, F.ascii(c)), F.lit("\x01")), c)), "")
+    plain = F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).when(text.rlike(several), apart).otherwise(F.translate(text, source, target))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
 
 
 def is_ditto(text: Column) -> Column:

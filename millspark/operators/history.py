@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millspark.session import staged
 from millspark.functions.keyed import exact_rank_values, first_by, latest_by, order_key, previous_row, row_position
 
 
@@ -345,6 +346,58 @@ def deletion_scope(certificates: DataFrame, heats: DataFrame, products: DataFram
     return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("table_name"), F.col(rows.columns[0]).alias("id")) for name, rows in found.items()])
 
 
+# Table, its key, and each column that refers to another table. Parents stand before their children.
+REFERENCES = (
+    ("documents", "document_id", (("document_id", "certificates"),)), ("heats", "heat_id", (("certificate_id", "certificates"),)), ("products", "product_id", (("certificate_id", "certificates"), ("heat_id", "heats"))),
+    ("observations", "observation_id", (("certificate_id", "certificates"), ("heat_id", "heats"), ("product_id", "products"))), ("compositions", "composition_id", (("heat_id", "heats"), ("product_id", "products"))),
+    ("extraction_runs", "extraction_run_id", (("document_id", "documents"),)), ("runs", "run_id", (("certificate_id", "certificates"),)), ("results", "result_id", (("run_id", "runs"),)),
+    ("candidates", "candidate_id", (("result_id", "results"),)), ("factors", "factor_id", (("candidate_id", "candidates"),)), ("steps", "step_id", (("result_id", "results"),)),
+    ("links", "link_id", (("factor_id", "factors"), ("step_id", "steps"), ("observation_id", "observations"))), ("selections", "selection_id", (("result_id", "results"),)), ("approvals", "event_id", (("run_id", "runs"),)),
+    ("corrections", "correction_id", (("observation_id", "observations"),)), ("export_scopes", "export_id", (("certificate_id", "certificates"), ("heat_id", "heats"), ("run_id", "runs"))),
+    ("exports", "export_id", (("export_id", "export_scopes"), ("run_id", "runs"))), ("jobs", "job_id", (("document_id", "documents"), ("export_id", "exports"))),
+)
+
+
+def reachable(roots: DataFrame, tables: Mapping[str, DataFrame], references: Sequence[tuple[str, str, Sequence[tuple[str, str]]]] = REFERENCES) -> dict[str, DataFrame]:
+    """Keys of every row that refers to a root row, directly or through others, by the graph of references.
+
+    ``roots`` holds whole certificate rows. A document is reached from its certificate, the other way round than the rest,
+    so ``certificates`` counts as found with all its columns. A table or column that is absent is passed over; a row with
+    several references is reached by any. The loop runs over the schema, not over data.
+    """
+    found = {"certificates": roots}
+    for name, key, parents in references:
+        if name not in tables:
+            continue
+        rows = tables[name]
+        parts = [rows.join(found[parent].select(column).filter(F.col(column).isNotNull()).distinct(), column, "left_semi").select(key)
+                 for column, parent in parents if parent in found and column in rows.columns and column in found[parent].columns]
+        if parts:
+            found[name] = staged(reduce(DataFrame.unionByName, parts).distinct())
+    return found
+
+
+def deletion_closure(certificates: DataFrame, ids: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, id) of all rows that go with the given certificates; a file stays while another document or export uses it.
+
+    A running job or export of the closure is listed once more under ``in_use``: nothing may be deleted then.
+    """
+    roots = certificates.join(ids, "certificate_id", "left_semi")
+    found = reachable(roots, tables)
+    users = [tables[name].select("stored_file_id", F.col(key).alias("id"), F.lit(name).alias("name")) for name, key in (("documents", "document_id"), ("exports", "export_id")) if name in tables and "stored_file_id" in tables[name].columns]
+    parts = [rows.select(F.lit(name).alias("table_name"), F.col(rows.columns[0] if name != "certificates" else "certificate_id").alias("id")) for name, rows in found.items() if name != "export_scopes"]
+    if users:
+        gone = reduce(DataFrame.unionByName, [found[name].select(F.col(key).alias("id"), F.lit(name).alias("name")) for name, key in (("documents", "document_id"), ("exports", "export_id")) if name in found])
+        uses = reduce(DataFrame.unionByName, users).filter("stored_file_id is not null").join(gone.withColumn("gone", F.lit(1)), ["name", "id"], "left")
+        free = uses.groupBy("stored_file_id").agg(F.count_if(F.col("gone").isNull()).alias("left")).filter(F.col("left") == 0)
+        parts.append(free.select(F.lit("files").alias("table_name"), F.col("stored_file_id").alias("id")))
+    for name, key in (("jobs", "job_id"), ("exports", "export_id")):
+        if name in found and "status" in tables[name].columns:
+            running = tables[name].filter("status = 'running'").join(found[name], key, "left_semi")
+            parts.append(running.select(F.lit("in_use").alias("table_name"), F.col(key).alias("id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def volume_rows(certificates: DataFrame, heats: int) -> DataFrame:
     """``heats`` numbered heats for every given certificate; ids follow the certificate's."""
     numbered = certificates.select("certificate_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(heats).cast("bigint"))).alias("heat_number"))

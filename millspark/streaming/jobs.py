@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millspark.functions.keyed import latest_by, order_key
 
@@ -40,6 +42,31 @@ def first_uploads(uploads: DataFrame) -> DataFrame:
     return uploads.groupBy("sha256").agg(F.min_by("document_id", order_key("uploaded_at", "document_id")).alias("document_id"))
 
 
+def route_uploads(stream: DataFrame, path: str) -> DataStreamWriter:
+    """Every upload with ``original_id``: the first document of the same content, null for that document itself.
+
+    The state holds one id per content hash, so a batch looks up its own hashes only and reads no earlier output. In a
+    batch the earliest upload is the first; an upload that arrives in a later batch is a duplicate however early its time.
+    """
+    kind = dict(stream.dtypes)
+
+    def route(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["document_id", "uploaded_at", "sha256", "original_id"]
+        if state.exists:
+            for rows in frames:
+                yield rows.assign(original_id=pd.array([state.get[0]] * len(rows), "Int64"))[columns]
+            return
+        # The three columns of a batch's uploads of one new hash are held to find the earliest.
+        rows = pd.concat(list(frames)).sort_values(["uploaded_at", "document_id"], kind="stable")
+        original = int(rows["document_id"].iloc[0])
+        state.update((original,))
+        yield rows.assign(original_id=pd.array([pd.NA] + [original] * (len(rows) - 1), "Int64"))[columns]
+
+    schema = f"document_id {kind['document_id']}, uploaded_at {kind['uploaded_at']}, sha256 string, original_id bigint"
+    routed = stream.select("document_id", "uploaded_at", "sha256").groupBy("sha256").applyInPandasWithState(route, schema, "original_id bigint", "append", GroupStateTimeout.NoTimeout)
+    return batch_sink(routed, path, lambda batch, _: batch)
+
+
 def current_values(stream: DataFrame, path: str) -> DataStreamWriter:
     """Newest value per (roll, field) in the state store; each batch writes the keys that changed."""
     newest = stream.groupBy("product_id", "field_path").agg(F.max_by(F.struct("observation_id", "normalized_value"), order_key("observed_at", "observation_id")).alias("v"))
@@ -76,6 +103,22 @@ def period_counts_stream(stream: DataFrame, time: str, period: str, path: str, d
     return batch_sink(period_counts(stream.withWatermark(time, delay), time, period), path, lambda batch, _: batch, "update")
 
 
+def pane_counts_stream(stream: DataFrame, time: str, path: str, delay: str = "1 day") -> DataStreamWriter:
+    """Counts per day and kind; the state holds one number per open day whatever periods are read from it."""
+    daily = stream.withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w"), "kind").agg(F.count("*").alias("n"))
+    return batch_sink(daily.select(F.to_date("w.start").alias("day"), "kind", "n"), path, lambda batch, _: batch, "update")
+
+
+def read_panes(spark: SparkSession, path: str) -> DataFrame:
+    return latest_by(written(spark, path), ["day", "kind"], ["batch"]).drop("batch")
+
+
+def sliding_periods(panes: DataFrame, days: int) -> DataFrame:
+    """Counts of the ``days`` days up to each day, from daily panes: a pane belongs to the periods that end on its day or after."""
+    ends = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    return panes.select("kind", "n", "day", ends.alias("k")).groupBy(F.date_add("day", F.col("k")).alias("end_date"), "kind").agg(F.sum("n").alias("n"))
+
+
 def classify_stream(stream: DataFrame, catalog: DataFrame, path: str) -> DataStreamWriter:
     """Facts as they arrive, through the batch classification; stateless, so batches may repeat or run apart."""
     from millspark.operators import classification as cl

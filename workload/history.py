@@ -305,3 +305,32 @@ def deletion_scope_chain(t: Tables) -> DataFrame:
     corrections = scoped.filter("observation_id%5 = 0").withColumnRenamed("observation_id", "correction_id")
     related = {"runs": t.runs, "results": t.results, "candidates": t.candidates, "factors": t.factors, "links": t.links, "selections": t.choices, "approvals": t.approval_events, "corrections": corrections}
     return h.deletion_scope(t.certificates, t.heats, t.products, scoped, ids, related).filter("table_name not in ('certificates', 'heats', 'products', 'files')")
+
+
+ORACLE_VIEWS["ox_gone"] = "SELECT * FROM fx_certificates WHERE stored_file_id IN (3,4) OR certificate_id%40=7"
+
+
+@query(sql="""WITH c AS (SELECT certificate_id, document_id FROM ox_gone), d AS (SELECT DISTINCT document_id FROM c), r AS (SELECT run_id FROM fx_runs WHERE certificate_id IN (SELECT certificate_id FROM c)),
+h AS (SELECT heat_id FROM fx_heats WHERE certificate_id IN (SELECT certificate_id FROM c)), x AS (SELECT result_id FROM fx_results WHERE run_id IN (SELECT run_id FROM r)),
+o AS (SELECT observation_id FROM fx_observations WHERE product_id IN (SELECT product_id FROM fx_products WHERE certificate_id IN (SELECT certificate_id FROM c))), f AS (SELECT factor_id FROM fx_factors WHERE candidate_id IN (SELECT candidate_id FROM fx_candidates WHERE result_id IN (SELECT result_id FROM x))),
+s AS (SELECT result_id*2 + k AS step_id FROM x CROSS JOIN (VALUES (0),(1)) AS v(k)), e AS (SELECT export_id FROM fx_exports WHERE CASE kind WHEN 0 THEN run_id IN (SELECT run_id FROM r) WHEN 1 THEN certificate_id IN (SELECT certificate_id FROM c) ELSE heat_id IN (SELECT heat_id FROM h) END),
+j AS (SELECT job_id, status FROM fx_document_jobs WHERE document_id IN (SELECT document_id FROM d) OR export_id IN (SELECT export_id FROM e))
+SELECT 'certificates' AS table_name, certificate_id AS id FROM c UNION ALL SELECT 'documents', document_id FROM d UNION ALL SELECT 'heats', heat_id FROM h UNION ALL SELECT 'products', product_id FROM fx_products WHERE certificate_id IN (SELECT certificate_id FROM c)
+UNION ALL SELECT 'observations', observation_id FROM o UNION ALL SELECT 'compositions', heat_id FROM h UNION ALL SELECT 'extraction_runs', job_id FROM fx_document_jobs WHERE document_id IN (SELECT document_id FROM d) UNION ALL SELECT 'runs', run_id FROM r UNION ALL SELECT 'results', result_id FROM x
+UNION ALL SELECT 'candidates', candidate_id FROM fx_candidates WHERE result_id IN (SELECT result_id FROM x) UNION ALL SELECT 'factors', factor_id FROM f UNION ALL SELECT 'steps', step_id FROM s
+UNION ALL SELECT DISTINCT 'links', link_id FROM fx_links WHERE factor_id IN (SELECT factor_id FROM f) OR observation_id IN (SELECT observation_id FROM o) UNION ALL SELECT 'links', -step_id FROM s
+UNION ALL SELECT 'selections', selection_id FROM fx_choices WHERE result_id IN (SELECT result_id FROM x) UNION ALL SELECT 'approvals', event_id FROM fx_approval_events WHERE run_id IN (SELECT run_id FROM r) UNION ALL SELECT 'corrections', observation_id FROM o WHERE observation_id%5=0
+UNION ALL SELECT 'exports', export_id FROM e UNION ALL SELECT 'jobs', job_id FROM j UNION ALL SELECT 'in_use', job_id FROM j WHERE status = 'running'
+UNION ALL SELECT 'files', stored_file_id FROM (SELECT document_id%40 AS stored_file_id, document_id IN (SELECT document_id FROM d) AS gone FROM (SELECT DISTINCT document_id FROM fx_certificates) UNION ALL SELECT stored_file_id, export_id IN (SELECT export_id FROM e) FROM fx_exports WHERE stored_file_id IS NOT NULL) GROUP BY 2 HAVING bool_and(gone)""")
+def deletion_closure(t: Tables) -> DataFrame:
+    """Every row of every table that goes with some certificates, followed along the references between the tables."""
+    ids = t.certificates.filter("stored_file_id in (3, 4) or certificate_id%40 = 7").select("certificate_id")
+    steps = t.results.select("result_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).selectExpr("result_id*2 + k as step_id", "result_id")
+    links = t.links.selectExpr("link_id", "factor_id", "cast(null as bigint) as step_id", "observation_id").unionByName(steps.selectExpr("-step_id as link_id", "cast(null as bigint) as factor_id", "step_id", "cast(null as bigint) as observation_id"))
+    exports = t.exports
+    tables = {"documents": t.certificates.selectExpr("document_id", "document_id%40 as stored_file_id").distinct(), "heats": t.heats, "products": t.products, "observations": t.observations.select("observation_id", "product_id"),
+              "compositions": t.heats.selectExpr("heat_id as composition_id", "heat_id"), "extraction_runs": t.document_jobs.selectExpr("job_id as extraction_run_id", "document_id"), "runs": t.runs, "results": t.results, "candidates": t.candidates,
+              "factors": t.factors, "steps": steps, "links": links, "selections": t.choices, "approvals": t.approval_events, "corrections": t.observations.filter("observation_id%5 = 0").selectExpr("observation_id as correction_id", "observation_id"),
+              "export_scopes": exports.selectExpr("export_id", "if(kind = 1, certificate_id, null) as certificate_id", "if(kind = 2, heat_id, null) as heat_id"),
+              "exports": exports.selectExpr("export_id", "if(kind = 0, run_id, null) as run_id", "stored_file_id"), "jobs": t.document_jobs}
+    return h.deletion_closure(t.certificates, ids, tables)

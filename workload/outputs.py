@@ -8,6 +8,7 @@ from millspark.functions import refdata as ref
 from millspark.operators import catalog as ct
 from millspark.operators import classification as cl
 from millspark.operators import history as h
+from millspark.operators import replay as rpl
 from millspark.operators import report as rp
 from millspark.session import shared_folder, staged
 from millspark.sources import readers
@@ -81,11 +82,35 @@ def immutability_audit(t: Tables) -> DataFrame:
     return ct.immutability_audit(t.rule_log)
 
 
-@query(sql="""SELECT product_id, CASE WHEN product_id%5=0 THEN 'historical_engine_unavailable' WHEN product_id%7=0 THEN 'rule_catalog_mismatch' END AS replay_error, thickness_mm, coiled, coating_metal, c AS carbon FROM ox_facts""")
+def recorded_runs(t: Tables, catalog: DataFrame) -> DataFrame:
+    """Runs of every certificate, kept as they were decided under ``catalog``."""
+    return staged(rpl.record_runs(facts(t), catalog))
+
+
+@query(sql="""SELECT o.product_id, o.certificate_id, CASE WHEN o.certificate_id%5=0 THEN 'historical_engine_unavailable' WHEN o.certificate_id%11=0 AND (SELECT count(*) FROM fx_products p WHERE p.certificate_id = o.certificate_id AND p.product_id%2=1) > 0 THEN 'historical_snapshot_mismatch'
+  WHEN o.product_id%13=0 AND o.certificate_id%11<>0 THEN 'historical_snapshot_mismatch' END AS replay_error, false AS changed, o.outcome AS now_outcome, o.fraction AS now_fraction, o.nico AS now_nico FROM (
+ SELECT product_id, certificate_id, outcome, CASE WHEN state='branch' THEN fraction END AS fraction, nico FROM ox_outcome WHERE NOT alternative UNION ALL SELECT DISTINCT product_id, certificate_id, 'needs_review', NULL, NULL FROM ox_outcome WHERE alternative) o
+WHERE o.certificate_id%11<>0 OR o.product_id%2=0""")
 def replayed_snapshots(t: Tables) -> DataFrame:
-    known = cl.complete_facts(facts(t))
-    runs = ct.snapshot_facts(known).selectExpr("product_id", "snapshot", "if(product_id%5 = 0, 'old', 'engine') as engine_sha256", "if(product_id%7 = 0, 'old', 'catalog') as catalog_sha256")
-    return ct.replay_snapshot(runs, "engine", "catalog").select("product_id", "replay_error", "thickness_mm", "coiled", "coating_metal", F.col("composition_pct")["C"].alias("carbon"))
+    """Replay of all runs: some of another engine, some with a lost roll, some with a snapshot that was touched."""
+    catalog = ref.catalog(t.spark)
+    runs = recorded_runs(t, catalog).filter("certificate_id%11 <> 0 or product_id%2 = 0").withColumns({
+        "engine_sha256": F.when(F.expr("certificate_id%5 = 0"), F.sha2("engine_sha256", 256)).otherwise(F.col("engine_sha256")),
+        "facts_sha256": F.when(F.expr("product_id%13 = 0 and certificate_id%11 <> 0"), F.sha2("facts_sha256", 256)).otherwise(F.col("facts_sha256"))})
+    return rpl.replay_runs(runs, t.products, catalog).select("product_id", "certificate_id", "replay_error", "changed", "now_outcome", "now_fraction", "now_nico")
+
+
+@query(sql="""SELECT product_id, 'rule_catalog_mismatch' AS replay_error, 'needs_review' AS then_outcome, fraction AS then_fraction, CAST(NULL AS VARCHAR) AS then_nico, outcome AS now_outcome, fraction AS now_fraction, nico AS now_nico,
+ array_to_string(list_sort(list_distinct(list_filter(list_append(string_split(missing, ','), 'source_catalog_resolution'), lambda x: x <> ''))), ',') AS then_missing, missing AS now_missing
+FROM ox_outcome WHERE NOT alternative AND state='branch' AND fraction='72091601' AND nico='01'
+UNION ALL SELECT product_id, 'rule_catalog_mismatch', 'needs_review', NULL, NULL, 'needs_review', NULL, NULL, array_to_string(list_sort(list_distinct(list_append(m, 'source_catalog_resolution'))), ','), array_to_string(list_sort(list_distinct(m)), ',')
+ FROM (SELECT product_id, list_filter(string_split('rolling,' || string_agg(missing, ','), ','), lambda x: x <> '') AS m FROM ox_outcome WHERE alternative GROUP BY 1 HAVING bool_or(state='branch' AND fraction='72091601' AND nico='01'))""")
+def results_changed_by_catalog(t: Tables) -> DataFrame:
+    """Runs decided before the catalogue had NICO 01 of fraction 72091601, against what the present catalogue decides."""
+    catalog = ref.catalog(t.spark)
+    before = recorded_runs(t, catalog.filter("not (kind = 'nico' and fraction = '72091601' and right(code, 2) = '01')"))
+    changed = rpl.replay_runs(before, t.products, catalog).filter("changed").drop("changed", "certificate_id")
+    return changed.withColumns({c: F.array_join(c, ",") for c in ("then_missing", "now_missing")})
 
 
 # ---- reports ----
@@ -100,36 +125,37 @@ def timed(df: DataFrame, key: str) -> DataFrame:
 
 def scope(t: Tables) -> dict[str, DataFrame]:
     observations = t.observations
-    return {"certificates": t.certificates.filter("certificate_id%3 = 0"), "heats": t.heats, "products": t.products, "runs": t.runs, "results": t.results, "candidates": t.candidates, "factors": t.factors,
+    return {"certificates": t.certificates, "heats": t.heats, "products": t.products, "runs": t.runs, "results": t.results, "candidates": t.candidates, "factors": t.factors,
             "selections": timed(t.choices, "selection_id"), "approvals": timed(t.approval_events, "event_id"), "corrections": corrections(t), "observations": observations, "links": t.links,
-            "compositions": t.compositions.withColumn("product_id", F.lit(None).cast("bigint")), "manufacturers": t.manufacturers}
+            "compositions": t.scoped_compositions.withColumn("heat_id", F.expr("if(product_id is null, heat_id, null)")), "manufacturers": t.manufacturers}
 
 
-ORACLE_VIEWS["ox_scope_results"] = "SELECT r.* FROM fx_results r JOIN (SELECT certificate_id, max(run_id) AS run_id FROM fx_runs WHERE certificate_id%3=0 GROUP BY 1) l ON l.run_id = r.run_id"
+ORACLE_VIEWS["ox_scope_results"] = "SELECT r.* FROM fx_results r JOIN (SELECT certificate_id, max(run_id) AS run_id FROM fx_runs GROUP BY 1) l ON l.run_id = r.run_id"
 
 
-@query(sql="""SELECT c.certificate_id, c.certificate_no, m.name AS fabricante, c.approval_status FROM fx_certificates c LEFT JOIN fx_manufacturers m ON m.manufacturer_id = c.manufacturer_id WHERE c.certificate_id%3=0""")
+@query(sql="""SELECT c.certificate_id, c.certificate_no, m.name AS fabricante, c.approval_status FROM fx_certificates c LEFT JOIN fx_manufacturers m ON m.manufacturer_id = c.manufacturer_id""")
 def report_certificates(t: Tables) -> DataFrame:
     return rp.report_tables(scope(t))["Actas"].select("certificate_id", "certificate_no", "fabricante", "approval_status")
 
 
-@query(sql="SELECT heat_id, heat_no, standard FROM fx_heats WHERE certificate_id%3=0")
+@query(sql="SELECT heat_id, heat_no, standard FROM fx_heats")
 def report_heats(t: Tables) -> DataFrame:
     return rp.report_tables(scope(t))["Batches"].select("heat_id", "heat_no", "standard")
 
 
-@query(sql="SELECT product_id, heat_id, product_identifier, weight_kg FROM fx_products WHERE certificate_id%3=0")
+@query(sql="SELECT product_id, heat_id, product_identifier, weight_kg FROM fx_products")
 def report_rolls(t: Tables) -> DataFrame:
     return rp.report_tables(scope(t))["Coladas"].select("product_id", "heat_id", "product_identifier", "weight_kg")
 
 
-@query(sql="SELECT c.heat_id, c.element, c.percentage, h.heat_no AS colada FROM fx_compositions c JOIN fx_heats h ON h.heat_id = c.heat_id WHERE h.certificate_id%3=0")
+@query(sql="""SELECT CASE WHEN c.product_id IS NULL THEN c.heat_id END AS heat_id, c.product_id, c.element, c.percentage, h.heat_no AS colada, p.product_identifier AS serie_rollo
+FROM fx_scoped_compositions c JOIN fx_heats h ON h.heat_id = c.heat_id LEFT JOIN fx_products p ON p.product_id = c.product_id""")
 def report_compositions(t: Tables) -> DataFrame:
-    return rp.report_tables(scope(t))["Composición"].select("heat_id", "element", "percentage", "colada")
+    return rp.report_tables(scope(t))["Composición"].select("heat_id", "product_id", "element", "percentage", "colada", "serie_rollo")
 
 
 @query(sql="""SELECT o.observation_id, o.field_path, coalesce(r.rules, '') AS regla_factor FROM fx_observations o LEFT JOIN (SELECT observation_id, string_agg(DISTINCT rule_code, '; ' ORDER BY rule_code) AS rules FROM fx_links l JOIN fx_factors f ON f.factor_id = l.factor_id GROUP BY 1) r ON r.observation_id = o.observation_id
-WHERE o.product_id IN (SELECT product_id FROM fx_products WHERE certificate_id%3=0)""")
+WHERE o.product_id IN (SELECT product_id FROM fx_products)""")
 def report_evidence(t: Tables) -> DataFrame:
     return rp.report_tables(scope(t))["Evidencia"].select("observation_id", "field_path", "regla_factor")
 
@@ -140,9 +166,54 @@ o AS (SELECT c.result_id, list(c.fraction || '-' || c.nico ORDER BY c.rank) AS a
 SELECT a.result_id, a.product_id, CASE WHEN chosen_id IS NOT NULL THEN c.fraction || '-' || c.nico WHEN a.outcome='classified' THEN a.fraction || '-' || a.nico ELSE 'Pendiente de selección' END AS candidato_elegido, coalesce(o.alt[1], '—') AS alternativa_2, coalesce(o.alt[2], '—') AS alternativa_3,
  CASE WHEN chosen_id IS NOT NULL THEN person_name WHEN a.outcome='classified' THEN 'Motor determinista' ELSE '—' END AS seleccionado_por, coalesce(k.f, 'Reglas de partida y subpartida') AS factores_clave, a.outcome AS resultado, a.approval_status AS estado_ejecucion,
  CASE WHEN a.product_id IN (SELECT product_id FROM fx_observations) THEN 'Ver evidencia' ELSE 'Sin evidencia' END AS evidencia FROM a LEFT JOIN fx_candidates c ON c.candidate_id = chosen_id LEFT JOIN o ON o.result_id = a.result_id LEFT JOIN k ON k.candidate_id = a.active_id
-UNION ALL SELECT NULL, product_id, 'Sin clasificación', NULL, NULL, NULL, NULL, NULL, 'Pendiente de clasificación', CASE WHEN product_id IN (SELECT product_id FROM fx_observations) THEN 'Ver evidencia' ELSE 'Sin evidencia' END FROM fx_products WHERE certificate_id%3=0 AND product_id NOT IN (SELECT product_id FROM ox_scope_results)""")
+UNION ALL SELECT NULL, product_id, 'Sin clasificación', NULL, NULL, NULL, NULL, NULL, 'Pendiente de clasificación', CASE WHEN product_id IN (SELECT product_id FROM fx_observations) THEN 'Ver evidencia' ELSE 'Sin evidencia' END FROM fx_products p WHERE NOT EXISTS (SELECT 1 FROM ox_scope_results r WHERE r.product_id = p.product_id)""")
 def report_classification(t: Tables) -> DataFrame:
-    return rp.report_tables(scope(t))["Clasificación"].drop("run_id")
+    return rp.report_tables(scope(t))["Clasificación"].select(
+        "result_id", "product_id", "candidato_elegido", "alternativa_2", "alternativa_3", "seleccionado_por", "factores_clave", "resultado", "estado_ejecucion", "evidencia")
+
+
+@query(sql="""WITH r AS (SELECT r.*, u.approval_status, u.run_id%4 AS rule_set_id FROM ox_scope_results r JOIN fx_runs u ON u.run_id = r.run_id), s AS (SELECT c.result_id, c.candidate_id, p.reason, p.created_at FROM ox_chosen c JOIN (SELECT result_id, max(selection_id) AS selection_id FROM fx_choices GROUP BY 1) m ON m.result_id = c.result_id
+  JOIN (SELECT selection_id, 'motivo ' || selection_id%3 AS reason, make_timestamp(selection_id*1000000) AS created_at FROM fx_choices) p ON p.selection_id = m.selection_id),
+o AS (SELECT c.result_id, string_agg(c.fraction || '-' || c.nico || ': ' || CASE WHEN c.fraction = '72091601' THEN 'wide' ELSE 'other' END, '; ' ORDER BY c.rank, c.candidate_id) AS everything FROM fx_candidates c GROUP BY 1)
+SELECT r.result_id, r.product_id, p.product_identifier AS rollo_identificador, CASE WHEN s.result_id IS NOT NULL THEN s.reason WHEN r.outcome='classified' THEN CASE WHEN r.approval_status='approved' THEN 'Resolución unívoca aprobada' ELSE 'Resolución unívoca pendiente de aprobación' END ELSE 'Pendiente de revisión documental' END AS motivo_seleccion,
+ CASE WHEN s.result_id IS NOT NULL THEN strftime(s.created_at, '%Y-%m-%d %H:%M:%S') ELSE '—' END AS fecha_seleccion, CASE WHEN r.outcome='classified' THEN 'Ninguno' ELSE 'coated, rolling' END AS faltantes, 'v' || r.rule_set_id AS reglas_version, coalesce(c.fraction, r.fraction) AS fraccion, CASE WHEN c.candidate_id IS NOT NULL THEN c.nico ELSE r.nico END AS nico,
+ CASE r.approval_status WHEN 'approved' THEN 'Aprobado' WHEN 'rejected' THEN 'Rechazado' ELSE 'Pendiente de aprobación' END AS aprobacion, CASE WHEN r.fraction = '72091601' THEN 'wide' ELSE 'other' END AS descripcion, o.everything AS todos_los_candidatos
+FROM r JOIN fx_products p ON p.product_id = r.product_id LEFT JOIN s ON s.result_id = r.result_id LEFT JOIN fx_candidates c ON c.candidate_id = s.candidate_id LEFT JOIN o ON o.result_id = r.result_id
+UNION ALL SELECT NULL, product_id, product_identifier, NULL, NULL, NULL, NULL, NULL, NULL, 'Pendiente de clasificación', NULL, NULL FROM fx_products p WHERE NOT EXISTS (SELECT 1 FROM ox_scope_results r WHERE r.product_id = p.product_id)""")
+def report_classification_details(t: Tables) -> DataFrame:
+    """The other columns of the classification sheet: reason and time of the choice, missing facts, rules, codes, all candidates."""
+    wide = F.expr("if(fraction = '72091601', 'wide', 'other')")
+    tables = scope(t)
+    tables["results"] = t.results.withColumns({"description": wide, "missing_fields": F.expr("if(outcome = 'classified', array(), array('coated', 'rolling'))")})
+    tables["candidates"] = t.candidates.withColumn("description", wide)
+    tables["selections"] = tables["selections"].withColumn("reason", F.expr("concat('motivo ', selection_id%3)"))
+    tables["runs"] = t.runs.withColumn("rule_set_id", F.expr("run_id%4"))
+    tables["rule_sets"] = t.spark.range(4).selectExpr("id as rule_set_id", "concat('v', id) as version")
+    return rp.report_tables(tables)["Clasificación"].select("result_id", "product_id", "rollo_identificador", "motivo_seleccion", "fecha_seleccion", "faltantes", "reglas_version", "fraccion", "nico", "aprobacion", "descripcion", "todos_los_candidatos")
+
+
+@query(sql="""WITH o AS (SELECT observation_id, supersedes_id, product_id, is_current FROM fx_observations WHERE supersedes_id IS NOT NULL AND product_id IN (SELECT product_id FROM fx_products))
+SELECT tipo_evento, id_evento, certificate_id, run_id, product_id, detalle, persona, motivo FROM (
+ SELECT 'SELECCION_CANDIDATO' AS tipo_evento, s.selection_id AS id_evento, u.certificate_id, r.run_id, r.product_id, 'Seleccionó ' || c.fraction || '-' || c.nico || CASE WHEN s.supersedes_selection_id IS NOT NULL THEN ' (Reemplaza selección #' || s.supersedes_selection_id || ')' ELSE '' END AS detalle, s.person_name AS persona, 'motivo ' || s.selection_id%3 AS motivo
+  FROM fx_choices s JOIN ox_scope_results r ON r.result_id = s.result_id JOIN fx_runs u ON u.run_id = r.run_id JOIN fx_candidates c ON c.candidate_id = s.candidate_id
+ UNION ALL SELECT 'APROBACION_ESTADO', e.event_id, u.certificate_id, u.run_id, NULL, 'Cambio de estado: draft -> ' || e.to_status, 'person' || e.event_id%3, NULL FROM fx_approval_events e JOIN fx_runs u ON u.run_id = e.run_id
+ UNION ALL SELECT 'CORRECCION_DATO', observation_id, CAST(floor(product_id/10) AS BIGINT), NULL, NULL, 'Corrección obs ' || supersedes_id || ' -> ' || observation_id, NULL, NULL FROM o)""")
+def report_audit(t: Tables) -> DataFrame:
+    """The audit sheet with what happened, by whom and why, and the certificate, run and roll it concerns."""
+    tables = scope(t)
+    tables["selections"] = tables["selections"].withColumn("reason", F.expr("concat('motivo ', selection_id%3)"))
+    tables["approvals"] = tables["approvals"].withColumns({"from_status": F.lit("draft"), "person_name": F.expr("concat('person', event_id%3)")})
+    tables["corrections"] = t.observations.filter("supersedes_id is not null").selectExpr("observation_id as correction_id", "observed_at as created_at", "is_current as replacement_is_current", "product_id", "cast(floor(product_id/10) as bigint) as certificate_id",
+                                                                                          "supersedes_id as previous_observation_id", "observation_id as replacement_observation_id")
+    return rp.report_tables(tables)["Auditoría"].select("tipo_evento", "id_evento", "certificate_id", "run_id", "product_id", "detalle", "persona", "motivo")
+
+
+@query(sql="""SELECT 'Aviso Legal' AS concept, 'DEMOSTRACIÓN — SIN VALIDEZ ADUANERA' AS detail UNION ALL SELECT 'Tipo de Reporte', 'Oficial (sólo expedientes aprobados)' UNION ALL SELECT 'Ejecución de clasificación', CAST(max(run_id) AS VARCHAR) FROM fx_runs GROUP BY certificate_id
+UNION ALL SELECT 'Actas aprobadas', CAST(count(*) AS VARCHAR) FROM fx_certificates WHERE approval_status='approved' UNION ALL SELECT 'Clasificaciones incluidas', CAST(count(*) AS VARCHAR) FROM ox_scope_results""")
+def report_heading(t: Tables) -> DataFrame:
+    """Lines of the summary sheet that name the notice, the kind of report and every run."""
+    wanted = ("Aviso Legal", "Tipo de Reporte", "Ejecución de clasificación", "Actas aprobadas", "Clasificaciones incluidas")
+    return rp.report_tables(scope(t), official=True)["Resumen"].filter(F.col("concept").isin(*wanted))
 
 
 @query(sql="""SELECT 'SELECCION_CANDIDATO' AS tipo_evento, selection_id AS id_evento, CASE WHEN c.selection_id IN (SELECT max(selection_id) FROM fx_choices WHERE NOT selection_cleared GROUP BY result_id) THEN 'Vigente' WHEN selection_cleared THEN 'Retirada' ELSE 'Reemplazada' END AS vigencia FROM fx_choices c
@@ -160,6 +231,30 @@ def report_gate(t: Tables) -> DataFrame:
     return rp.check_report_scope(t.certificates, t.runs, wanted, official=True)
 
 
+@query(sql="""WITH a AS (SELECT r.* FROM fx_runs r WHERE run_id%3<>1), s AS (SELECT certificate_id, count(*) FILTER (WHERE approval_status IS DISTINCT FROM 'approved') AS n FROM a GROUP BY 1)
+SELECT certificate_id, 'certificate_not_approved' AS reason FROM fx_certificates WHERE approval_status <> 'approved' UNION ALL SELECT certificate_id, 'run_missing' FROM fx_certificates WHERE certificate_id NOT IN (SELECT certificate_id FROM a)
+UNION ALL SELECT certificate_id, 'run_not_approved' FROM s WHERE n > 0""")
+def report_gate_for_runs(t: Tables) -> DataFrame:
+    """The gate of an official report that names its runs."""
+    return rp.check_report_scope(t.certificates, t.runs, t.certificates.select("certificate_id"), official=True, wanted_runs=t.runs.filter("run_id%3 <> 1").select("run_id"))
+
+
+@query(sql="""SELECT 'heat' AS kind, heat_id AS id FROM fx_heats WHERE certificate_id%4<>0 UNION ALL SELECT DISTINCT 'run', -run_id FROM fx_runs WHERE run_id > 0 UNION ALL SELECT 'run', run_id FROM fx_runs WHERE certificate_id%4<>0""")
+def report_items_outside(t: Tables) -> DataFrame:
+    """Requested heats and runs that lie outside a report over a quarter of the certificates."""
+    wanted = t.certificates.filter("certificate_id%4 = 0").select("certificate_id")
+    asked = t.runs.select("run_id").union(t.runs.selectExpr("-run_id"))
+    return rp.check_requested_items(wanted, t.heats, t.runs, t.heats.select("heat_id"), asked)
+
+
+@query(sql="""SELECT r.result_id, r.run_id, r.product_id FROM fx_results r JOIN fx_products p ON p.product_id = r.product_id WHERE p.heat_id%3<>0 AND r.run_id%3<>1
+UNION ALL SELECT NULL, NULL, product_id FROM fx_products WHERE heat_id%3<>0 AND product_id NOT IN (SELECT product_id FROM fx_results WHERE run_id%3<>1)""")
+def report_of_heats_and_runs(t: Tables) -> DataFrame:
+    """The classification sheet over all certificates, restricted to some heats and to named runs."""
+    tables = scope(t) | {"certificates": t.certificates, "wanted_heats": t.heats.filter("heat_id%3 <> 0"), "wanted_runs": t.runs.filter("run_id%3 <> 1")}
+    return rp.report_tables(tables)["Clasificación"].select("result_id", "run_id", "product_id")
+
+
 @query(sql="SELECT 'Batches' AS table_name, count(*) AS written, count(*) AS read FROM fx_heats UNION ALL SELECT 'Coladas', count(*), count(*) FROM fx_products")
 def written_report(t: Tables) -> DataFrame:
     return rp.write_report({"Batches": t.heats, "Coladas": t.products}, f"{shared_folder(t.spark)}/report", {"Coladas": "form"})
@@ -276,6 +371,43 @@ def daily_count_stream(t: Tables) -> DataFrame:
     return jobs.latest_by(jobs.written(t.spark, path), ["start_date", "kind"], ["batch"]).select("start_date", "kind", "n")
 
 
+_PERIOD_SQL = """SELECT e.d AS end_date, c.kind, CAST(sum(c.n) AS BIGINT) AS n FROM (SELECT DISTINCT kind, CAST(ts AS DATE) + CAST(k AS INT) AS d FROM (SELECT event_type AS kind, ts FROM events), range(0, {days}) AS r(k)) e
+JOIN (SELECT event_type AS kind, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1,2) c ON c.kind = e.kind AND c.day BETWEEN e.d - {before} AND e.d GROUP BY 1,2"""
+
+
+def _sliding(t: Tables, days: int) -> DataFrame:
+    path = shared_folder(t.spark)
+    finish(jobs.pane_counts_stream(events_stream(t).withColumn("kind", F.col("event_type")), "ts", path))
+    return jobs.sliding_periods(jobs.read_panes(t.spark, path), days)
+
+
+@query(sql=_PERIOD_SQL.format(days=7, before=6))
+def weekly_count_stream(t: Tables) -> DataFrame:
+    """Counts of the seven days up to each day, composed from the streamed daily panes."""
+    return _sliding(t, 7)
+
+
+@query(sql=_PERIOD_SQL.format(days=30, before=29))
+def monthly_count_stream(t: Tables) -> DataFrame:
+    return _sliding(t, 30)
+
+
+@query(sql="""WITH o AS (SELECT sha256, arg_min(document_id, (uploaded_at, document_id)) AS original_id FROM fx_uploads GROUP BY 1)
+SELECT u.document_id, u.sha256, CASE WHEN o.original_id <> u.document_id THEN o.original_id END AS original_id FROM fx_uploads u JOIN o ON o.sha256 = u.sha256""")
+def upload_duplicates(t: Tables) -> DataFrame:
+    """Every upload with the document that holds its content already, over three batches of rising upload time."""
+    source, path = f"{shared_folder(t.spark)}/uploads", shared_folder(t.spark)
+    uploads = t.uploads.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp"))
+    cuts = uploads.agg(F.percentile_approx(F.unix_micros("uploaded_at"), [0.33, 0.66], 1000).alias("p")).scalar()
+    part = F.when(F.unix_micros("uploaded_at") <= cuts[0], 0).when(F.unix_micros("uploaded_at") <= cuts[1], 1).otherwise(2)
+    parts = uploads.withColumn("part", part)
+    for i in range(3):
+        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    finish(jobs.route_uploads(stream, path))
+    return jobs.written(t.spark, path).select("document_id", "sha256", "original_id")
+
+
 @query(sql="""SELECT outcome, state, count(*) AS rolls FROM (SELECT product_id, outcome, state FROM ox_outcome WHERE NOT alternative UNION ALL SELECT DISTINCT product_id, 'needs_review', 'rolling_unknown' FROM ox_outcome WHERE alternative) GROUP BY 1,2""")
 def classification_stream(t: Tables) -> DataFrame:
     """Facts written by Spark, streamed in two micro-batches through the batch rules."""
