@@ -11,7 +11,7 @@ from millspark import fixtures
 SF = "/root/testdata/sf0.001"
 NAMES = ("rolls_by_family_and_heading", "branch_hot_wide", "ranked_candidates", "rolling_alternatives", "repeat_marks", "total_reconciliation", "quality_reports",
          "search_by_code", "current_selections", "approval_replay", "report_classification", "latency_summary", "region_contents", "current_value_stream",
-         "assembled_facts", "certificate_observations", "recovered_readings", "template_diagnostics")
+         "assembled_facts", "template_diagnostics")
 
 
 def test_every_query_but_one_has_an_oracle():
