@@ -337,6 +337,50 @@ SELECT doc_id, 1 AS page, block_id, text, x0, x1, top, top + height AS bottom, c
  FROM (SELECT DISTINCT certificate_id FROM fx_raw_rows) d CROSS JOIN (VALUES (-1),(-2),(-3),(-4),(-5),(-6),(-7),(-8),(-9)) AS v(k)) x
 WHERE text IS NOT NULL
 """
+# Certificates of two known layouts: columns at fixed places (upright and turned pages), and values below labels (bundles of two certificates).
+VIEWS["fx_mill_lines"] = """
+SELECT *, dense_rank() OVER (PARTITION BY doc_id, part ORDER BY heat_id) AS heat_rank, row_number() OVER (PARTITION BY doc_id, part, heat_id ORDER BY product_id) AS heat_row, count(*) OVER (PARTITION BY doc_id, part) AS part_rows FROM (
+ SELECT certificate_id AS doc_id, product_id, heat_id, row_pos, width_raw, count(*) OVER (PARTITION BY certificate_id) AS n_rows, CASE WHEN certificate_id%3=0 AND row_pos%2=0 THEN 1 ELSE 0 END AS part FROM fx_raw_rows) x
+"""
+VIEWS["fx_known_docs"] = """
+SELECT DISTINCT doc_id, CASE WHEN doc_id%2=0 THEN 'MOLINO_1_BX_POSCO' WHEN doc_id%7<>3 THEN 'ARCELORMITTAL_CALVERT' END AS profile FROM fx_mill_lines
+"""
+VIEWS["fx_known_pages"] = """
+SELECT doc_id, v.page, CAST(CASE WHEN doc_id%2=0 THEN 842 ELSE 600 END AS DOUBLE) AS width, CAST(CASE WHEN doc_id%2=0 THEN 595 ELSE 800 END AS DOUBLE) AS height, CASE WHEN doc_id%4=2 THEN 90 ELSE 0 END AS rotation
+FROM fx_known_docs CROSS JOIN (VALUES (1),(2),(3),(4),(5)) AS v(page) WHERE v.page = 1 OR (doc_id%2=1 AND (v.page <= 3 OR doc_id%3=0))
+"""
+VIEWS["fx_known_columns"] = """
+SELECT doc_id, 1 AS page, block_id, text, CASE WHEN doc_id%4=0 THEN cy-4 ELSE cx-2 END AS x0, CASE WHEN doc_id%4=0 THEN cy+4 ELSE cx+2 END AS x1, CASE WHEN doc_id%4=0 THEN 593-cx ELSE cy-4 END AS top, CASE WHEN doc_id%4=0 THEN 597-cx ELSE cy+4 END AS bottom FROM (
+ SELECT doc_id, CAST(1000 + row_pos*100 + v.k AS BIGINT) AS block_id, CAST(500 - 30*row_pos + v.across AS DOUBLE) AS cx, CAST(v.place AS DOUBLE) AS cy,
+  CASE v.k WHEN 0 THEN concat('25BH2B', lpad(CAST(product_id AS VARCHAR(20)), 7, '0')) WHEN 1 THEN lpad(CAST(heat_id AS VARCHAR(20)), 7, '0') WHEN 2 THEN concat('1.', CAST(product_id%9 AS VARCHAR(9))) WHEN 3 THEN CASE WHEN width_raw IS NOT NULL THEN CAST(900 + product_id%300 AS VARCHAR(9)) END
+   WHEN 4 THEN 'C' WHEN 5 THEN CAST(10000 + product_id%5000 AS VARCHAR(9)) WHEN 6 THEN CAST(10100 + product_id%5000 AS VARCHAR(9)) WHEN 7 THEN CAST(product_id%60 AS VARCHAR(9)) WHEN 8 THEN '1' WHEN 9 THEN '25' WHEN 10 THEN '5' WHEN 11 THEN '2' WHEN 12 THEN '40' WHEN 13 THEN '3'
+   WHEN 14 THEN CAST(300 + product_id%50 AS VARCHAR(9)) WHEN 15 THEN CAST(400 + product_id%50 AS VARCHAR(9)) WHEN 16 THEN '28.5' WHEN 17 THEN '9.9' ELSE 'abc' END AS text
+ FROM fx_mill_lines CROSS JOIN (VALUES (0,0,40),(1,-8,75),(2,0,108),(3,0,127),(4,0,147),(5,0,173),(6,-8,173),(7,3,237),(8,0,256),(9,0,275),(10,0,294),(11,0,314),(12,0,334),(13,0,355),(14,-8,445),(15,0,464),(16,0,484),(17,0,114),(18,0,109)) AS v(k, across, place) WHERE doc_id%2=0
+ UNION ALL SELECT doc_id, CAST(v.k AS BIGINT), CAST(560 AS DOUBLE), CAST(v.place AS DOUBLE), CASE v.k WHEN 1 THEN '20260628' WHEN 2 THEN concat('E0', lpad(CAST(doc_id AS VARCHAR(20)), 10, '0')) WHEN 3 THEN 'BTA  BLZ112' WHEN 4 THEN 'grade PW.T' WHEN 5 THEN 'Total Pieces' ELSE CAST(doc_id%9 + 1 AS VARCHAR(9)) END
+ FROM fx_known_docs CROSS JOIN (VALUES (1,20),(2,60),(3,100),(4,140),(5,600),(6,630)) AS v(k, place) WHERE doc_id%2=0) x WHERE text IS NOT NULL
+"""
+VIEWS["fx_known_labels"] = """
+SELECT doc_id, CAST(page AS INT) AS page, CAST(page*100000 + k AS BIGINT) AS block_id, text, CAST(x0 AS DOUBLE) AS x0, CAST(x0 + 50 AS DOUBLE) AS x1, CAST(top AS DOUBLE) AS top, CAST(top + 6 AS DOUBLE) AS bottom FROM (
+ SELECT doc_id, 1 AS page, 1 AS k, 'Identification according to international standard A1011' AS text, 50 AS x0, 50 AS top FROM fx_known_docs WHERE doc_id%2=1
+ UNION ALL SELECT doc_id, p.page, v.k, CASE v.k WHEN 1 THEN 'Mill Certificate' WHEN 2 THEN 'Certificate Number' WHEN 3 THEN CAST(doc_id*10 + CASE WHEN p.page=3 AND doc_id%11=1 THEN 7 WHEN p.page >= 4 THEN 1 ELSE 0 END AS VARCHAR(20)) WHEN 4 THEN 'Date'
+   WHEN 5 THEN CASE WHEN p.page >= 4 AND doc_id%17=1 THEN '07/01/2026' ELSE '06/28/2026' END ELSE 'ArcelorMittal Calvert LLC' END, v.x0, v.top
+  FROM fx_known_pages p CROSS JOIN (VALUES (1,50,10),(2,200,30),(3,200,45),(4,400,30),(5,400,45),(6,50,60)) AS v(k, x0, top) WHERE doc_id%2=1 AND p.page > 1
+ UNION ALL SELECT doc_id, p.page, v.k, CASE v.k WHEN 10 THEN CASE WHEN doc_id%19=1 THEN NULL WHEN p.page=2 THEN 'Coil S235 / 1.800 mm X 1,496 mm Hot Roll Pickled & Oiled' ELSE 'Aluminize Coil M1 / 2.000 mm X 900 mm' END WHEN 11 THEN CASE WHEN p.page=4 THEN 'Cold Roll Base' END
+   WHEN 12 THEN 'Coil' WHEN 13 THEN 'Heat' WHEN 14 THEN 'Net' ELSE 'Gross' END, v.x0, v.top
+  FROM fx_known_pages p CROSS JOIN (VALUES (10,50,70),(11,300,70),(12,50,100),(13,150,100),(14,250,100),(15,350,100)) AS v(k, x0, top) WHERE doc_id%2=1 AND p.page IN (2, 4)
+ UNION ALL SELECT d.doc_id, p.page, 16, 'CHEMICAL COMPOSITION OF THE COIL', 50, 152 + 16*n FROM fx_known_pages p JOIN (SELECT doc_id, max(n_rows) AS n FROM fx_mill_lines GROUP BY doc_id) d ON d.doc_id = p.doc_id WHERE d.doc_id%2=1 AND p.page IN (2, 4)
+ UNION ALL SELECT doc_id, 2 + 2*part, 100 + row_pos*10 + v.k, CASE v.k WHEN 0 THEN concat('K', CAST(product_id AS VARCHAR(20))) WHEN 1 THEN CASE WHEN doc_id%13<>1 OR row_pos > 1 THEN concat('H', CAST(heat_id AS VARCHAR(20))) END
+   WHEN 2 THEN CASE product_id%3 WHEN 0 THEN '10,000.000' WHEN 1 THEN '9500' ELSE '1,2,000' END ELSE CASE WHEN product_id%2=1 THEN '10,100.000' END END, v.x0, 120 + 16*row_pos + CASE v.k WHEN 0 THEN 0 ELSE 3 END
+  FROM fx_mill_lines CROSS JOIN (VALUES (0,50),(1,150),(2,250),(3,350)) AS v(k, x0) WHERE doc_id%2=1
+ UNION ALL SELECT doc_id, 2 + 2*part, 50000 + CAST(heat_rank AS INT)*10 + v.k, CASE v.k WHEN 0 THEN concat('H', CAST(heat_id AS VARCHAR(20))) WHEN 1 THEN 'C' WHEN 2 THEN concat('0.', CAST(heat_id%60 AS VARCHAR(9))) WHEN 3 THEN 'SI' WHEN 4 THEN '0.01' WHEN 5 THEN 'Mn' WHEN 6 THEN '0'
+   WHEN 7 THEN CASE WHEN doc_id%7=1 AND heat_rank=1 THEN 'C' END ELSE CASE WHEN doc_id%7=1 AND heat_rank=1 THEN '0.99' END END, v.x0, 152 + 16*n_rows + 40*CAST(heat_rank AS INT) + v.down
+  FROM fx_mill_lines CROSS JOIN (VALUES (0,50,0),(1,150,8),(2,150,16),(3,220,8),(4,220,16),(5,290,8),(6,290,16),(7,360,8),(8,360,16)) AS v(k, x0, down) WHERE doc_id%2=1 AND heat_row=1 AND doc_id%13<>1
+ UNION ALL SELECT doc_id, p.page, 20 + v.k, CASE v.k WHEN 0 THEN 'TENSILE TEST' WHEN 1 THEN 'Yield' WHEN 2 THEN '355 MPa' WHEN 3 THEN '% Total' WHEN 4 THEN '28.5' WHEN 5 THEN 'Top Side' WHEN 6 THEN '60' ELSE CASE WHEN doc_id%5=1 THEN '61' END END, v.x0, v.top
+  FROM fx_known_pages p CROSS JOIN (VALUES (0,50,180),(1,50,200),(2,50,215),(3,150,200),(4,150,215),(5,250,200),(6,250,212),(7,250,220)) AS v(k, x0, top) WHERE doc_id%2=1 AND p.page IN (3, 5)) x WHERE text IS NOT NULL
+"""
+VIEWS["fx_known_blocks"] = """
+SELECT * FROM fx_known_columns UNION ALL SELECT * FROM fx_known_labels
+"""
 # Documents of two templates, with every way in which a page, region, table, header, value or related row can fail.
 VIEWS["fx_tp_docs"] = """
 SELECT DISTINCT certificate_id AS doc_id, CASE WHEN certificate_id%3=1 THEN 2 ELSE 1 END AS template_id FROM fx_raw_rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from millspark.operators import history as h
+from millspark.operators import known_layouts as kl
 from millspark.operators import layout as ly
 from millspark.operators import recovery as rv
 from millspark.operators import templates as tp
@@ -163,6 +164,58 @@ def profile_fields(t: Tables) -> DataFrame:
     return ly.apply_profiles(grid_blocks(t), fields)
 
 
+# ---- oracle: what the fixture printed on pages of known layouts ----
+ORACLE_VIEWS["ox_known_issues"] = """
+WITH l AS (SELECT * FROM fx_mill_lines WHERE doc_id%2=1 AND doc_id%7<>3)
+SELECT doc_id, page, code, field, count(*) AS n FROM (
+ SELECT doc_id, 1 AS page, 'value_missing' AS code, 'width_mm' AS field FROM fx_mill_lines WHERE doc_id%2=0 AND width_raw IS NULL
+ UNION ALL SELECT doc_id, 2, 'heat_missing', 'heat_no' FROM l WHERE doc_id%13=1 AND row_pos=1
+ UNION ALL SELECT DISTINCT doc_id, 2 + 2*part, 'chemistry_conflict', 'composition_pct.C' FROM l WHERE doc_id%7=1 AND doc_id%13<>1
+ UNION ALL SELECT DISTINCT doc_id, 3, 'certificate_without_rolls', 'certificate_no' FROM l WHERE doc_id%11=1
+ UNION ALL SELECT DISTINCT doc_id, 4, 'certificate_without_rolls', 'certificate_no' FROM l WHERE doc_id%3=0 AND n_rows=1) GROUP BY 1,2,3,4
+"""
+ORACLE_VIEWS["ox_known_values"] = """
+WITH l AS (SELECT * FROM fx_mill_lines WHERE (doc_id%2=0 OR doc_id%7<>3) AND doc_id NOT IN (SELECT doc_id FROM ox_known_issues)),
+a AS (SELECT *, 'E0' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS certificate_no, 1 AS page, '25BH2B' || lpad(CAST(product_id AS VARCHAR), 7, '0') AS roll FROM l WHERE doc_id%2=0),
+b AS (SELECT *, CAST(doc_id*10 + part AS VARCHAR) AS certificate_no, 2 + 2*part AS page, 'K' || product_id AS roll, CASE product_id%3 WHEN 0 THEN '10000.000000' WHEN 1 THEN '9500.000000' END AS net, CASE WHEN product_id%2=1 THEN '10100.000000' END AS gross FROM l WHERE doc_id%2=1),
+v AS (SELECT doc_id, certificate_no, page, roll, unnest(['product_id', 'heat_no', 'thickness_mm', 'width_mm', 'length_raw', 'net_weight_kg', 'gross_weight_kg', 'composition_pct.C', 'composition_pct.Si', 'composition_pct.Mn', 'composition_pct.P', 'composition_pct.S', 'composition_pct.Als', 'composition_pct.Ti', 'yield_strength_mpa', 'tensile_strength_mpa', 'elongation_pct']) AS field,
+  unnest([roll, lpad(CAST(heat_id AS VARCHAR), 7, '0'), '1.' || product_id%9, CAST(900 + product_id%300 AS VARCHAR), 'C', CAST(10000 + product_id%5000 AS VARCHAR), CAST(10100 + product_id%5000 AS VARCHAR), CAST(product_id%60 AS VARCHAR), '1', '25', '5', '2', '40', '3', CAST(300 + product_id%50 AS VARCHAR), CAST(400 + product_id%50 AS VARCHAR), '28.5']) AS value,
+  unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, -4, -2, -2, -3, -3, -3, -3, NULL, NULL, NULL]) AS exponent FROM a
+ UNION ALL SELECT doc_id, certificate_no, page, roll, unnest(['product_id', 'heat_no', 'length_raw', 'certificate_no', 'supplemental_standard', 'composition_pct.C', 'composition_pct.Si', 'composition_pct.Mn', 'net_weight_kg', 'gross_weight_kg', 'weight_kg', 'weight_kind',
+   'standard', 'thickness_mm', 'width_mm', 'rolling', 'condition', 'coating_metal', 'yield_strength_mpa', 'elongation_pct', 'coating_superior_g_m2']),
+  unnest([roll, 'H' || heat_id, 'COIL', certificate_no, 'Identification according to international standard A1011', '0.' || heat_id%60, '0.01', '0', net, gross, coalesce(net, gross), CASE WHEN net IS NOT NULL THEN 'net' WHEN gross IS NOT NULL THEN 'gross' END,
+   CASE WHEN doc_id%19<>1 THEN CASE part WHEN 0 THEN 'S235' ELSE 'M1' END END, CASE WHEN doc_id%19<>1 THEN CASE part WHEN 0 THEN '1.800000' ELSE '2.000000' END END, CASE WHEN doc_id%19<>1 THEN CASE part WHEN 0 THEN '1496.000000' ELSE '900.000000' END END,
+   CASE WHEN doc_id%19<>1 THEN CASE part WHEN 0 THEN 'hot' ELSE 'cold' END END, CASE WHEN doc_id%19<>1 AND part=0 THEN 'pickled, oiled' END, CASE WHEN doc_id%19<>1 AND part=1 THEN 'Al' END,
+   CASE WHEN part_rows=1 THEN '355.000000' END, CASE WHEN part_rows=1 THEN '28.500000' END, CASE WHEN part_rows=1 AND doc_id%5<>1 THEN '60.000000' END]),
+  unnest([NULL, NULL, NULL, NULL, NULL, 0, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) FROM b)
+SELECT doc_id, certificate_no, page, roll AS product_id, field, value, exponent FROM v WHERE value IS NOT NULL
+"""
+
+
+def known_layouts(t: Tables) -> dict[str, DataFrame]:
+    return kl.read_known_layouts(t.known_docs, t.known_pages, t.known_blocks)
+
+
+@query(sql="SELECT * FROM ox_known_values")
+def known_layout_values(t: Tables) -> DataFrame:
+    """Values of the rolls of both layouts, of documents without an issue."""
+    return known_layouts(t)["values"].filter("accepted").select("doc_id", "certificate_no", "page", "product_id", "field", "value", "exponent")
+
+
+@query(sql="SELECT * FROM ox_known_issues")
+def known_layout_issues(t: Tables) -> DataFrame:
+    return known_layouts(t)["issues"].groupBy("doc_id", "page", "code", "field").agg(F.count("*").alias("n"))
+
+
+@query(sql="""WITH d AS (SELECT doc_id, bool_or(part=1) AS two, max(n_rows) AS n, sum(10000 + product_id%5000) AS net, sum(10100 + product_id%5000) AS gross FROM fx_mill_lines WHERE doc_id%2=0 OR doc_id%7<>3 GROUP BY 1)
+SELECT * FROM (SELECT doc_id, unnest(['certificate_no', 'delivery_date_raw', 'standard', 'supplier', 'product_name', 'rolling', 'condition', 'total_net_weight_kg', 'total_gross_weight_kg', 'total_pieces']) AS field,
+ unnest(['E0' || lpad(CAST(doc_id AS VARCHAR), 10, '0'), '20260628', 'BTA BLZ112 grade PW.T', 'BX Steel Posco Cold Rolled Sheet Co., Ltd.', 'Cold-rolled steel strip', 'cold', 'annealed, skin_passed', CAST(net AS VARCHAR), CAST(gross AS VARCHAR), CASE WHEN doc_id%4=0 THEN CAST(doc_id%9 + 1 AS VARCHAR) END]) AS value FROM d WHERE doc_id%2=0
+UNION ALL SELECT doc_id, unnest(['certificate_no', 'issue_date', 'supplier', 'standard', 'product_name']), unnest([CASE WHEN doc_id%3<>0 AND doc_id%11<>1 THEN CAST(doc_id*10 AS VARCHAR) END, CASE WHEN doc_id%3<>0 OR doc_id%17<>1 THEN '2026-06-28' END, 'ArcelorMittal Calvert LLC',
+ CASE WHEN doc_id%19<>1 AND NOT two THEN 'S235' END, CASE WHEN doc_id%19<>1 AND doc_id%3<>0 THEN 'Coil S235 / 1.800 mm X 1,496 mm Hot Roll Pickled & Oiled' END]) FROM d WHERE doc_id%2=1) WHERE value IS NOT NULL""")
+def known_layout_certificates(t: Tables) -> DataFrame:
+    return known_layouts(t)["certificates"].filter("value is not null").select("doc_id", "field", "value")
+
+
 def templates(t: Tables) -> dict[str, DataFrame]:
     """Two templates as rows, over every document."""
     make = t.spark.createDataFrame
