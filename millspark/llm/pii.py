@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +155,15 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, i
     """Candidates clear of the base spans: kind, start, end, votes, shape."""
     if not _HINT.search(text):
         return
-    ends = sorted(taken)
-    starts = [a for a, _ in ends]
+    spans = sorted(taken)
+    starts = [a for a, _ in spans]
+    # The furthest end of all base spans up to each one: a long early span may reach over many later ones.
+    reach = list(accumulate((e for _, e in spans), max))
     for kind, pattern in CANDIDATES.items():
         for m in pattern.finditer(text):
             a, b = m.span()
             i = bisect_left(starts, b)
-            if i and max(e for _, e in ends[max(0, i - 4):i]) > a:
+            if i and reach[i - 1] > a:
                 continue
             before, after = text[max(0, a - NEAR):a], text[b:b + NEAR]
             yield kind, a, b, votes(kind, m.group(), before, after), shape(kind, m.group(), before, after)

@@ -111,6 +111,15 @@ def test_base_spans_match_the_patterns():
         assert [(k, a, b) for k, spans in pii.base_spans(text).items() for a, b in spans] == spans_by_hand(text), text
 
 
+def test_candidates_stay_clear_of_every_base_span():
+    """A base span that reaches over many later ones still bars candidates inside it."""
+    text = "1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1_555-123-4567@x.com or call (452) 555-7764"
+    base = [s for spans in pii.base_spans(text).values() for s in spans]
+    assert len(base) == 6
+    found = [(a, b) for _, a, b, _, _ in pii.candidates(text, base)]
+    assert found and all(b <= x or a >= y for a, b in found for x, y in base)
+
+
 def test_spans_are_added_and_base_ones_stay(spark, nothing):
     rows = [(1, "call (452) 555-7764 now, tel"), (2, "write joe [at] example [dot] com please"), (3, None), (4, ""), (5, "mail a.b@c.de and 10.0.0.1"), (6, "version 10.20.30 of page 12"), (None, "1" * 100_000), (7, "a" * 100_000 + " x@y.zz")]
     rows += [(100 + i, f"tel +1 (555) 555-{1000 + i} or mail p{i}@q.com") for i in range(40)]
