@@ -23,7 +23,9 @@ SCALE = 1024
 SLICE_BITS = 6
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 256
-LARGEST = float(1 << 26)
+# Products whose bound stays below this are added in 64 bits; others are ranked with unbounded whole numbers.
+SAFE = float(1 << 59)
+LONG = (1 << 63) - 1
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,15 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], out[order]
 
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each, or in eight if one of them needs it."""
+    return values.astype("<i4" if not values.size or -(1 << 31) <= values.min() and values.max() < 1 << 31 else "<i8").tobytes()
+
+
+def _numbers(data: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8" if len(data) == rows * dims * 8 else "<i4").reshape(rows, dims)
+
+
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     """One index row: ids, whole numbers, per component its least value and shift, and the slices."""
     ids, values = _matrix(table)
@@ -46,7 +57,7 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
     shift = np.array([max(0, int(m).bit_length() - SLICE_BITS) for m in above.max(axis=0)], np.int64)
     high = (above >> shift).astype(np.uint8).T
     slices = np.stack([np.packbits((high >> b) & 1, axis=1, bitorder="little") for b in range(SLICE_BITS)], axis=1) if high.size else np.zeros((0, SLICE_BITS, 0), np.uint8)
-    row = [key[0].as_py(), len(ids), values.shape[1], ids.astype("<i8").tobytes(), values.astype("<i4").tobytes(), least.astype("<i8").tobytes(), shift.astype("<i8").tobytes(), slices.tobytes()]
+    row = [key[0].as_py(), len(ids), values.shape[1], ids.astype("<i8").tobytes(), _bytes(values), least.astype("<i8").tobytes(), shift.astype("<i8").tobytes(), slices.tobytes()]
     return pa.table([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 5)], names=["block", "n", "dims", "ids", "vals", "least", "shift", "slices"])
 
 
@@ -55,7 +66,7 @@ INDEX = "block int, n int, dims int, ids binary, vals binary, least binary, shif
 
 def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
     ids, values = _matrix(table)
-    return pa.table([pa.array([v], t) for v, t in zip([key[0].as_py(), len(ids), values.shape[1], ids.astype("<i8").tobytes(), values.astype("<i4").tobytes()], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["qblock", "qn", "qdims", "qids", "qvals"])
+    return pa.table([pa.array([v], t) for v, t in zip([key[0].as_py(), len(ids), values.shape[1], ids.astype("<i8").tobytes(), _bytes(values)], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["qblock", "qn", "qdims", "qids", "qvals"])
 
 
 def _add(total: np.ndarray, slices: np.ndarray, low: int) -> None:
@@ -86,8 +97,8 @@ def _search(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarra
         mask[lo:hi] = False
         valid &= np.packbits(mask, bitorder="little").view(np.uint64)
     left = n - (hi - lo)
-    rows = None
-    if left > k and dims:
+    large = float(np.abs(query).astype(float) @ index["most"][:dims]) >= SAFE
+    if left > k and dims and not large:
         # Sizes count from the least unit 2**s over all components; shifts above it move the slices up.
         s = int(index["shift"][:dims].min())
         size = np.abs(query)
@@ -122,7 +133,10 @@ def _search(index: dict, query: np.ndarray, own: int, k: int) -> tuple[np.ndarra
         rows = np.flatnonzero(np.unpackbits((above | even).view(np.uint8), bitorder="little")[:n])
     else:
         rows = np.flatnonzero(np.unpackbits(valid.view(np.uint8), bitorder="little")[:n])
-    scores = values[rows, :dims].astype(np.int64) @ query
+    if large:
+        scores = np.array([max(-LONG, min(LONG, x)) for x in values[rows, :dims].astype(object) @ query.astype(object)], np.int64)
+    else:
+        scores = values[rows, :dims].astype(np.int64) @ query
     best = np.lexsort((ids[rows], -scores))[:k]
     return ids[rows[best]], scores[best]
 
@@ -135,7 +149,9 @@ def _opened(row: dict) -> dict:
     slices[:, :, :narrow.shape[2]] = narrow
     valid = np.zeros(words * 64, bool)
     valid[:n] = True
-    return {"n": n, "words": words, "ids": np.frombuffer(row["ids"], "<i8"), "vals": np.frombuffer(row["vals"], "<i4").reshape(n, dims),
+    values = _numbers(row["vals"], n, dims)
+    most = np.maximum(-values.min(axis=0).astype(float), values.max(axis=0).astype(float))
+    return {"n": n, "words": words, "ids": np.frombuffer(row["ids"], "<i8"), "vals": values, "most": most,
             "shift": np.frombuffer(row["shift"], "<i8"), "slices": slices.view(np.uint64).reshape(dims, SLICE_BITS, words),
             "valid": np.packbits(valid, bitorder="little").view(np.uint64)}
 
@@ -146,7 +162,7 @@ def _answer(k: int):
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 index = _opened(row)
-                queries = np.frombuffer(row["qvals"], "<i4").reshape(row["qn"], row["qdims"]).astype(np.int64)
+                queries = _numbers(row["qvals"], row["qn"], row["qdims"]).astype(np.int64)
                 found = [(q, *_search(index, v, q, k)) for q, v in zip(np.frombuffer(row["qids"], "<i8"), queries)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([np.full(len(a), q) for q, a, _ in found]), pa.int64()),
@@ -159,7 +175,7 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id, parts``: floor(scale * component); vectors without id, null, or with a null or non-finite component are left out."""
     vectors = picked(vectors, vec_id="long", embedding="array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    parts = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
+    parts = F.transform("embedding", lambda x: F.greatest(F.floor(x * F.lit(float(scale))), F.lit(-LONG)))
     return vectors.filter(F.coalesce(fine, F.lit(False))).select("vec_id", parts.alias("parts"))
 
 
@@ -173,7 +189,9 @@ def build_index(numbers: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataF
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: per query the k rows of largest integer inner product, ties to the smaller id.
 
-    Components are floor(scale * x), held within +-2**26. Rows without an id, null vectors and vectors with null or
+    Components are floor(scale * x) in 64 bits; where products could leave 64 bits a block's rows are ranked with
+    unbounded whole numbers. A component or score beyond the range of a long is held at its end, where
+    scores tie. Rows without an id, null vectors and vectors with null or
     non-finite components take no part on either side. Vectors of different lengths are compared as if the shorter went
     on with zeros; an empty vector scores 0. Rows with the query's own id are no candidates; of rows that repeat a query's id
     one is asked. With fewer candidates than k all are returned; empty tables give an empty table. Query blocks meet
