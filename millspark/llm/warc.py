@@ -2,8 +2,10 @@
 
 Each record is a gzip member of its own whose extra field ``SL`` holds its compressed length. The reader inflates a
 member's head first, decides by record type and headers, and jumps over members that are not wanted without inflating the
-rest. Tasks write files under names of their own; the commit lists the files of successful tasks in a manifest, and
-only listed files are read, so lost or repeated tasks leave no trace.
+rest. Tasks write files under names of their own; each commit lists the files of its successful tasks in a manifest of its own,
+and only files of a manifest are read, so lost or repeated tasks leave no trace and every appended write is kept. A folder
+without manifests is read as a foreign archive, all its ``.warc.gz`` files; members without ``SL`` are inflated to find
+their end. Truncated members and damaged payloads raise an error.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from millspark.llm.common import picked, sized
 from millspark.session import shared_folder
 
-MANIFEST = "_manifest.json"
+MANIFESTS = "_manifests"
 SCHEMA = "page_id long, target_uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 MIN_REVISIT = 1000
 FILE_BYTES = 64 << 20
 PARTITION_BYTES = 64 << 20
 HEAD = 4096
+STEP = 1 << 16
 BATCH_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,8 +53,9 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str | None) -> int | None:
+    """The page of an own record id; null for other ids."""
     name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(name) if name and name != "null" else None
+    return int(name) if name.lstrip("-").isdecimal() else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, record_type: str, refers_to: int | None) -> bytes:
@@ -74,8 +78,8 @@ class _Files(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool):
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Files:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -99,10 +103,19 @@ class _Writer(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[_Files | None]) -> None:
+        """A new manifest, complete before it gets its name; an overwriting write then takes the earlier ones away."""
         store, root = fs.FileSystem.from_uri(self.path)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        store.create_dir(f"{root}/{MANIFESTS}", recursive=True)
+        earlier = _manifests(store, root) if self.overwrite else []
+        name = f"{root}/{MANIFESTS}/{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{name}.part", compression=None) as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        store.move(f"{name}.part", f"{name}.json")
+        for manifest in earlier:
+            listed = _listed(store, manifest)
+            store.delete_file(manifest)
+            for file, _ in listed:
+                store.delete_file(f"{root}/{file}")
 
     def abort(self, messages: list[_Files | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -110,6 +123,16 @@ class _Writer(DataSourceArrowWriter):
             store.delete_file(f"{root}/{name}")
 
 
+def _manifests(store: fs.FileSystem, root: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(f"{root}/{MANIFESTS}", allow_not_found=True))
+    return sorted(f.path for f in found if f.path.endswith(".json"))
+
+
+def _listed(store: fs.FileSystem, manifest: str) -> list[tuple[str, int]]:
+    with store.open_input_stream(manifest, compression=None) as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
 @dataclass
 class _Part(InputPartition):
     files: list[str]
@@ -120,18 +143,52 @@ def _headers(block: bytes) -> dict[str, str]:
     return dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:]) if v)
 
 
-def _length(head: bytes) -> tuple[int, int]:
-    """Compressed length (0 if not stated) and header size of the gzip member that starts here."""
-    if head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
-        return 0, 0
+def _length(head: bytes) -> int:
+    """Compressed length of the gzip member that starts here, 0 if it is not stated."""
+    if head[:3] != b"\x1f\x8b\x08":
+        raise ValueError("not a gzip member")
+    if len(head) < 12 or not head[3] & 4:
+        return 0
     size = struct.unpack("<H", head[10:12])[0]
     extra, at = head[12:12 + size], 0
     while at + 4 <= len(extra):
         n = struct.unpack("<H", extra[at + 2:at + 4])[0]
         if extra[at:at + 2] == b"SL":
-            return struct.unpack("<I", extra[at + 4:at + 8])[0], 12 + size
+            return struct.unpack("<I", extra[at + 4:at + 8])[0]
         at += 4 + n
-    return 0, 12 + size
+    return 0
+
+
+class _Member:
+    """One gzip member, inflated as far as asked."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.f, self.at, self.inflate = f, at, zlib.decompressobj(31)
+        start = f.read(HEAD)
+        self.stated, self.taken = _length(start), len(start)
+        self.text = self.inflate.decompress(start)
+
+    def more(self, size: int = HEAD) -> bytes:
+        """The next inflated bytes; nothing behind the end of the member."""
+        if self.inflate.eof:
+            return b""
+        data = self.f.read(size)
+        if not data:
+            raise ValueError(f"truncated gzip member at {self.at}")
+        self.taken += len(data)
+        return self.inflate.decompress(data)
+
+    def upto(self, mark: bytes, data: bytes, most: int | None = None) -> bytes:
+        """``data`` and what follows it until ``mark`` is in it, ``most`` bytes are there, or the member ends."""
+        while mark not in data and (most is None or len(data) < most) and not self.inflate.eof:
+            data += self.more()
+        return data
+
+    def length(self) -> int:
+        while not self.stated and not self.inflate.eof:
+            self.more(STEP)
+        return self.stated or self.taken - len(self.inflate.unused_data)
 
 
 class _Reader(DataSourceReader):
@@ -151,10 +208,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())
+        manifests = _manifests(store, root)
+        files = [f for m in manifests for f in _listed(store, m)]
+        if not manifests:
+            files = [(f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".warc.gz")]
         parts, size = [], self.partition_bytes
-        for name, n in files:
+        for name, n in sorted(files):
             if size >= self.partition_bytes:
                 parts.append(_Part([]))
                 size = 0
@@ -184,34 +243,36 @@ class _Reader(DataSourceReader):
             yield self._batch(rows)
 
     def _record(self, f, at: int) -> tuple[tuple | None, int]:
-        f.seek(at)
-        start = f.read(HEAD)
-        length, skip = _length(start)
-        inflate = zlib.decompressobj(-15)
-        text = inflate.decompress(start[skip:length or None])
-        while b"\r\n\r\n" not in text:
-            text += inflate.decompress(f.read(HEAD))
-        block, _, rest = text.partition(b"\r\n\r\n")
+        """A record, or None if it is not wanted, and the compressed length of its member."""
+        member = _Member(f, at)
+        block, mark, rest = member.upto(b"\r\n\r\n", member.text).partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError(f"no WARC header at {at}")
         warc = _headers(block)
         n = int(warc.get("content-length", 0))
-        while b"\r\n\r\n" not in rest and len(rest) < n:
-            rest += inflate.decompress(f.read(HEAD))
-        http_block, _, body = rest.partition(b"\r\n\r\n")
-        digest = warc.get("warc-payload-digest", "").removeprefix("sha1:")
-        url = warc.get("warc-target-uri")
+        http_block, skip = b"", 0
+        if warc.get("content-type", "").startswith("application/http"):
+            rest = member.upto(b"\r\n\r\n", rest, n)
+            http_block, mark, _ = rest.partition(b"\r\n\r\n")
+            skip = len(http_block) + len(mark)
+        named, url = warc.get("warc-payload-digest", ""), warc.get("warc-target-uri")
+        digest = base64.b32decode(named.removeprefix("sha1:")).hex() if named.startswith("sha1:") else None
         head = {"page_id": _page(warc.get("warc-record-id")), "record_type": warc.get("warc-type"), "refers_to": _page(warc.get("warc-refers-to")),
-                "target_uri": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "payload_digest": base64.b32decode(digest).hex()}
+                "target_uri": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "payload_digest": digest}
         if not self._kept(head):
-            return None, length
-        n_payload, payload = int(_headers(http_block).get("content-length", 0)), None
-        if head["record_type"] == "response" and self.payload != "skip":
-            missing = n - len(http_block) - 4 - len(body)
-            if missing > 0:
-                body += inflate.decompress(f.read(max(0, length - (f.tell() - at))))
-            payload = body[:n - len(http_block) - 4]
-            if len(payload) != n_payload or hashlib.sha1(payload).hexdigest() != head["payload_digest"]:
+            return None, member.length()
+        n_payload, payload = max(0, n - skip), None
+        if head["record_type"] != "response":
+            n_payload = int(_headers(http_block).get("content-length", n_payload))
+        elif self.payload != "skip":
+            parts, size = [rest], len(rest)
+            while size < n and not member.inflate.eof:
+                parts.append(member.more(max(HEAD, member.stated - member.taken) if member.stated else STEP))
+                size += len(parts[-1])
+            payload = b"".join(parts)[skip:n]
+            if len(payload) != n_payload or digest is not None and hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"damaged record {warc.get('warc-record-id')} at {at}")
-        return (head["page_id"], head["target_uri"], head["record_type"], head["refers_to"], n_payload, head["payload_digest"], payload if self.payload == "read" else None), length
+        return (head["page_id"], head["target_uri"], head["record_type"], head["refers_to"], n_payload, digest, payload if self.payload == "read" else None), member.length()
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -233,7 +294,7 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("partitionBytes", PARTITION_BYTES)), self.options.get("payload", "read"))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options.get("fileBytes", FILE_BYTES)))
+        return _Writer(self.options["path"], int(self.options.get("fileBytes", FILE_BYTES)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
