@@ -106,3 +106,29 @@ def test_first_table_wins_and_a_later_one_conflicts(spark):
     assert got["status"].first()["status"] == "needs_review"
     rows = {r["product_identifier"]: (r["heat_no"], r["chemistry"], r["row_scales"]) for r in tp.certificate_rows(got["values"]).collect()}
     assert rows["A1"] == ("H1", {"C": "5"}, {"C": "-2"}) and rows["A3"] == ("H9", {}, {})
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_chemistry_is_shuffled_once_and_not_again_with_the_rolls(spark):
+    rows = spark.createDataFrame([(1, "C", D("0.1")), (1, "C", D("0.3")), (1, "C", None), (1, "Mn", None), (2, "Mn", D("2")), (2, "Mn", D("2")), (2, "Al", D("0"))], "heat_id long, element string, percentage decimal(18,8)")
+    maps = fa.composition_maps(rows)
+    assert exchanges(maps) == 1
+    assert {r["heat_id"]: r["composition_pct"] for r in maps.collect()} == {1: {"C": D("0.3"), "Mn": None}, 2: {"Al": D("0"), "Mn": D("2")}}
+    # Rolls meet their own layer first; the last join is the one by heat.
+    products = spark.createDataFrame([(1, 1)], "product_id long, heat_id long")
+    observations = spark.createDataFrame([], "observation_id long, product_id long, heat_id long, field_path string, value string, is_current boolean")
+    with_products = fa.assemble_facts(products, rows.selectExpr("*", "cast(null as bigint) as product_id"), observations)
+    joins = [line for line in with_products._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert "heat_id" in joins[0] and "product_id" in joins[1]
+
+
+def test_a_view_that_several_layers_reach_is_written_once(spark):
+    from workload.registry import Tables
+    t = Tables(spark, "/root/testdata/sf0.001").write_once("products")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window")
+    assert reads(t.stored_rolls) == 0 and reads(t.scoped_compositions) == 0
+    assert sorted(t.products.collect()) == sorted(Tables(spark, "/root/testdata/sf0.001").products.collect())
