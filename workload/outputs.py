@@ -398,13 +398,14 @@ def upload_duplicates(t: Tables) -> DataFrame:
     """Every upload with the document that holds its content already, over three batches of rising upload time."""
     source, path = f"{shared_folder(t.spark)}/uploads", shared_folder(t.spark)
     uploads = t.uploads.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp"))
-    cuts = uploads.agg(F.percentile_approx(F.unix_micros("uploaded_at"), [0.33, 0.66], 1000).alias("p")).scalar()
+    # Read once: an approximate quantile may differ between runs, and each part is a run of its own.
+    cuts = uploads.agg(F.percentile_approx(F.unix_micros("uploaded_at"), [0.33, 0.66], 1000).alias("p")).first()["p"] or [0, 0]
     part = F.when(F.unix_micros("uploaded_at") <= cuts[0], 0).when(F.unix_micros("uploaded_at") <= cuts[1], 1).otherwise(2)
     parts = uploads.withColumn("part", part)
     for i in range(3):
-        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    finish(jobs.route_uploads(stream, path))
+        # All files of a part are one batch, as the stream is through with it before the next part is written.
+        parts.filter(F.col("part") == i).drop("part").write.mode("append").parquet(source)
+        finish(jobs.route_uploads(t.spark.readStream.schema(uploads.schema).parquet(source), path))
     return jobs.written(t.spark, path).select("document_id", "sha256", "original_id")
 
 
