@@ -42,3 +42,19 @@ def test_latest_and_exact_ranks(spark):
         groups.setdefault(r["k"], []).append(r["x"])
     for k, xs in groups.items():
         assert float(got[k]["p95"]) == sorted(xs)[math.ceil(len(xs) * 0.95) - 1]
+
+
+def test_helpers_move_their_rows_once(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as k", "id as o", "id as v", "id % 5 = 0 as known")
+    for df in (keyed.previous_row(rows, ["k"], ["o"], ["v"]), keyed.running_sum(rows, ["k"], ["o"], F.col("v"), "s"), keyed.carry_forward(rows, ["k"], ["o"], {"c": (F.col("known"), F.col("v"))})):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+
+
+def test_values_of_the_row_above_cross_slices(spark):
+    n = keyed.POSITION_SLICE
+    rows = spark.createDataFrame([(1, n - 1, "a"), (1, n, None), (1, n + 1, "b"), (2, n, "c")], "k long, row_pos long, v string")
+    got = keyed.carry_forward(rows, ["k"], ["row_pos"], {"c": (F.col("v").isNotNull(), F.col("v")), "up": (F.lit(True), F.col("v"))}, above=["up"])
+    assert {(r["k"], r["row_pos"]): (r["c"]["value"], r["up"] and r["up"]["value"]) for r in got.collect()} == {
+        (1, n - 1): ("a", None), (1, n): ("a", "a"), (1, n + 1): ("b", None), (2, n): ("c", None)}
+    assert {(r["k"], r["row_pos"]): r["up"] is None for r in got.collect()} == {(1, n - 1): True, (1, n): False, (1, n + 1): False, (2, n): True}
