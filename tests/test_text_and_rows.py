@@ -127,3 +127,14 @@ def test_values_beyond_the_usual_range_are_kept_or_unknown(spark):
     assert float(large("1500000 mm")) == 1500
     assert large("9" * 30 + " mm") is None
     assert one(spark, tx.scaled_percentage(F.lit("13"), F.lit(-9)))["error"] == "scale_out_of_range"
+
+
+def test_a_filter_on_a_field_does_not_normalize_the_text_for_each_alias(spark):
+    from millspark.operators import headers as hd
+    cells = spark.createDataFrame([(1, "Coil No."), (2, "Thickness (mm)"), (3, None), (4, "?!")], "cell_id long, header string")
+    found = hd.identify_fields(cells, "header")
+    assert {r["cell_id"]: (r["field"], r["score"]) for r in found.collect()} == {1: ("product_id", 99), 2: ("thickness_mm", 92), 3: (None, None), 4: (None, None)}
+    plan = found.filter("field is not null")._jdf.queryExecution().optimizedPlan()
+    # The filter stays above the step that makes the term, so only that step names the text.
+    filters = [line for line in plan.toString().splitlines() if "Filter" in line]
+    assert filters and all("header" not in line for line in filters)
