@@ -49,3 +49,16 @@ def test_deletion_reaches_every_observation_the_chain_and_the_logs(spark):
     got = sorted((r["table_name"], r["id"]) for r in h.deletion_scope(certificates, heats, products, observations, ids, related).collect())
     one = [(name, 1) for name in ("approvals", "candidates", "certificates", "factors", "results", "runs", "selections", "steps")]
     assert got == sorted(one + [("files", 5), ("heats", 10), ("products", 11)] + [(name, i) for name in ("observations", "corrections", "links") for i in (1, 2, 3)])
+
+
+def test_a_cited_value_is_computed_once(spark):
+    from millspark.operators import layout as ly
+    cells = spark.createDataFrame([(1, 1, 0, 1, 0, "K1"), (1, 1, 0, 1, 1, "12,5"), (1, 1, 0, 2, 0, "K2"), (1, 1, 0, 2, 1, "900")], "doc_id long, page int, table_idx int, row_idx int, col_idx int, text string")
+    heads = spark.createDataFrame([(1, 1, 0, 0, 0, "Coil", "product_id", "product_id"), (1, 1, 0, 0, 1, "Width mm", "dimension", "width_mm")], "doc_id long, page int, table_idx int, row_idx int, col_idx int, header string, category string, key string")
+    proposals = spark.sql("""SELECT * FROM VALUES (1L, 1L, 1, 0, 1, 1, 0, 1, '12,5', 'width_mm', 'K1', cast(12.5 AS decimal(18,8))), (2L, 1L, 1, 0, 2, 1, 0, 1, '900', 'width_mm', 'K2', cast(1 AS decimal(18,8))), (3L, 1L, 1, 0, 2, 1, 0, 1, '900', 'width_mm', 'K1', cast(900 AS decimal(18,8)))
+      AS v(proposal_id, doc_id, page, table_idx, row_idx, col_idx, header_row, header_col, raw_value, field_path, product_id, current_value)""")
+    found = ly.verify_cited_values(proposals, cells, heads)
+    assert {(r["proposal_id"], r["reason"], r["status"], r["verified_value"] and float(r["verified_value"])) for r in found.collect()} == {
+        (1, None, "matches", 12.5), (2, None, "discrepancy", 900.0), (3, "row_not_of_product", "not_verifiable", None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("AS status" in line and "regexp_extract" in line for line in plan.splitlines())
