@@ -2,7 +2,9 @@
 
 from decimal import Decimal
 
-from millspark.operators import certificates as ce, facts as fa, recovery as rv, templates as tp
+from pyspark.sql import functions as F
+
+from millspark.operators import certificates as ce, classification as cl, facts as fa, recovery as rv, templates as tp
 
 D = Decimal
 
@@ -132,3 +134,29 @@ def test_a_view_that_several_layers_reach_is_written_once(spark):
     reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window")
     assert reads(t.stored_rolls) == 0 and reads(t.scoped_compositions) == 0
     assert sorted(t.products.collect()) == sorted(Tables(spark, "/root/testdata/sf0.001").products.collect())
+
+
+def test_a_branch_moves_its_own_facts_only_and_writes_none(spark, monkeypatch):
+    from millspark import session
+    from workload import registry
+    from workload.classification import staged
+    written = []
+    monkeypatch.setattr(registry, "staged", lambda df: written.append(df) or df)
+    monkeypatch.setattr(session, "staged", lambda df: written.append(df) or df)
+    narrow = registry.QUERIES["branch_narrow"](spark, "/root/testdata/sf0.001")
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "product_id" in written[0].columns and "AS can_body_end_use#" not in plan
+    # The facts that a branch names are all it needs: the whole set gives the same rows.
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    of = lambda names, *one: {r["product_id"]: r["branch"] for r in cl.branch_result(staged(t, names).filter("heading = '7225'"), *one).select("product_id", "branch").collect()}
+    got = of(cl.branch_facts("7225"), "7225")
+    assert got and got == of([*cl.FACT_TYPES])
+
+
+def test_entries_and_readings_of_a_key_meet_in_one_shuffle(spark):
+    chemistry = spark.createDataFrame([(7, "C", D("0.1")), (8, "C", D("0.2"))], "heat_id long, element string, percentage decimal(18,8)")
+    observations = spark.createDataFrame([(1, 7, "form", "bar"), (2, 7, "form", "flat_rolled"), (3, 9, "form", "bar")], "observation_id long, heat_id long, field_path string, value string")
+    layer = fa._layer(observations, chemistry, "heat_id", "heat")
+    assert exchanges(layer) == 2
+    got = {r["heat_id"]: (r["_heat"], r["_heat_elements"]) for r in layer.collect()}
+    assert got == {7: ({"form": ("flat_rolled", "heat", 2)}, {"C": D("0.1")}), 8: ({}, {"C": D("0.2")}), 9: ({"form": ("bar", "heat", 3)}, {})}
