@@ -62,3 +62,12 @@ def test_a_cited_value_is_computed_once(spark):
         (1, None, "matches", 12.5), (2, None, "discrepancy", 900.0), (3, "row_not_of_product", "not_verifiable", None)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("AS status" in line and "regexp_extract" in line for line in plan.splitlines())
+
+
+def test_the_closure_reads_the_chain_of_results_from_one_copy(spark, monkeypatch):
+    from workload import history, registry  # noqa: F401  (registers the query)
+    written = []
+    write = registry.staged
+    monkeypatch.setattr(registry, "staged", lambda df: written.append(df.columns[0]) or write(df))
+    registry.QUERIES["deletion_closure"](spark, "/root/testdata/sf0.001")
+    assert written == ["product_id", "result_id", "link_id"]
