@@ -71,3 +71,16 @@ def test_the_closure_reads_the_chain_of_results_from_one_copy(spark, monkeypatch
     monkeypatch.setattr(registry, "staged", lambda df: written.append(df.columns[0]) or write(df))
     registry.QUERIES["deletion_closure"](spark, "/root/testdata/sf0.001")
     assert written == ["product_id", "result_id", "link_id"]
+
+
+def test_a_percentage_is_read_once_for_ranges_and_sums(spark):
+    from millspark.operators.quality import chemistry_issues
+    rows = spark.createDataFrame([(1, 10, None, "C", "60"), (1, 10, None, "Mn", "50.5"), (1, 10, None, " ", "99"), (1, 10, 5, "C", "101"), (1, 11, 5, "Si ", "tr"), (1, 11, 5, "Mn", "60"), (1, 12, 5, "Cr", "41"), (2, 20, None, "C", None), (2, 20, None, "B", "-1")],
+                                 "certificate_id long, heat_id long, product_id long, element string, percentage string")
+    found = chemistry_issues(rows)
+    # Once per reader of the rows: for their ranges, and for their sums.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("as decimal(18,8)") == 2
+    got = sorted((r["certificate_id"], r["product_id"] or 0, r["scope"], r["entity"], r["code"], r["field_path"]) for r in found.collect())
+    assert got == [(1, 0, "heat", "10", "chemical_sum_exceeds_100", "composition_pct"), (1, 5, "product", "5", "chemical_percentage_out_of_range", "composition_pct.C"),
+                   (1, 5, "product", "5", "chemical_sum_exceeds_100", "composition_pct"), (1, 5, "product", "5", "invalid_chemical_format", "composition_pct.Si"),
+                   (2, 0, "heat", "20", "chemical_percentage_out_of_range", "composition_pct.B")]
