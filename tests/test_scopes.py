@@ -84,3 +84,13 @@ def test_a_percentage_is_read_once_for_ranges_and_sums(spark):
     assert got == [(1, 0, "heat", "10", "chemical_sum_exceeds_100", "composition_pct"), (1, 5, "product", "5", "chemical_percentage_out_of_range", "composition_pct.C"),
                    (1, 5, "product", "5", "chemical_sum_exceeds_100", "composition_pct"), (1, 5, "product", "5", "invalid_chemical_format", "composition_pct.Si"),
                    (2, 0, "heat", "20", "chemical_percentage_out_of_range", "composition_pct.B")]
+
+
+def test_issues_that_several_steps_read_are_written_once(spark, monkeypatch):
+    from workload import quality, registry
+    write, written = quality.staged, []
+    monkeypatch.setattr(quality, "staged", lambda df: written.append(df.columns) or write(df))
+    for name in ("issues_by_roll", "review_queue"):
+        found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "incoherent_unit" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert written == [["certificate_id", "product_id", "scope", "entity", "code", "severity", "field_path"]] * 2
