@@ -87,6 +87,21 @@ def test_scale_below_the_header_and_two_weights(spark):
     assert got == {"C": ("13", -3), "weight_kg": ("100", None), "net_weight_kg": ("100", None), "gross_weight_kg": ("120", None), "label_no": ("P123456", None)}
 
 
+def test_blocks_are_read_once_and_a_block_between_two_rows_belongs_to_the_lower(spark):
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    blocks = page(spark, ("Coil No", 80, 140, 240, 252, 0.9), ("Width", 230, 290, 240, 252, 0.9), ("C", 395, 405, 240, 252, 0.9), ("%", 390, 410, 256, 268, 0.9), ("AB12", 80, 140, 300, 312, 0.9), ("AB72", 80, 140, 340, 352, 0.9),
+                  ("1000", 230, 290, 300, 312, 0.9), ("900", 230, 290, 320, 332, 0.9), ("0.05", 390, 410, 300, 312, 0.9))
+    rows = rv.recover_geometric_rows(blocks.withColumn("text", F.udf(read).asNondeterministic()("text")))
+    assert sorted(tuple(r) for r in rows.select("product_id", "key", "text", "exponent").collect()) == [("AB12", "C", "0.05", 0), ("AB12", "width_mm", "1000", None), ("AB72", "width_mm", "900", None)]
+    assert seen.value == 9
+
+
 def test_first_table_wins_and_a_later_one_conflicts(spark):
     make = spark.createDataFrame
     mapping = "target string, element string, exponent int, unit string, separator string, required boolean"

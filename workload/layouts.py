@@ -135,6 +135,7 @@ def merged_proposals(t: Tables) -> DataFrame:
 
 def grid_blocks(t: Tables) -> DataFrame:
     """The fixture grid with printed header blocks above it."""
+    t.write_once("blocks")
     body = t.blocks.filter("text is not null").selectExpr("doc_id", "page", "block_id", "CASE WHEN block_id%10 = 0 THEN concat('K', text) ELSE text END as text", "x0", "x1", "top", "bottom")
     heads = t.blocks.select("doc_id", "page").distinct().selectExpr("doc_id", "page", "stack(3, -1, 'Coil No', 0.0D, 60.0D, -2, 'Width', 100.0D, 160.0D, -3, 'C x10^4', 200.0D, 260.0D) as (block_id, text, x0, x1)").selectExpr(
         "doc_id", "page", "cast(block_id as bigint) as block_id", "text", "x0", "x1", "90.0D as top", "102.0D as bottom")
