@@ -94,3 +94,23 @@ def test_issues_that_several_steps_read_are_written_once(spark, monkeypatch):
         found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert "incoherent_unit" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert written == [["certificate_id", "product_id", "scope", "entity", "code", "severity", "field_path"]] * 2
+
+
+def test_deletion_follows_the_chain_once(spark):
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(key):
+        seen.add(1)
+        return key
+
+    def table(columns, *rows):
+        return spark.createDataFrame(list(rows), ", ".join(f"{c} long" for c in columns.split()))
+    certificates = table("certificate_id stored_file_id", (1, 1), (2, 2))
+    related = {"runs": table("run_id certificate_id", (10, 1), (20, 2)).withColumn("run_id", F.udf(read, "long").asNondeterministic()("run_id")), "results": table("result_id run_id", (100, 10), (200, 20)),
+               "candidates": table("candidate_id result_id", (1000, 100), (2000, 200)), "factors": table("factor_id candidate_id", (1, 1000), (2, 2000)), "links": table("link_id factor_id observation_id", (5, 1, 9), (6, 2, 7)),
+               "selections": table("selection_id result_id", (3, 100), (4, 200)), "approvals": table("event_id run_id", (7, 10), (8, 20))}
+    found = h.deletion_scope(certificates, table("heat_id certificate_id", (1, 1)), table("product_id certificate_id", (1, 1)), table("observation_id product_id heat_id certificate_id", (9, 1, None, 1)), table("certificate_id", (1,)), related)
+    got = {(r["table_name"], r["id"]) for r in found.collect()}
+    assert {("runs", 10), ("results", 100), ("candidates", 1000), ("factors", 1), ("links", 5), ("selections", 3), ("approvals", 7)} <= got and ("runs", 20) not in got
+    assert seen.value <= 2
