@@ -139,12 +139,21 @@ def audit_timeline(selections: DataFrame, approvals: DataFrame, corrections: Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def composition_sheet(compositions: DataFrame, products: DataFrame, heats: DataFrame) -> DataFrame:
-    """Element rows with their heat number, through the heat or through the roll's heat."""
-    p = products.select("product_id", F.col("heat_id").alias("_ph"), "product_identifier")
-    df = compositions.join(p, "product_id", "left").withColumn("_heat", F.coalesce("heat_id", "_ph"))
-    numbers = heats.select(F.col("heat_id").alias("_heat"), F.col("heat_no").alias("colada"))
-    return df.join(numbers, "_heat", "left").select("heat_id", "product_id", "element", "percentage", "colada", F.col("product_identifier").alias("serie_rollo"))
+def composition_sheet(compositions: DataFrame, products: DataFrame, heats: DataFrame, certificates: DataFrame) -> DataFrame:
+    """Element rows in scope with their heat number, through the heat or through the roll's heat.
+
+    As in ``within_scope`` a row belongs to the roll it names, else to its heat, else to its certificate. Each kind meets its
+    own table only, so that rows without a roll are not gathered under a null key.
+    """
+    rows = compositions.withColumns({c: F.lit(None).cast("bigint") for c in ("product_id", "heat_id", "certificate_id") if c not in compositions.columns})
+    of = lambda kind, *more: rows.filter(kind).select("product_id", "heat_id", "element", "percentage", *more)
+    numbers = heats.select("heat_id", F.col("heat_no").alias("colada"))
+    rolls = of("product_id is not null").join(products.select("product_id", F.col("heat_id").alias("_ph"), F.col("product_identifier").alias("serie_rollo")), "product_id")
+    rolls = rolls.withColumn("_heat", F.coalesce("heat_id", "_ph")).join(numbers.withColumnRenamed("heat_id", "_heat"), "_heat", "left")
+    own = of("product_id is null and heat_id is not null").join(numbers, "heat_id")
+    rest = of("product_id is null and heat_id is null", "certificate_id").join(certificates.select("certificate_id"), "certificate_id", "left_semi")
+    sheet = ("heat_id", "product_id", "element", "percentage")
+    return rolls.select(*sheet, "colada", "serie_rollo").unionByName(own.select(*sheet, "colada"), allowMissingColumns=True).unionByName(rest.select(*sheet), allowMissingColumns=True)
 
 
 def evidence_sheet(observations: DataFrame, links: DataFrame, factors: DataFrame) -> DataFrame:
@@ -178,7 +187,7 @@ def report_tables(t: Mapping[str, DataFrame], official: bool = False) -> dict[st
         "Resumen": summary_sheet(h.report_summary(t["certificates"], heats, products, results, selections, used, makers), used, official),
         "Actas": t["certificates"].join(makers.select("manufacturer_id", F.col("name").alias("fabricante")), "manufacturer_id", "left"),
         "Batches": heats, "Coladas": products,
-        "Composición": composition_sheet(linked(t["compositions"]), products, heats),
+        "Composición": composition_sheet(t["compositions"], products, heats, scope),
         "Evidencia": evidence_sheet(observations, t["links"], t["factors"]),
         "Clasificación": classification_sheet(products, results, used, t["candidates"], t["factors"], selections, h.first_evidence(products, observations), t.get("rule_sets")),
         "Auditoría": audit_timeline(selections, t["approvals"].join(runs.select("run_id"), "run_id", "left_semi"), linked(t["corrections"]), results, runs, t["candidates"]),

@@ -114,3 +114,17 @@ def test_deletion_follows_the_chain_once(spark):
     got = {(r["table_name"], r["id"]) for r in found.collect()}
     assert {("runs", 10), ("results", 100), ("candidates", 1000), ("factors", 1), ("links", 5), ("selections", 3), ("approvals", 7)} <= got and ("runs", 20) not in got
     assert seen.value <= 2
+
+
+def test_element_rows_meet_the_table_of_their_own_kind(spark):
+    from millspark.operators import report as rp
+    ids = lambda key, *values: spark.createDataFrame([(v,) for v in values], f"{key} long")
+    rows = spark.createDataFrame([(1, None, None, "C", 0.1), (1, 11, None, "Mn", 0.2), (8, None, None, "C", 0.3), (None, 10, None, "Si", 0.4), (None, None, 1, "Cr", 0.5), (9, None, None, "Ni", 0.6), (None, None, 2, "Mo", 0.7), (None, None, None, "W", 0.8)],
+                                 "product_id long, heat_id long, certificate_id long, element string, percentage double")
+    products = spark.createDataFrame([(1, 10, "R1")], "product_id long, heat_id long, product_identifier string")
+    heats = spark.createDataFrame([(10, "H10"), (11, "H11")], "heat_id long, heat_no string")
+    sheet = rp.composition_sheet(rows, products, heats, ids("certificate_id", 1))
+    got = {(r["element"], r["heat_id"], r["product_id"], r["colada"], r["serie_rollo"]) for r in sheet.collect()}
+    assert got == {("C", None, 1, "H10", "R1"), ("Mn", 11, 1, "H11", "R1"), ("Si", 10, None, "H10", None), ("Cr", None, None, None, None)}
+    # An outer join by roll would bring all rows without one to a single task.
+    assert "LeftOuter, (product_id" not in sheet._jdf.queryExecution().optimizedPlan().toString()
