@@ -128,3 +128,19 @@ def test_element_rows_meet_the_table_of_their_own_kind(spark):
     assert got == {("C", None, 1, "H10", "R1"), ("Mn", 11, 1, "H11", "R1"), ("Si", 10, None, "H10", None), ("Cr", None, None, None, None)}
     # An outer join by roll would bring all rows without one to a single task.
     assert "LeftOuter, (product_id" not in sheet._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_standing_selections_are_found_without_moving_them_again(spark):
+    rows = [(1, 10, None, False, "a"), (2, 10, 1, False, "b"), (3, 10, 2, False, "c"), (4, 20, 5, False, "d"), (5, 20, None, False, "e"), (6, 30, None, True, "f"), (7, 30, None, False, "g"), (8, 40, 9, None, "h"), (9, 50, None, None, "i"), (10, None, None, False, "j"), (11, 60, 11, False, "k")]
+    selections = spark.createDataFrame(rows, "selection_id long, result_id long, supersedes_selection_id long, selection_cleared boolean, person_name string")
+    got = {(r["result_id"], r["selection_id"], r["person_name"]) for r in h.current_selections(selections).collect()}
+    # 4 replaces 5 though it is older; 8 names a selection of another result, which stands; 11 replaces itself.
+    assert got == {(10, 3, "c"), (20, 4, "d"), (40, 8, "h"), (50, 9, "i")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scoped = selections.join(selections.select("result_id").distinct(), "result_id", "left_semi")
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert exchanges(h.current_selections(scoped)) == exchanges(scoped)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
