@@ -144,3 +144,19 @@ def test_standing_selections_are_found_without_moving_them_again(spark):
         assert exchanges(h.current_selections(scoped)) == exchanges(scoped)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_sheet_takes_the_identifier_along_and_keeps_codes_short(spark):
+    from millspark.operators import report as rp
+    make = spark.createDataFrame
+    products = make([(1, 10, "R1"), (2, 10, "R2")], "product_id long, heat_id long, product_identifier string")
+    observations = make([(5, 1, None)], "observation_id long, product_id long, heat_id long")
+    evidence = h.first_evidence(products, observations, ["product_identifier"])
+    results = make([(100, 7, 1, "needs_review", None, None)], "result_id long, run_id long, product_id long, outcome string, fraction string, nico string")
+    candidates = make([(1001, 100, 1, "72091601", None), (1002, 100, 2, "72091701", "01")], "candidate_id long, result_id long, rank int, fraction string, nico string")
+    factors = make([(1001, 2, "b", "matched"), (1001, 1, "a", "unknown"), (9, 1, "x", "matched")], "candidate_id long, sequence int, rule_code string, outcome string")
+    selections = make([], "selection_id long, result_id long, candidate_id long, supersedes_selection_id long, selection_cleared boolean, person_name string, created_at timestamp")
+    sheet = rp.classification_sheet(products, results, make([(7, "approved")], "run_id long, approval_status string"), candidates, factors, selections, evidence)
+    rows = {r["product_id"]: r for r in sheet.collect()}
+    assert [(rows[p]["rollo_identificador"], rows[p]["evidencia"], rows[p]["candidato_elegido"]) for p in (1, 2)] == [("R1", "Ver evidencia", "Pendiente de selección"), ("R2", "Sin evidencia", "Sin clasificación")]
+    assert (rows[1]["alternativa_2"], rows[1]["alternativa_3"], rows[1]["factores_clave"], rows[1]["todos_los_candidatos"]) == ("72091701-01", "—", "a: unknown; b: matched", "72091601: ; 72091701-01: ")
