@@ -101,12 +101,13 @@ def sheet_products(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     Product words give form, rolling and coil; tonnes become kilograms; zero means unknown; a repeated element column
     and a value outside 0..100 are withheld.
     """
-    heads = sheet_headers(cells).filter("not is_spec")
+    # Written, so that Spark knows how small the header rows are: cells are not gathered by sheet or column to meet few of them.
+    heads = staged(sheet_headers(cells).filter("not is_spec"))
     body = cells.join(heads.select("sheet", "header_row").distinct(), "sheet").filter("row > header_row")
-    values = body.join(heads.select("sheet", "col", "label"), ["sheet", "col"]).filter("not is_formula")
     # Labels are a short fixed list, so the pivot is a plain conditional aggregation.
     labels = sorted({label for group in SHEET_FIELDS.values() for label in group})
-    wide = values.filter(F.col("label").isin(*labels)).groupBy("sheet", "row").agg(*[F.max(F.when(F.col("label") == label, F.col("value"))).alias(label) for label in labels])
+    values = cells.filter("not is_formula").join(heads.filter(F.col("label").isin(*labels)), ["sheet", "col"]).filter("row > header_row")
+    wide = values.groupBy("sheet", "row").agg(*[F.max(F.when(F.col("label") == label, F.col("value"))).alias(label) for label in labels])
     pick = lambda name: F.coalesce(*[F.nullif(F.trim(F.col(f"`{label}`")), F.lit("")) for label in SHEET_FIELDS[name]])
     df = wide.select("sheet", "row", *[pick(name).alias(name) for name in SHEET_FIELDS]).filter("width is not null or thickness is not null")
     words, mm = F.upper(F.coalesce("description", F.lit(""))), F.lit("mm")

@@ -160,3 +160,13 @@ def test_the_sheet_takes_the_identifier_along_and_keeps_codes_short(spark):
     rows = {r["product_id"]: r for r in sheet.collect()}
     assert [(rows[p]["rollo_identificador"], rows[p]["evidencia"], rows[p]["candidato_elegido"]) for p in (1, 2)] == [("R1", "Ver evidencia", "Pendiente de selección"), ("R2", "Sin evidencia", "Sin clasificación")]
     assert (rows[1]["alternativa_2"], rows[1]["alternativa_3"], rows[1]["factores_clave"], rows[1]["todos_los_candidatos"]) == ("72091701-01", "—", "a: unknown; b: matched", "72091601: ; 72091701-01: ")
+
+
+def test_cells_meet_few_headers_without_being_gathered_by_sheet(spark):
+    from millspark.operators import tables as tb
+    cells = spark.createDataFrame([("S", 3, 1, "Width (mm)", False), ("S", 3, 2, "THICK", False), ("S", 3, 3, "HEAT NO", False), ("S", 2, 1, "7", False), ("S", 4, 1, "1000", False), ("S", 4, 2, "1.5", False), ("S", 4, 3, "H1", False),
+                                   ("S", 5, 1, "900", False), ("S", 5, 2, "2", True), ("S", 6, 4, "5", False), ("T", 4, 1, "1000", False)], "sheet string, row int, col int, value string, is_formula boolean")
+    products = tb.sheet_products(cells)[0]
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    assert {(r["product_id"], str(r["width_mm"]), r["thickness_mm"] is None, r["heat_no"]) for r in products.collect()} == {("S!row-4", "1000.000000", False, "H1"), ("S!row-5", "900.000000", True, None)}
