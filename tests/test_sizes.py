@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millspark.operators import history as h
 from millspark.session import configure
 
 
@@ -14,3 +15,22 @@ def test_tasks_stay_small_as_a_shuffle_grows(spark, tmp_path):
     wide.select("t0").coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(f"{tmp_path}/t")
     assert session.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() >= 2
     assert {session.conf.get("spark.sql.files.maxPartitionBytes"), session.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")} == {"16m", "8m"}
+
+
+def test_run_detail_counts_evidence_on_request_only(spark):
+    results = spark.createDataFrame([(1,), (2,)], "result_id long")
+    candidates = spark.createDataFrame([(11, 1, 2, "72", "01"), (10, 1, 1, "73", "00")], "candidate_id long, result_id long, rank int, fraction string, nico string")
+    factors = spark.createDataFrame([(102, 10, 2, "b", "matched"), (101, 10, 1, "a", "unknown")], "factor_id long, candidate_id long, sequence int, rule_code string, outcome string")
+    links = spark.createDataFrame([(1, 102), (2, 102)], "link_id long, factor_id long")
+    plain = h.run_detail(results, candidates, factors)
+    counted = h.run_detail(results, candidates, factors, links)
+    read = lambda df: {r["result_id"]: r["candidates"] and [(c["rank"], c["factors"] and [tuple(f) for f in c["factors"]]) for c in r["candidates"]] for r in df.collect()}
+    assert read(plain) == {1: [(1, [(1, "a", "unknown"), (2, "b", "matched")]), (2, None)], 2: None}
+    assert read(counted) == {1: [(1, [(1, "a", "unknown", 0), (2, "b", "matched", 2)]), (2, None)], 2: None}
+
+
+def test_run_details_reads_no_links(spark):
+    from workload import registry
+    import workload.all  # noqa: F401
+    plan = registry.QUERIES["run_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan
