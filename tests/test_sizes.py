@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millspark.operators import history as h
+from millspark.operators import history as h, layout as ly
 from millspark.session import configure
 
 
@@ -34,3 +34,15 @@ def test_run_details_reads_no_links(spark):
     import workload.all  # noqa: F401
     plan = registry.QUERIES["run_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "event_id" not in plan
+
+
+def test_profile_fields_meet_blocks_without_a_shuffle_by_text(spark, monkeypatch):
+    blocks = spark.createDataFrame([(d, 1, "Width", 100.0, 160.0, 90.0, 102.0) for d in (1, 2, 3)] + [(1, 1, "1200", 100.0, 160.0, 120.0, 132.0), (1, 1, "1300", 100.0, 160.0, 140.0, 152.0), (2, 1, "900", 100.0, 160.0, 120.0, 132.0)],
+                                   "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double")
+    fields = spark.createDataFrame([("GRID", "width", "first_width", -5.0, 70.0, 10.0, 50.0)], "profile string, anchor_text string, field string, dx0 double, dx1 double, dy0 double, dy1 double")
+    got = ly.apply_profiles(blocks, fields)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, None, True), (2, "900", False)}
+    assert {(r["doc_id"], r["value"], r["conflict"]) for r in got.collect()} == want
+    monkeypatch.setattr(ly, "PROFILE_ROWS", 0)
+    assert {(r["doc_id"], r["value"], r["conflict"]) for r in ly.apply_profiles(blocks, fields).collect()} == want
