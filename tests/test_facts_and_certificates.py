@@ -68,6 +68,25 @@ def test_a_heat_that_agrees_holds_its_composition_once(spark):
     assert tables["compositions"].count() == 2
 
 
+def test_rows_of_short_documents_stay_together_and_long_ones_are_cut_with_the_same_result(spark, monkeypatch):
+    from millspark.functions import keyed
+    rows = [("A", "H1", "1", "2", "C", "1", None, {"C": "5", "Mn": "1"}, {"c": "-2"}), ("B", '"', '"', "2", "C", '"', None, {"C": '"', "Mn": "x"}, None), ("A", "H1", "1", '"', "C", "1", None, {}, None), ("C", None, "1", "2", "C", "1", None, {"C": '"'}, None)]
+    table = lambda df: sorted(str(r) for r in df.collect())
+    docs, raw = raw_rows(spark, rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The rows are shuffled by document and not again (the one row of docs needs no shuffle).
+        whole = ce.normalize_rows(docs, raw)
+        assert exchanges(whole) == 1
+        short = table(whole), table(ce.row_errors(whole)), {n: table(t) for n, t in ce.certificate_tables(whole).items()}
+        monkeypatch.setattr(keyed, "POSITION_SLICE", 2)
+        cut = ce.normalize_rows(docs, raw)
+        assert exchanges(cut) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert (table(cut), table(ce.row_errors(cut)), {n: table(t) for n, t in ce.certificate_tables(cut).items()}) == short
+
+
 def page(spark, *blocks):
     rows = [(1, 1, i, text, float(x0), float(x1), float(top), float(bottom), confidence, 1000.0, 1400.0) for i, (text, x0, x1, top, bottom, confidence) in enumerate(blocks)]
     return spark.createDataFrame(rows, "doc_id long, page int, block_id long, text string, x0 double, x1 double, top double, bottom double, confidence double, page_width double, page_height double")
