@@ -95,3 +95,46 @@ def test_relational_and_expression_nico_agree(spark, scale):
     relational = evaluated.filter("not (fraction = '72255091' and nico in ('91', '92'))").unionByName(cl.residual_nico(evaluated, facts))
     wide = cl.with_short_names(facts).join(relational.select("product_id", "fraction", "nico", "outcome"), "product_id")
     assert cl.assess_codes(wide).filter("not (assessment <=> outcome)").count() == 0
+
+
+def exchanges(df):
+    return sum("Exchange hashpartitioning" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_nico_outcomes_need_no_shuffle_by_roll_and_every_operator_counts(spark):
+    facts = cl.complete_facts(frame(spark, [{"thickness_mm": Decimal(t), "coiled": c} for t in (1, 2, 3) for c in (True, None)] + [{"thickness_mm": None, "coiled": False}]))
+    table = [("A", op, 1, "thickness_mm", op, "2") for op in ("<", "<=", ">", ">=", "=")] + [("B", "=", 1, "coiled", "=", "true"), ("B", "=", 2, "thickness_mm", ">", "1"), ("C", "x", 1, "coiled", ">", "true"), ("D", "x", 1, "no such fact", "=", "1")]
+    evaluated = cl.evaluate_nico(facts, spark.createDataFrame(table, "fraction string, nico string, position int, field string, op string, value string"))
+    # Only the condition table is shuffled.
+    assert exchanges(evaluated) == 1
+    got = {}
+    for r in evaluated.join(facts, "product_id").collect():
+        got.setdefault((r["fraction"], r["nico"]), {})[r["thickness_mm"] and int(r["thickness_mm"]), r["coiled"]] = r["outcome"]
+    words = {True: "matched", False: "conflict", None: "unknown"}
+    tests = {"<": lambda t: t < 2, "<=": lambda t: t <= 2, ">": lambda t: t > 2, ">=": lambda t: t >= 2, "=": lambda t: t == 2}
+    for op, test in tests.items():
+        assert got["A", op] == {(t, c): words[test(t)] for t in (1, 2, 3) for c in (True, None)} | {(None, False): "unknown"}
+    assert got["B", "="] == {(1, True): "conflict", (1, None): "conflict", (2, True): "matched", (2, None): "unknown", (3, True): "matched", (3, None): "unknown", (None, False): "conflict"}
+    assert set(got["C", "x"].values()) == {"conflict"} and len(got) == 7
+
+
+def test_residual_codes_need_rows_of_their_own_fraction(spark):
+    evaluated = spark.createDataFrame([(1, "72255091", "92", "conflict"), (2, "72104999", "01", "unknown"), (2, "72104999", "02", "matched"), (3, "72255091", "01", "conflict"), (3, "72255091", "91", "unknown")], "product_id long, fraction string, nico string, outcome string")
+    facts = spark.createDataFrame([(4, "other")], "product_id long, stainless_series string")
+    residual = cl.residual_nico(evaluated, facts)
+    assert exchanges(residual) == 1
+    got = sorted(tuple(r) for r in residual.filter("product_id < 4").collect())
+    # Roll 1 has no row of the specific codes and none of 91, so only what its own rows give.
+    assert got == [(1, "72255091", "92", "conflict"), (1, "72255091", "99", "matched"), (2, "72104999", "99", "conflict"),
+                   (3, "72255091", "91", "unknown"), (3, "72255091", "92", "matched"), (3, "72255091", "99", "conflict")]
+    assert residual.filter("product_id = 4 and outcome = 'matched'").count() == 5
+
+
+def test_every_code_by_its_own_expression_agrees_with_the_lookup(spark):
+    rows = [{"coiled": c, "thickness_mm": t, "tool_steel": k, "pattern_in_relief": k, "yield_strength_mpa": t and t * 100} for c in (True, None) for t in (Decimal("0.5"), Decimal(4), None) for k in (True, False, None)]
+    facts = cl.with_short_names(cl.complete_facts(frame(spark, rows)))
+    codes = sorted({(r[2], r[3]) for r in ref.catalog_rows() if r[0] == "nico"})
+    every = cl.assess_every(facts, codes)
+    assert "transform(" not in every._jdf.queryExecution().analyzed().toString()
+    looked_up = cl.assess_codes(facts.join(spark.createDataFrame(codes, "fraction string, nico string"))).select("product_id", "fraction", "nico", "assessment")
+    assert every.count() == len(rows) * len(codes) and every.exceptAll(looked_up).count() == 0
