@@ -138,3 +138,20 @@ def test_every_code_by_its_own_expression_agrees_with_the_lookup(spark):
     assert "transform(" not in every._jdf.queryExecution().analyzed().toString()
     looked_up = cl.assess_codes(facts.join(spark.createDataFrame(codes, "fraction string, nico string"))).select("product_id", "fraction", "nico", "assessment")
     assert every.count() == len(rows) * len(codes) and every.exceptAll(looked_up).count() == 0
+
+
+def test_facts_are_shuffled_by_roll_and_candidates_are_not(spark):
+    facts = spark.read.schema(cl.complete_facts(frame(spark, [{}])).schema).parquet(written(frame(spark, [{"rolling": None}, {"rolling": "hot"}, {"rolling": None, "coated": None}])))
+    pairs = cl.scenario_candidates(cl.scenario_decisions(cl.by_roll(facts), ref.catalog(spark)), ref.catalog(spark))
+    by_key = lambda df: sum("Exchange hashpartitioning(product_id" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert by_key(pairs) == 1 and by_key(cl.rolling_alternatives(pairs)) == 1
+    # A filter on the open rolling reaches the facts, before their shuffle.
+    plan = cl.rolling_alternatives(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("RepartitionByExpression"):]
+
+
+def written(df):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/facts"
+    cl.complete_facts(df).write.parquet(path)
+    return path
