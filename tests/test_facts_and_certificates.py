@@ -194,3 +194,47 @@ def test_entries_and_readings_of_a_key_meet_in_one_shuffle(spark):
     assert exchanges(layer) == 2
     got = {r["heat_id"]: (r["_heat"], r["_heat_elements"]) for r in layer.collect()}
     assert got == {7: ({"form": ("flat_rolled", "heat", 2)}, {"C": D("0.1")}), 8: ({}, {"C": D("0.2")}), 9: ({"form": ("bar", "heat", 3)}, {})}
+
+
+def test_views_that_several_inputs_reach_are_written_before_them(spark, monkeypatch):
+    from workload import layouts, quality
+    from workload.registry import Tables
+    seen = []
+    monkeypatch.setattr(layouts.tp, "extract_with_templates", lambda *a: seen.append("templates"))
+    monkeypatch.setattr(layouts.kl, "read_known_layouts", lambda *a: seen.append("layouts"))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    layouts.templates(t), layouts.known_layouts(t)
+    assert seen == ["templates", "layouts"] and {"fx_raw_rows", "fx_tp_docs", "fx_mill_lines", "fx_known_docs"} <= set(t._written)
+
+    class Stop(Exception):
+        pass
+
+    def issues(t):
+        assert "fx_products" in t._written
+        raise Stop
+
+    monkeypatch.setattr(quality, "issues", issues)
+    try:
+        quality.outcomes_after_quality(Tables(spark, "/root/testdata/sf0.001"))
+    except Stop:
+        seen.append("quality")
+    assert seen[-1] == "quality"
+
+
+def test_a_snapshot_is_moved_once(spark):
+    from millspark.functions import refdata as ref
+    from millspark.operators import replay
+    facts = cl.complete_facts(spark.createDataFrame([(1, 7, "bar")], "product_id long, certificate_id long, form string"))
+    recorded = replay.record_runs(facts, ref.catalog(spark))
+    assert recorded._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    replayed = replay.replay_runs(recorded, facts.select("certificate_id", "product_id"), ref.catalog(spark))
+    assert [(r["product_id"], r["replay_error"], r["changed"], r["now_outcome"]) for r in replayed.collect()] == [(1, None, False, "out_of_scope")]
+
+
+def test_blocks_of_known_layouts_meet_pages_that_know_their_document(spark):
+    from millspark.operators import known_layouts as kl
+    docs = spark.createDataFrame([(1, "A"), (2, None)], "doc_id long, profile string")
+    pages = spark.createDataFrame([(1, 2, 10.0, 20.0, 0), (1, 3, 11.0, 21.0, 90), (2, 1, 1.0, 1.0, 0)], "doc_id long, page int, width double, height double, rotation int")
+    blocks = spark.createDataFrame([(1, 2, 1, " x ", 0.0, 1.0, 0.0, 1.0), (1, 3, 2, None, 0.0, 1.0, 0.0, 1.0), (2, 1, 3, "y", 0.0, 1.0, 0.0, 1.0)], "doc_id long, page int, block_id long, text string, x0 double, x1 double, top double, bottom double")
+    got = kl.known_blocks(docs, pages, blocks)
+    assert sorted((r["block_id"], r["text"], r["profile"], r["page_width"], r["first_page"]) for r in got.collect()) == [(1, "x", "A", 10.0, True), (2, "", "A", 11.0, False)]
